@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,11 @@ def grapheme_kind(g: Column) -> Column:
     )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it: inside a lambda it is a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def reading_units(text: Column | str, policy: SpeedPolicy) -> Column:
     """``struct(cjk, non_cjk, graphemes)``: weighted units; marks and spaces count on the non-CJK side."""
     t = F.coalesce(_c(text), F.lit(""))
@@ -100,26 +107,33 @@ def reading_units(text: Column | str, policy: SpeedPolicy) -> Column:
     plain = F.struct(cjk.cast("double").alias("cjk"), rest.alias("non_cjk"), n.alias("graphemes"))
     weight = {"whitespace": policy.whitespace_weight, "weak_punctuation": policy.weak_punctuation_weight, "strong_punctuation": policy.strong_punctuation_weight, "non_cjk": 1.0}
 
-    def add(s: Column, g: Column) -> Column:
-        kind = grapheme_kind(g)
+    def add(s: Column, kind: Column) -> Column:
         side = F.lit(0.0)
         for k, v in weight.items():
             side = F.when(kind == k, F.lit(v)).otherwise(side)
         return F.struct((s["cjk"] + F.when(kind == "cjk", 1.0).otherwise(0.0)).alias("cjk"), (s["non_cjk"] + side).alias("non_cjk"), (s["graphemes"] + 1).alias("graphemes"))
 
-    whole = F.aggregate(graphemes(t), F.struct(F.lit(0.0).alias("cjk"), F.lit(0.0).alias("non_cjk"), F.lit(0).alias("graphemes")), add)
+    kinds = F.transform(graphemes(t), grapheme_kind)
+    whole = F.aggregate(kinds, F.struct(F.lit(0.0).alias("cjk"), F.lit(0.0).alias("non_cjk"), F.lit(0).alias("graphemes")), add)
     return F.when(t.rlike(_PLAIN), plain).otherwise(whole)
 
 
 def reading_load(text: Column | str, duration_ms: Column, policy: SpeedPolicy) -> Column:
     """``struct(units, graphemes, comfort_s, hard_s, comfort_load, hard_load)``; loads are null where the duration isn't above zero."""
-    u = reading_units(text, policy)
-    comfort = u["cjk"] / policy.comfort_cps_cjk + u["non_cjk"] / policy.comfort_cps_latin
-    hard = u["cjk"] / policy.hard_cps_cjk + u["non_cjk"] / policy.hard_cps_latin
     seconds = F.when(duration_ms > 0, duration_ms / 1000)
-    return F.struct(
-        (u["cjk"] + u["non_cjk"]).alias("units"), u["graphemes"].alias("graphemes"), comfort.alias("comfort_s"), hard.alias("hard_s"), (comfort / seconds).alias("comfort_load"), (hard / seconds).alias("hard_load")
-    )
+
+    def loads(u: Column) -> Column:
+        comfort = u["cjk"] / policy.comfort_cps_cjk + u["non_cjk"] / policy.comfort_cps_latin
+        hard = u["cjk"] / policy.hard_cps_cjk + u["non_cjk"] / policy.hard_cps_latin
+        return F.struct(
+            (u["cjk"] + u["non_cjk"]).alias("units"), u["graphemes"].alias("graphemes"), comfort.alias("comfort_s"), hard.alias("hard_s"), (comfort / seconds).alias("comfort_load"), (hard / seconds).alias("hard_load")
+        )
+
+    return once(reading_units(text, policy), loads)
+
+
+def visible_units(text: Column | str, policy: SpeedPolicy) -> Column:
+    return once(reading_units(text, policy), lambda u: u["cjk"] + u["non_cjk"])
 
 
 def audit_chars(text: Column | str, cjk: Column) -> Column:

@@ -35,10 +35,10 @@ def placeholder(text: Column | str, extra: tuple[str, ...] = ()) -> Column:
 
 def remove_placeholders(cues: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """``action`` on both sides: drop (no side is left), blank (the translation alone is one), review (the original alone), keep."""
-    a, b = placeholder("text", extra), placeholder("translated_text", extra)
+    c = cues.withColumn("a__", placeholder("text", extra)).withColumn("b__", placeholder("translated_text", extra))
     empty = F.length(strip(F.coalesce(F.col("translated_text"), F.lit("")))) == 0
-    action = F.when(a & (b | empty), "drop").when(a, "review").when(b, "blank").otherwise("keep")
-    return cues.withColumn("action", action).withColumn("translated_text", F.when(F.col("action") == "blank", "").otherwise(F.col("translated_text")))
+    action = F.when(F.col("a__") & (F.col("b__") | empty), "drop").when(F.col("a__"), "review").when(F.col("b__"), "blank").otherwise("keep")
+    return c.withColumn("action", action).withColumn("translated_text", F.when(F.col("action") == "blank", "").otherwise(F.col("translated_text"))).drop("a__", "b__")
 
 
 def preprocess_words(cues: DataFrame, lower: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..cues import in_order, lag, lead
 from ..functions.text import audit_chars, count_words, mainly_cjk, only_punctuation, reading_load, strip
 from ..policy import PostprocessConfig, SpeedPolicy
+from ..storage import keep
 from .windows import with_protection, with_rhythm
 
 
@@ -79,11 +80,10 @@ def speed_metrics(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: st
     )
 
 
-def _median(items: Column, least: int) -> Column:
-    """Weighted nearest-rank median of ``array<struct<load, weight, id>>``; null under ``least`` items."""
-    total = F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s + x["weight"])
+def _median(items: Column, total: Column, least: int) -> Column:
+    """Weighted nearest-rank median of a sorted ``array<struct<load, weight, id>>`` with summed weight ``total``; null under ``least`` items."""
     fold = F.aggregate(
-        F.array_sort(items),
+        items,
         F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("out")),
         lambda s, x: F.struct((s["upto"] + x["weight"]).alias("upto"), F.when(s["out"].isNull() & (2 * (s["upto"] + x["weight"]) >= total), x["load"]).otherwise(s["out"]).alias("out")),
         lambda s: s["out"],
@@ -94,15 +94,18 @@ def _median(items: Column, least: int) -> Column:
 def local_targets(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text") -> DataFrame:
     """``(media_id, cue_idx, target_load)``: the median load of near neighbours in the rhythm, else of the rhythm, else of the media item, else 1."""
     c = with_protection(with_rhythm(cues, policy.rhythm_reset_ms), policy, text)
-    load = reading_load(text, F.col("end_ms") - F.col("start_ms"), policy)
-    c = c.select("media_id", "cue_idx", "start_ms", "rhythm_id", F.col("protected_by").isNotNull().alias("protected"), (F.col("end_ms") - F.col("start_ms")).alias("weight"), load.alias("l"))
-    counts = ~F.col("protected") & (F.col("l.comfort_load") > 0) & (F.col("l.hard_load") <= 1)
-    c = c.withColumn("item", F.when(counts, F.struct(F.col("l.comfort_load").alias("load"), F.col("weight"), F.col("cue_idx").alias("id"))))
+    c = c.withColumn("l", reading_load(text, F.col("end_ms") - F.col("start_ms"), policy))
+    counts = F.col("protected_by").isNull() & (F.col("l.comfort_load") > 0) & (F.col("l.hard_load") <= 1)
+    c = c.select("media_id", "cue_idx", "start_ms", "rhythm_id", F.when(counts, F.col("l.comfort_load")).alias("load"), (F.col("end_ms") - F.col("start_ms")).alias("weight"))
+    c = keep(c, "loads")  # numbers only; five uses follow
+    item = F.struct("load", "weight", F.col("cue_idx").alias("id"))
     near = Window.partitionBy("media_id").orderBy("start_ms", "cue_idx").rowsBetween(-policy.local_window_radius, policy.local_window_radius)
-    around = F.collect_list(F.when(F.col("item").isNotNull(), F.struct("rhythm_id", "item"))).over(near)
-    mine = F.transform(F.filter(around, lambda x: (x["rhythm_id"] == F.col("rhythm_id")) & (x["item"]["id"] != F.col("cue_idx"))), lambda x: x["item"])
-    local = c.withColumn("local", _median(mine, 3))
-    flat = c.where(F.col("item").isNotNull()).select("media_id", "rhythm_id", "item.*")
+    around = F.collect_list(F.when(F.col("load").isNotNull(), F.struct("rhythm_id", item.alias("item")))).over(near)
+    mine = F.transform(F.filter("around", lambda x: (x["rhythm_id"] == F.col("rhythm_id")) & (x["item"]["id"] != F.col("cue_idx"))), lambda x: x["item"])
+    local = c.withColumn("around", around).withColumn("mine", F.array_sort(mine))
+    local = local.withColumn("total", F.aggregate("mine", F.lit(0).cast("long"), lambda s, x: s + x["weight"]))
+    local = local.withColumn("local", _median(F.col("mine"), F.col("total"), 3))
+    flat = c.where(F.col("load").isNotNull()).select("media_id", "rhythm_id", "load", "weight", F.col("cue_idx").alias("id"))
 
     def medians(by: list[str], name: str) -> DataFrame:
         n = flat.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

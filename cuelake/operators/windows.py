@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cues import in_order, lag, lead, not_blank, of_media
-from ..functions.text import count_words, mainly_cjk, reading_units, strip, tokens
+from ..functions.text import count_words, mainly_cjk, strip, tokens, visible_units
 from ..policy import PostprocessConfig, SpeedPolicy
 
 _HEAD = (Window.unboundedPreceding, -1)
@@ -75,18 +75,17 @@ def compensation(gap: Column, cfg: PostprocessConfig = PostprocessConfig()) -> C
 
 def with_protection(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text", explicit: Column | None = None) -> DataFrame:
     """``protected_by``: why a cue may not be changed, the first that holds, else null."""
-    units = reading_units(text, policy)
     shown = F.col("end_ms") - F.col("start_ms")
     apart = lambda gap: F.coalesce(gap >= policy.hard_rhythm_reset_ms, F.lit(True))
     alone = apart(F.col("start_ms") - lag("end_ms")) & apart(lead("start_ms") - F.col("end_ms"))
-    total = units["cjk"] + units["non_cjk"]
-    return cues.withColumn(
-        "protected_by",
+    c = cues.withColumn("units__", visible_units(text, policy)).withColumn("alone__", alone)
+    why = (
         F.when(F.coalesce(explicit, F.lit(False)) if explicit is not None else F.lit(False), "explicit")
         .when(F.coalesce(F.col(text).rlike(MUSIC), F.lit(False)), "music_or_lyric_marker")
-        .when((total <= 12) & (shown >= 4000), "short_text_long_display")
-        .when((total <= 16) & (shown >= 2500) & alone, "isolated_title_card"),
+        .when((F.col("units__") <= 12) & (shown >= 4000), "short_text_long_display")
+        .when((F.col("units__") <= 16) & (shown >= 2500) & F.col("alone__"), "isolated_title_card")
     )
+    return c.withColumn("protected_by", why).drop("units__", "alone__")
 
 
 def compensate_tails(cues: DataFrame, cfg: PostprocessConfig = PostprocessConfig(), policy: SpeedPolicy = SpeedPolicy(), text: str = "text") -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..cues import CUES_SQL, read_cue_view
 from ..functions import text as T
-from ..operators import filters, joins, metrics, validate, windows
-from ..policy import PostprocessConfig, SpeedPolicy
+from ..functions.similarity import has_repetition, meaning_kept
+from ..operators import edit, filters, joins, metrics, stitch, validate, windows
+from ..policy import PostprocessConfig, SpeedPolicy, speed_policy
 from ..sources import writers
 from ..streaming import streams
+from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -438,6 +440,33 @@ SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM h GR
 )(lambda s, d: streams.sessions(_table(s, d, "events")))
 
 
+# What depends on the step before has no SQL; the tests hold these against plain versions.
+_add("adaptive_groups")(edit.adaptive_groups)
+_add("merge_short")(edit.merge_short)
+_add("segment_words")(lambda c: edit.segment(filters.preprocess_words(windows.split_words(c).withColumn("cue_idx", F.col("cue_idx") * 10_000 + F.col("pos")).drop("pos"))))
+_add("alignment_windows")(edit.alignment_windows)
+_add("analysis_windows")(edit.analysis_windows)
+_add("translation_batches")(edit.translation_batches)
+_add("silence_spans")(lambda c: edit.silence_spans(_totals(c), _silences(c), 60_000, 5_000, 20_000, 5_000))
+_add("optimize_timing")(lambda c: edit.optimize_timing(c)[0])
+_add("timing_changes")(lambda c: edit.optimize_timing(c, speed_policy("smooth"))[1])
+_add("meaning_kept")(lambda c: c.select("media_id", "cue_idx", meaning_kept("text", "translated_text").alias("m")).select("media_id", "cue_idx", "m.verdict", F.array_join("m.reasons", ",").alias("reasons")))
+_add("postprocess")(lambda c: pipelines.postprocess(c, PostprocessConfig(remove_placeholders=True, fix_gaps=True, speed_optimize=True)).cues)
+_add("request_rows", cues=False)(_with_glossary(lambda c, g: pipelines.request_rows(c, g, "Translate the subjects.")))
+_add("repetitive_documents", cues=False)(lambda s, d: _table(s, d, "documents").select("doc_id", has_repetition("text", F.lit(3)).alias("repetitive")))
+
+
+def _two_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two chunks of each document with half a second a word, the second from word 26 on."""
+    p = _chunk_pairs(spark, sf_dir)
+    left = F.col("side") == "left"
+    at = F.when(left, F.col("at")).otherwise(F.col("at") + 25)
+    return p.select(F.col("pair_id").alias("media_id"), F.when(left, 0).otherwise(1).alias("chunk_idx"), F.col("at").alias("pos"), (at * 500).cast("long").alias("start_ms"), (at * 500 + 400).cast("long").alias("end_ms"), "text")
+
+
+_add("stitched_chunks", cues=False)(lambda s, d: stitch.stitch(_two_chunks(s, d), 7_500))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
