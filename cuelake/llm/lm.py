@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, bounded_batches
+from .common import ALNUM_TABLE, bounded_batches, materialize
 
 #: Words of the shared vocabulary (all others are one unknown word), slots for bigram counts, and the weight of the unigram model.
 VOCABULARY, SLOTS, MU = 50_000, 1 << 21, 8.0
@@ -38,9 +38,21 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` most frequent words over all texts, ties by bytes. At most ``size`` words reach the driver."""
+    """The most frequent words over all texts: those above the lowest frequency band that keeps them within ``size``.
+
+    Bands are sixteenths of a power of two, so some hundreds of rows say where to cut, and at most ``size`` words reach the driver.
+    """
     counts = texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect()]
+    counts = materialize(counts.withColumn("band", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    room, least = size, None
+    for r in counts.groupBy("band").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("band").desc()).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["band"]
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]) for r in counts.where(F.col("band") >= least).select("word").collect())
 
 
 class Ids(dict):
@@ -89,18 +101,30 @@ def _model_counts(words):
     return run
 
 
+_BLOCK = 1 << 16
+
+
+def _pack(key: tuple, rows: pa.Table) -> pa.Table:
+    """The counts of one block of _BLOCK slots as one row of bytes."""
+    values = np.zeros(_BLOCK, np.int64)
+    values[rows.column("at").to_numpy() % _BLOCK] = rows.column("n").to_numpy()
+    return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([values.tobytes()], pa.binary())})
+
+
 class Counts:
     """Summed counts of a corpus: bounded by SLOTS and the vocabulary, whatever the corpus."""
 
     def __init__(self, texts: DataFrame, words, size: int):
-        rows = texts.mapInArrow(_model_counts(words), "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
-        self.parts = []
-        for kind, length in ((0, SLOTS), (1, size + 2), (2, size + 2)):
-            own = rows[rows["kind"] == kind]
-            values = np.zeros(length, np.float64)
-            values[own["at"].to_numpy(np.int64)] = own["n"].to_numpy(np.float64)
-            self.parts.append(values)
-        self.total = float(self.parts[1].sum())
+        sums = texts.mapInArrow(_model_counts(words), "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+        sums = sums.withColumn("block", F.expr(f"at div {_BLOCK}").cast("int"))
+        packed = sums.groupBy("kind", "block").applyInArrow(_pack, "kind int, block int, counts binary")
+        self.parts = [np.zeros(length, np.float32) for length in (SLOTS, size + 2, size + 2)]
+        self.total = 0.0
+        for r in packed.toLocalIterator():
+            values = np.frombuffer(r["counts"], np.int64)
+            part = self.parts[r["kind"]][r["block"] * _BLOCK :][:_BLOCK]
+            part[:] = values[: len(part)]
+            self.total += float(values.sum()) if r["kind"] == 1 else 0.0
 
     def scaled(self, total: float) -> list[np.ndarray]:
         rate = total / self.total if self.total else 0.0
