@@ -54,14 +54,14 @@ class Centroids:
         self.names = sorted(set(langs))
         self.idf = np.log((1.0 + n) / (1.0 + (x > 0).sum(axis=0))) + 1.0 if n else np.ones(SLOTS)
         self.owner, parts = [], []
-        unit = self._unit(x.astype(np.float64)) if n else np.zeros((0, SLOTS))
+        unit = self._unit(x)
         for i, name in enumerate(self.names):
             own = unit[[j for j in range(n) if langs[j] == name]]
             for c in self._cluster(own):
                 parts.append(c)
                 self.owner.append(i)
         self.owner = np.array(self.owner, int)
-        self.matrix = np.array(parts).T.copy() if parts else np.zeros((SLOTS, 0))
+        self.matrix = np.array(parts, np.float64).T.copy() if parts else np.zeros((SLOTS, 0))
         self.floor = np.zeros(25)
         if n:
             best = (unit @ self.matrix).max(axis=1)
@@ -73,8 +73,12 @@ class Centroids:
             self.floor = REJECT_SHARE * np.where(np.isinf(self.floor), least[np.isfinite(least)].min(), self.floor)
 
     def _unit(self, x: np.ndarray) -> np.ndarray:
-        w = np.log1p(x) * self.idf
-        return w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+        """Unit rows in single precision, made a few at a time: the sample is the largest thing that the driver holds."""
+        out = np.empty(x.shape, np.float32)
+        for i in range(0, len(x), 256):
+            w = np.log1p(x[i : i + 256], dtype=np.float32) * self.idf.astype(np.float32)
+            out[i : i + 256] = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+        return out
 
     @staticmethod
     def _cluster(x: np.ndarray) -> np.ndarray:
@@ -83,7 +87,7 @@ class Centroids:
         centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
         for _ in range(12):
             near = (x @ centres.T).argmax(axis=1)
-            sums = np.array([x[near == j].sum(axis=0) if (near == j).any() else centres[j] for j in range(k)])
+            sums = np.array([(near == j).astype(np.float32) @ x if (near == j).any() else centres[j] for j in range(k)])
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
         return centres
 
@@ -123,10 +127,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             rows = [counts(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([None if r is None else np.minimum(r, 65535).astype(np.uint16).tobytes() for r in rows], pa.binary())], names=["lid", "lang", "counts"])
 
-    rows = [r for r in picked.mapInArrow(extract, "lid string, lang string, counts binary").collect() if r["counts"] is not None]
-    rows.sort(key=lambda r: (r["lang"], r["lid"], r["counts"]))
-    x = np.array([np.frombuffer(r["counts"], np.uint16) for r in rows]).reshape(len(rows), SLOTS)
-    return Centroids(x, [r["lang"] for r in rows])
+    rows = [(r["lang"], r["lid"], bytes(r["counts"])) for r in picked.mapInArrow(extract, "lid string, lang string, counts binary").collect() if r["counts"] is not None]
+    rows.sort()
+    x = np.empty((len(rows), SLOTS), np.uint16)
+    langs = [r[0] for r in rows]
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r[2], np.uint16)
+    del rows
+    return Centroids(x, langs)
 
 
 def detect(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
