@@ -43,19 +43,28 @@ def _targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 
+def _quotients(a: int, b: int) -> list[int]:
+    """Partial quotients of the continued fraction of a / b; their size bounds how unevenly multiples of a fall modulo b."""
+    out = []
+    while b:
+        out.append(a // b)
+        a, b = b, a % b
+    return out
+
+
 def _coprime_step(n: int) -> int:
-    """The number next to n divided by the golden ratio that has no factor in common with n."""
-    g = max(1, round(n * 0.6180339887498949))
-    d = 0
-    while gcd(g + d, n) != 1:
-        d = -d if d > 0 else 1 - d
-    return (g + d) % n if n > 1 else 0
+    """Of the numbers near n over the golden ratio without a common factor with n, the one whose quotients stay smallest."""
+    if n < 3:
+        return 1
+    g = round(n * 0.6180339887498949)
+    options = [x for x in range(max(1, g - 200), min(n - 1, g + 200) + 1) if gcd(x, n) == 1]
+    return min(options, key=lambda x: (max(_quotients(n, x)), abs(x - g)))
 
 
 def schedule(targets: DataFrame, block: int) -> DataFrame:
     """``(source, slot, nth)``: which source the mix reads at each slot, and the rank of the slot among the source's.
 
-    Slot i looks at point (i * g mod n) / n, with g next to n over the golden ratio: the golden-ratio sequence closed to n
+    Slot i looks at point (i * g mod n) / n, with g near n over the golden ratio: the golden-ratio sequence closed to n
     points, each met once. Sources own stretches of [0, n) as long as their block counts, so each gets exactly as many
     slots as its target needs, and any run of slots is spread over the sources nearly by weight. Ranks come from counts of
     slot groups plus the rank within the group, so no task sees all slots of a large source.
