@@ -138,6 +138,16 @@ def _losses(parts: list[np.ndarray], total: float, size: int, now: np.ndarray, b
     return float(-np.log(p).sum())
 
 
+#: Ids that are sent to every executor, at most (8 MB); a longer list is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is among ``ids(id_col)``. Texts stay where they are as long as the ids fit BROADCAST_IDS."""
+    ids = materialize(ids.where(F.col(id_col).isNotNull()).select(id_col).distinct(), "target-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, loss_target, loss_background, score)``, one row for each row of ``docs``.
 

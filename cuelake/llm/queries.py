@@ -46,7 +46,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good quality; background: all documents."""
     docs = _read(spark, sf_dir, "documents")
     good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+    return lm.cross_entropy_difference(docs, lm.rows_with_ids(docs, good))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,14 @@ def test_losses_equal_plain_models(spark):
     assert all(abs(r["score"]) < 1e-6 for r in lm.cross_entropy_difference(docs, docs.limit(0)).collect())
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_rows_with_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(lm, "BROADCAST_IDS", most)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "doc_id long, text string")
+    ids = spark.createDataFrame([(2,), (2,), (None,), (9,)], "doc_id long")
+    assert [r["text"] for r in lm.rows_with_ids(docs, ids).collect()] == ["b", "b"]
+
+
 def plain_bases(text):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     places = [(i, label) for phrase, label in BASE_PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
