@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..cues import CUES_SQL, read_cue_view
 from ..functions import text as T
 from ..functions.similarity import has_repetition, meaning_kept
-from ..operators import edit, filters, joins, metrics, stitch, validate, windows
+from ..operators import edit, filters, joins, metrics, stitch, structure, validate, windows
 from ..policy import PostprocessConfig, SpeedPolicy, speed_policy
 from ..sources import writers
 from ..streaming import streams
@@ -467,6 +467,30 @@ def _two_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("stitched_chunks", cues=False)(lambda s, d: stitch.stitch(_two_chunks(s, d), 7_500))
 
 
+def _word_times(c: DataFrame) -> DataFrame:
+    """Word times of alignment windows, as an aligner would give them: each word's share of its cue, from the start of the clip."""
+    w = windows.split_words(c)
+    p = edit.alignment_windows(c).select("media_id", "window_no", "first_idx", "last_idx", "clip_start_ms")
+    j = w.join(p, "media_id").where(F.col("cue_idx").between(F.col("first_idx"), F.col("last_idx")))
+    return j.select("media_id", "window_no", (F.col("cue_idx") * 10_000 + F.col("pos")).alias("pos"), (F.col("start_ms") - F.col("clip_start_ms")).alias("start_ms"), (F.col("end_ms") - F.col("clip_start_ms")).alias("end_ms"), "text")
+
+
+def _graded(c: DataFrame) -> DataFrame:
+    return structure.word_evidence(edit.alignment_windows(c), c, _word_times(c))
+
+
+_add("evidence_grades")(lambda c: _graded(c).groupBy("grade").agg(F.count(F.lit(1)).alias("n")))
+_add("edit_structure")(lambda c: structure.edit_structure(c, _graded(c))[0])
+_add("speech_timing")(lambda c: structure.speech_timing(c.select("media_id", F.col("cue_idx").alias("pos"), "text"), c.select("media_id", "start_ms", "end_ms")))
+_add("transcript_pieces", cues=False)(lambda s, d: structure.transcript_pieces(_table(s, d, "documents").select(F.col("doc_id").alias("media_id"), "text")))
+_add("aligned_lines")(lambda c: structure.align_lines(*[c.where(F.length(F.trim(x)) > 0).select("media_id", F.col("cue_idx").alias("pos"), F.col(x).alias("text")) for x in ("text", "translated_text")]))
+_add("matched_sentences")(
+    lambda c: structure.sentences_to_cues(
+        filters.preprocess_words(windows.split_words(c.where("cue_idx < 3")).withColumn("cue_idx", F.col("cue_idx") * 10_000 + F.col("pos")).drop("pos")), c.where("cue_idx < 3").select("media_id", F.col("cue_idx").alias("pos"), "text")
+    )
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
