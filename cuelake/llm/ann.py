@@ -12,8 +12,9 @@ from pyspark.sql import window as Wn
 
 from .common import bounded_batches, materialize
 
-#: Vectors of a list aimed at, lists at most, and vectors that the lists are fitted on at most.
-LIST_SIZE, LISTS_MAX, SAMPLE = 256, 4096, 32_768
+#: Vectors of a list aimed at, lists at most, and vectors that the lists are fitted on at most. A search can reach half of the
+#: lists at their largest number, so vectors without any clusters keep their recall; longer lists are read in blocks.
+LIST_SIZE, LISTS_MAX, SAMPLE = 256, 1024, 32_768
 #: A vector is kept in every list whose centre is at most this much farther than its nearest (CLOSURE), in COPIES lists at most.
 CLOSURE, COPIES = 0.08, 4
 #: A query reads every list whose centre is at most this much farther than its nearest.
