@@ -120,7 +120,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.lit(float(SAMPLE)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) / F.col("n")
     rates = sizes.select(F.col("lang").alias("l2"), share.alias("rate"))
     point = (F.xxhash64(F.lit(17), "lid") % 1_000_003 + 1_000_003) % 1_000_003
-    picked = known.join(F.broadcast(rates), F.col("lang") == F.col("l2")).where(point < F.col("rate") * 1_000_003).select("lid", "lang", "text")
+    picked = known.join(F.broadcast(rates), F.col("lang") == F.col("l2")).where(point < F.col("rate") * 1_000_003)
+    picked = picked.groupBy("lid", "lang").agg(F.min("text").alias("text"))  # one text an id: repeated rows don't stretch the sample
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

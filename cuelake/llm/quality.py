@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         part = sample_by_hash(known.where(F.col("y") == y), ["lid"], SAMPLE_DOCS, 5)
         picked = part if picked is None else picked.unionByName(part)
-    sample = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(picked), "lid").select("lid", "text", "y")
+    # One text an id: rows that repeat an id don't stretch the sample.
+    sample = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(picked), "lid").groupBy("lid", "y").agg(F.min("text").alias("text")).select("lid", "text", "y")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,10 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from a bounded sample of rows with a 0/1 label whose crc32(id as text) mod ``mod`` is not ``left_out``."""
     known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod(F.col("lid"), mod) != left_out)).distinct()
     texts = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text"))
-    rows = []
+    rows = []  # one text an id: rows that repeat an id don't stretch the sample
     for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         picked = sample_by_hash(known.where(F.col("y") == y), ["lid"], most, 11)
-        rows += [(r["lid"], (r["text"] or "").encode(), y) for r in texts.join(F.broadcast(picked), "lid").select("lid", "text").collect()]
+        rows += [(r["lid"], (r["text"] or "").encode(), y) for r in texts.join(F.broadcast(picked), "lid").groupBy("lid").agg(F.min("text").alias("text")).collect()]
     rows.sort()
     order = np.random.default_rng(3).permutation(len(rows))
     return Model([rows[i][1] for i in order], [rows[i][2] for i in order])
