@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cuelake.cues import CUES
 from cuelake.functions import similarity, text
-from cuelake.operators import edit, filters, joins, metrics, stitch, validate, windows
+from cuelake.operators import edit, filters, joins, metrics, stitch, structure, validate, windows
 from cuelake.plans import pipelines
 from cuelake.policy import PostprocessConfig, SpeedPolicy, speed_policy
 from cuelake.sources import readers, writers
@@ -397,3 +397,46 @@ def test_glossaries_and_model_answers(spark):
     want = spark.createDataFrame([(1, "a"), (1, "b")], "batch_id long, id string")
     good, rejects = readers.model_responses(rows, want, "translation:string")
     assert [r["id"] for r in good.collect()] == ["a"] and {r["reason"] for r in rejects.collect()} == {"blank", "unknown_id", "not_json"}
+
+
+def test_long_media_as_published(spark):
+    """295 cues over their hard limit become none by 592 moves; over 1000 cues all moves stand or fall together."""
+    from bench import one_long_media
+
+    c = one_long_media(spark)
+    got, log = edit.optimize_timing(c)
+    assert log.count() == 592
+    assert metrics.speed_metrics(c).first()["unresolved_hard"] == 295 and metrics.speed_metrics(got).first()["unresolved_hard"] == 0
+
+
+def test_structure_follows_evidence(spark):
+    rows = [(0, 500, "so"), (600, 2600, "we go home now"), (2700, 11_000, "this is a very long line of words here"), (11_100, 13_000, "done")]
+    c = cues(spark, rows)
+    plans = edit.alignment_windows(c)
+    words = windows.split_words(c).select("media_id", F.lit(0).alias("window_no"), (F.col("cue_idx") * 100 + F.col("pos")).alias("pos"), "start_ms", "end_ms", "text")
+    ev = structure.word_evidence(plans, c, words)
+    assert [(r["grade"], r["coverage"]) for r in ev.collect()] == [("HIGH", 1.0)]
+    got, edges = structure.edit_structure(c, ev)
+    assert " ".join(values(got, "text")).split() == " ".join(r[2] for r in rows).split()
+    assert got.count() == 4 - sum(r["operation"] == "merge" for r in edges.collect()) // 2 + sum(r["operation"] == "split" for r in edges.collect()) // 2
+    none, e = structure.edit_structure(c, ev.limit(0))
+    assert values(none, "text") == [r[2] for r in rows] and e.count() == 0
+
+
+def test_speech_timing_never_spans_silence(spark):
+    p = spark.createDataFrame([(1, i, "one two three") for i in range(6)], "media_id long, pos int, text string")
+    s = spark.createDataFrame([(1, 0, 3000), (1, 10_000, 13_000)], "media_id long, start_ms long, end_ms long")
+    got = structure.speech_timing(p, s).orderBy("pos").collect()
+    assert [(r["start_ms"], r["end_ms"]) for r in got] == [(0, 1000), (1000, 2000), (2000, 3000), (10_000, 11_000), (11_000, 12_000), (12_000, 13_000)]
+
+
+def test_sentences_and_lines(spark):
+    w = cues(spark, [(i * 100, i * 100 + 90, t) for i, t in enumerate("the cat sat down and then it slept all day ".split(" ")) if t]).withColumn("text", F.concat("text", F.lit(" ")))
+    s = spark.createDataFrame([(1, 0, "The cat sat down,"), (1, 1, "and then it slept all day.")], "media_id long, pos int, text string")
+    got = structure.sentences_to_cues(w, s)
+    assert values(got, "text", "matched") == [("the cat sat down", True), ("and then it slept all day", True)]
+    a = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "b", "c", "d"])], "media_id long, pos int, text string")
+    b = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "c", "d"])], "media_id long, pos int, text string")
+    assert [r["paired"] for r in structure.align_lines(a, b).orderBy("pos").collect()] == ["a", "a", "c", "d"]
+    t = spark.createDataFrame([(1, "One two three. Four. " + "w " * 20)], "media_id long, text string")
+    assert [len(r["text"].split()) for r in structure.transcript_pieces(t).orderBy("pos").collect()] == [4, 14, 6]
