@@ -115,6 +115,8 @@ SENTENCES = (
     ("apache", FAMILY, "apache", "apache (?:software )?license"),
     ("bsd", FAMILY, "bsd", "bsd (?:style )?license"),
     ("mit", FAMILY, "mit", "(?:the )?(?:mit|expat|x11) (?:style )?license"),
+    ("mit", FAMILY, "expat", "(?:the )?(?:mit|expat|x11) (?:style )?license"),
+    ("mit", FAMILY, "x11", "(?:the )?(?:mit|expat|x11) (?:style )?license"),
     ("mpl", FAMILY, "mozilla", "mozilla public license"),
     ("epl", FAMILY, "eclipse", "eclipse public license"),
     ("eupl", FAMILY, "european", "european union public licen[cs]e"),
@@ -133,35 +135,58 @@ GRANTS = (
 _KEYWORD_STOPS = frozenset("the and to open public license software free general common source data commons of do what domain version community university".split())
 
 
-def _keyword(title: str) -> str:
-    """A plain word of the title that every match must hold, or "licen" where alternatives leave none."""
-    depth, plain = 0, ""
-    i = 0
-    while i < len(title):
-        c = title[i]
+def _split(body: str) -> list[str]:
+    """The alternatives of a pattern at its outermost level."""
+    parts, depth = [""], 0
+    for c in body:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _plain(body: str) -> list[str]:
+    """The ways to match a pattern, as the text that each must hold; a newline stands for what may differ."""
+    out, i = [""], 0
+    while i < len(body):
+        ways, c = [body[i]], body[i]
+        i += 1
         if c == "(":
-            depth += 1
-        elif c == ")":
-            depth -= 1
-            if title[i + 1 : i + 2] == "?":
+            start, depth = i, 1
+            while depth:
+                depth += (body[i] == "(") - (body[i] == ")")
                 i += 1
-            plain += " "
-        elif depth == 0:
-            plain += c
-        i += 1
-    words = [w for w in plain.split() if w.isalnum() and not w.isdigit() and w not in _KEYWORD_STOPS]
-    return max(words, key=len) if words else "licen"
+            ways = [w for part in _split(body[start : i - 1].removeprefix("?:")) for w in _plain(part)]
+        elif c == "[":
+            ways, i = ["\n"], body.index("]", i) + 1
+        if body[i : i + 1] == "?":
+            ways, i = ["\n"], i + 1
+        out = [o + w for o in out for w in ways]
+    return out
+
+
+def _keywords(title: str) -> tuple[str, ...]:
+    """Texts of which every match of the title holds one: a plain word that all its forms share, or else the longest stretch of each."""
+    forms = _plain(title)
+    words = [{w for piece in f.split("\n") for w in piece.split() if not w.isdigit() and w not in _KEYWORD_STOPS} for f in forms]
+    shared = set.intersection(*words)
+    if shared:
+        return (max(sorted(shared), key=len),)
+    return tuple(sorted({max(f.split("\n"), key=len).strip() for f in forms}))
 
 
 def rules() -> list[tuple[str, int, str, str]]:
-    """All rules as ``(label, priority, keyword, pattern)``, in order."""
+    """All rules as ``(label, priority, keyword, pattern)``, in order. A pattern whose matches share no word has a row for each of its keywords."""
     out: list[tuple[str, int, str, str]] = []
     for label, tag, title in LICENSES:
         out.append((label, TAG, "spdx", f" spdx license identifier {tag}(?: only| or later)?(?= )"))
+        keywords = _keywords(title)
         for form in GRANTS:
-            out.append((label, GRANT, _keyword(title), f" {form % title}(?= )"))
+            out.extend((label, GRANT, k, f" {form % title}(?= )") for k in keywords)
         named = title if "licen" in title else f"(?:the )?{title} licen[cs]e"
-        out.append((label, TITLE, _keyword(title), f" {named}(?= )"))
+        out.extend((label, TITLE, k, f" {named}(?= )") for k in keywords)
     for label, priority, keyword, body in SENTENCES:
         out.append((label, priority, keyword, f" {body}(?= )"))
     return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +41,17 @@ def _base(phrase: str, norm: Column) -> tuple[Column, Column, Column]:
 
 
 def _detections(norm: Column) -> Column:
-    """All matches of the rules whose keyword occurs, as structs in order of start, longer first."""
-    table = rules()
-    # One rule array a keyword: a text without any keyword never looks at a pattern.
-    by_word: dict[str, list[Column]] = {}
-    for label, priority, keyword, pattern in table:
-        by_word.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(pattern).alias("pattern")))
+    """All matches of the rules of which a keyword occurs, as structs in order of start, longer first."""
+    words: dict[tuple[str, int, str], list[str]] = {}
+    for label, priority, keyword, pattern in rules():
+        words.setdefault((label, priority, pattern), []).append(keyword)
+    # One rule array a set of keywords: a text without any keyword never looks at a pattern.
+    by_words: dict[tuple[str, ...], list[Column]] = {}
+    for (label, priority, pattern), ks in words.items():
+        by_words.setdefault(tuple(ks), []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(pattern).alias("pattern")))
     kind = "array<struct<label:string,priority:int,pattern:string>>"
-    gated = [F.when(F.contains(norm, F.lit(k)), F.array(*rs)).otherwise(F.array().cast(kind)) for k, rs in sorted(by_word.items())]
+    met = lambda ks: reduce(or_, [F.contains(norm, F.lit(k)) for k in ks])
+    gated = [F.when(met(ks), F.array(*rs)).otherwise(F.array().cast(kind)) for ks, rs in sorted(by_words.items())]
 
     def places(rule: Column) -> Column:
         found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))

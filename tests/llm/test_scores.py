@@ -206,6 +206,49 @@ def test_license_rules_are_gated_right_and_suppressed(spark):
         assert set(filter(None, r["labels"].split(","))) - base == plain_labels(texts[r["doc_id"]]) - base, texts[r["doc_id"]]
 
 
+GRANTED = [
+    "released under CC BY SA 4.0", "distributed under the GPL v3", "covered by CC0", "GPL version 2", "gnu gpl 1.0", "published under the terms of the LGPL 2.1", "governed by AGPL v3", "available under the simplified BSD",
+    "subject to the Zero Clause BSD", "covered by creative commons attribution non commercial", "released under BigScience OpenRAIL-M", "distributed under University of Illinois NCSA Open Source", "the Expat license", "an X11 style license", "licence CC BY ND",
+]
+
+
+def test_license_gates_drop_no_match(spark):
+    """Against all patterns without any gate, on grants that lack the word license and on random forms of all titles."""
+
+    def some(parsed, rng):
+        out = ""
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                out += chr(rng.choice(arg)[1])
+            elif op == "BRANCH":
+                out += some(rng.choice(arg[1]), rng)
+            elif op == "SUBPATTERN":
+                out += some(arg[3], rng)
+            elif op == "MAX_REPEAT":
+                out += some(arg[2], rng) if rng.random() < 0.5 else ""
+            elif op == "ANY":
+                out += "x"
+            elif op == "MIN_REPEAT":
+                out += some(arg[2], rng) * 3
+        return out
+
+    rng = random.Random(6)
+    patterns = sorted({pattern for *_, pattern in rules()})
+    texts = GRANTED + [some(re._parser.parse(p), rng) for p in patterns for _ in range(4)]
+    want = []
+    for t in texts:
+        norm = " " + "".join(x + " " for x in WORD.findall(t.lower()))
+        found = {(m.start(), m.end(), p, label) for label, p, _, pattern in rules() for m in re.finditer(pattern, norm)}
+        want.append({d[3] for d in found if not any(o[0] <= d[0] and o[1] >= d[1] and (o[2] > d[2] or (o[2] == d[2] and (o[0] < d[0] or o[1] > d[1]))) for o in found)})
+    assert {"cc-by-sa"} <= want[0] and {"gpl-3"} <= want[1] and {"cc0"} <= want[2] and {"gpl-2"} <= want[3]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == want[r["doc_id"]] | base, texts[r["doc_id"]]
+
+
 def plain_rule(url):
     url = url or ""
     if "://" not in url:
