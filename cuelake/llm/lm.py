@@ -4,138 +4,83 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_TABLE, bounded_batches, materialize
 
-#: Words of the shared vocabulary (all others are one unknown word), slots for bigram counts, and the weight of the unigram model.
-VOCABULARY, SLOTS, MU = 50_000, 1 << 21, 8.0
-_FLUSH = 300_000
+#: The weight of the unigram model.
+MU = 8.0
+#: Words and tokens that a task holds before it passes their counts on.
+_FLUSH, _TOKENS = 300_000, 2_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(ALNUM_TABLE).split()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+def _number(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
 
-    for b in batches:
-        for t in b.column(0).cast(pa.binary()):
-            seen.update(words_of(t.as_py()))
-            if len(seen) > _FLUSH:
-                yield flush()
-    yield flush()
-
-
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words over all texts: those above the lowest frequency band that keeps them within ``size``.
-
-    Bands are sixteenths of a power of two, so some hundreds of rows say where to cut, and at most ``size`` words reach the driver.
-    """
-    counts = texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.withColumn("band", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
-    room, least = size, None
-    for r in counts.groupBy("band").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("band").desc()).collect():
-        room -= r["words"]
-        if room < 0:
-            break
-        least = r["band"]
-    if least is None:
-        return []
-    return sorted(bytes(r["word"]) for r in counts.where(F.col("band") >= least).select("word").collect())
+#: What stands before the first word; no word has a space.
+START = _number(b" ")
 
 
 class Ids(dict):
-    """Word numbers from 1; 0 stands for any other word, and the size of the vocabulary plus 1 for the start."""
+    """64-bit numbers of words, made as they are met."""
 
     def __missing__(self, word: bytes) -> int:
-        return 0
+        if len(self) > _FLUSH:
+            self.clear()
+        n = self[word] = _number(word)
+        return n
 
 
-def _slots(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    h = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(43)).astype(np.int64)
-
-
-def encode(text: bytes | None, ids: Ids, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, the numbers of the words before, and their bigram slots."""
-    words = words_of(text)
-    now = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+def encode(words: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words before, and word numbers."""
+    now = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
     before = np.empty_like(now)
-    before[:1] = start
+    before[:1] = START
     before[1:] = now[:-1]
-    return now, before, _slots(before, now)
-
-
-def _model_counts(words):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = words.value
-        ids = Ids((w, i + 1) for i, w in enumerate(vocab))
-        start = len(vocab) + 1
-        grams, single, context = np.zeros(SLOTS, np.int32), np.zeros(start + 1, np.int64), np.zeros(start + 1, np.int64)
-        for b in batches:
-            for t in b.column(0).cast(pa.binary()):
-                now, before, slots = encode(t.as_py(), ids, start)
-                np.add.at(grams, slots, 1)
-                np.add.at(single, now, 1)
-                np.add.at(context, before, 1)
-        # Kinds: 0 bigram slot, 1 word, 2 word before.
-        for kind, values in enumerate((grams, single, context)):
-            at = np.flatnonzero(values)
-            for i in range(0, len(at), 100_000):
-                part = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(values[part].astype(np.int64))], names=["kind", "at", "n"])
-
-    return run
-
-
-_BLOCK = 1 << 16
-
-
-def _pack(key: tuple, rows: pa.Table) -> pa.Table:
-    """The counts of one block of _BLOCK slots as one row of bytes."""
-    values = np.zeros(_BLOCK, np.int64)
-    values[rows.column("at").to_numpy() % _BLOCK] = rows.column("n").to_numpy()
-    return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([values.tobytes()], pa.binary())})
-
-
-class Counts:
-    """Summed counts of a corpus: bounded by SLOTS and the vocabulary, whatever the corpus."""
-
-    def __init__(self, texts: DataFrame, words, size: int):
-        sums = texts.mapInArrow(_model_counts(words), "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
-        sums = sums.withColumn("block", F.expr(f"at div {_BLOCK}").cast("int"))
-        packed = sums.groupBy("kind", "block").applyInArrow(_pack, "kind int, block int, counts binary")
-        self.parts = [np.zeros(length, np.float32) for length in (SLOTS, size + 2, size + 2)]
-        self.total = 0.0
-        for r in packed.toLocalIterator():
-            values = np.frombuffer(r["counts"], np.int64)
-            part = self.parts[r["kind"]][r["block"] * _BLOCK :][:_BLOCK]
-            part[:] = values[: len(part)]
-            self.total += float(values.sum()) if r["kind"] == 1 else 0.0
-
-    def scaled(self, total: float) -> list[np.ndarray]:
-        rate = total / self.total if self.total else 0.0
-        return [(p * rate).astype(np.float32) for p in self.parts]
-
-
-def _losses(parts: list[np.ndarray], total: float, size: int, now: np.ndarray, before: np.ndarray, slots: np.ndarray) -> float:
-    grams, single, context = parts
-    base = (single[now] + 1.0) / (total + size + 1.0)
-    p = (grams[slots] + MU * base) / (np.maximum(context[before], grams[slots]) + MU)
-    return float(-np.log(p).sum())
+    return before, now
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of bigrams, and of words with their bytes (and no word before), by side."""
+    ids = Ids()
+
+    def flush(side: int, words: Counter, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not pairs:
+            return
+        t = pa.table({"b": np.concatenate([b for b, _ in pairs]), "w": np.concatenate([w for _, w in pairs])}).group_by(["b", "w"], use_threads=False).aggregate([([], "count_all")])
+        grams = pa.table({"b": t["b"], "w": t["w"], "word": pa.nulls(len(t), pa.binary()), "n": t["count_all"]})
+        single = pa.table({"b": pa.nulls(len(words), pa.int64()), "w": pa.array([_number(w) for w in words], pa.int64()), "word": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
+        for part in (grams, single):
+            yield from part.add_column(0, "side", pa.array(np.full(len(part), side, np.int32))).combine_chunks().to_batches(max_chunksize=100_000)
+        words.clear()
+        pairs.clear()
+
+    held = {side: (Counter(), []) for side in (0, 1)}
+    tokens = 0
+    for batch in batches:
+        for side, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            ws = words_of(t.as_py())
+            if ws:
+                held[side][0].update(ws)
+                held[side][1].append(encode(ws, ids))
+                tokens += len(ws)
+            if tokens > _TOKENS:
+                for k, (words, pairs) in held.items():
+                    yield from flush(k, words, pairs)
+                tokens = 0
+    for k, (words, pairs) in held.items():
+        yield from flush(k, words, pairs)
 
 
 #: Ids that are sent to every executor, at most (8 MB); a longer list is joined by a shuffle.
@@ -148,41 +93,70 @@ def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Da
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
 
 
+#: Words whose counts are sent to every executor, at most; longer tables are joined by a shuffle.
+BROADCAST_WORDS = 500_000
+
+
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_WORDS else table
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, loss_target, loss_background, score)``, one row for each row of ``docs``.
 
     The background model counts all words of all ``docs``, the target model those of ``target`` (a table with ``text_col``);
-    both share the vocabulary taken from ``docs``, the order (bigrams, smoothed by unigrams) and, after scaling the larger
+    both share the vocabulary, all words of ``docs``, the order (bigrams, smoothed by unigrams) and, after scaling the larger
     background, the amount of text. Losses are nats a word; ``score`` is target minus background, lower for texts nearer
-    to the target. Model sizes are fixed by VOCABULARY and SLOTS, so they can be sent to every executor; counts are
-    gathered from the whole corpus.
+    to the target. Counts of all words and bigrams stay in tables, and each document's distinct bigrams are joined to them.
+
+    Words are told apart by 64-bit numbers; two words with one number raise an error.
 
     Texts without words, null ones too, have losses and score 0. An empty target scores everything near 0 (both models
     are even). Null ids and repeated rows stay as they are; an empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = docs.select(F.col(text_col).alias("text"))
-    vocab = vocabulary(texts)
-    words = spark.sparkContext.broadcast(vocab)
-    size = len(vocab)
-    background = Counts(texts, words, size)
-    wanted = Counts(target.select(F.col(text_col).alias("text")), words, size)
-    model = spark.sparkContext.broadcast((wanted.scaled(wanted.total), background.scaled(wanted.total), wanted.total))
+    bounded_batches(docs.sparkSession)
+    sides = [d.select(F.lit(side).alias("side"), F.col(text_col).alias("text")) for side, d in enumerate((docs, target))]
+    raw = sides[0].union(sides[1]).mapInArrow(_counted, "side int, b long, w long, word binary, n long")
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n{side}")
+    counts = materialize(raw.groupBy("b", "w", "word").agg(of(0), of(1)), "lm-counts")
+    single = counts.where(F.col("word").isNotNull()).select("w", F.col("n0").alias("s0"), F.col("n1").alias("s1"))
+    all_words, distinct, size, total0, total1 = single.agg(F.count(F.lit(1)), F.count_distinct("w"), F.count_if(F.col("s0") > 0), F.sum("s0"), F.sum("s1")).first()
+    if distinct != all_words or single.where(F.col("w") == START).head(1):
+        raise ValueError("two words have the same 64-bit number")
+    total0, total1 = total0 or 0, total1 or 0
+    rates = (total1 / total0 if total0 else 0.0, 1.0)
+    grams = counts.where(F.col("word").isNull()).select("b", "w", "n0", "n1")
+    context = grams.groupBy("b").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+
+    def loss(side: int) -> Column:
+        base = (F.col(f"s{side}") * rates[side] + 1.0) / (total1 + size + 1.0)
+        return -F.log((F.col(f"n{side}") * rates[side] + MU * base) / (F.col(f"c{side}") * rates[side] + MU))
+
+    model = grams.where(F.col("n0") > 0).join(_sent(single, all_words), "w").join(_sent(context, all_words + 1), "b").select(F.col("b").alias("mb"), F.col("w").alias("mw"), loss(1).alias("lt"), loss(0).alias("lb"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids((w, i + 1) for i, w in enumerate(words.value))
-        near, far, total = model.value
-        for b in batches:
-            n, lt, lb = [], [], []
-            for t in b.column(1).cast(pa.binary()):
-                now, before, slots = encode(t.as_py(), ids, size + 1)
-                k = max(1, len(now))
-                n.append(len(now))
-                lt.append(_losses(near, total, size, now, before, slots) / k)
-                lb.append(_losses(far, total, size, now, before, slots) / k)
-            lt, lb = np.array(lt, float) + 0.0, np.array(lb, float) + 0.0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lt), pa.array(lb), pa.array(lt - lb)], names=["doc_id", "n_words", "loss_target", "loss_background", "score"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, loss_target double, loss_background double, score double")
+        ids, row = Ids(), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            heads, rows, pairs = [], [], []
+            for t in batch.column(1).cast(pa.binary()):
+                ws = words_of(t.as_py())
+                heads.append((row, len(ws)))
+                if ws:
+                    rows.append(np.full(len(ws), row, np.int64))
+                    pairs.append(encode(ws, ids))
+                row += 1
+            at = pa.array([r for r, _ in heads], pa.int64())
+            none = pa.nulls(len(heads), pa.int64())
+            # Heads meet no bigram: no word has the number of the start. The row in place of the word before deals them out.
+            yield pa.RecordBatch.from_arrays([at, batch.column(0), pa.array([n for _, n in heads], pa.int64()), at, pa.array(np.full(len(heads), START, np.int64)), none], names=["row", "doc_id", "n_words", "b", "w", "n"])
+            if rows:
+                t = pa.table({"row": np.concatenate(rows), "b": np.concatenate([b for b, _ in pairs]), "w": np.concatenate([w for _, w in pairs])}).group_by(["row", "b", "w"], use_threads=False).aggregate([([], "count_all")])
+                out = pa.table({"row": t["row"], "doc_id": pa.nulls(len(t), batch.schema.field(0).type), "n_words": pa.nulls(len(t), pa.int64()), "b": t["b"], "w": t["w"], "n": t["count_all"]})
+                yield from out.combine_chunks().to_batches(max_chunksize=100_000)
+
+    per = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, doc_id {kind}, n_words long, b long, w long, n long")
+    j = per.join(model, (F.col("b") == F.col("mb")) & (F.col("w") == F.col("mw")), "left")
+    mean = lambda c: F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0.0)) / F.greatest(F.max("n_words"), F.lit(1))
+    g = j.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), mean("lt").alias("loss_target"), mean("lb").alias("loss_background"))
+    return g.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))

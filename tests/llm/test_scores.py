@@ -150,6 +150,30 @@ def test_losses_equal_plain_models(spark):
     assert all(abs(r["score"]) < 1e-6 for r in lm.cross_entropy_difference(docs, docs.limit(0)).collect())
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_losses_count_every_word(spark, monkeypatch, most):
+    """A vocabulary of over 50,000 words that occur once each, by a broadcast and by a shuffle."""
+    monkeypatch.setattr(lm, "BROADCAST_WORDS", most, raising=False)
+    toks = [[f"w{i}" for i in range(60_000)], ["w1", "w2", "w1", "w2"], ["w5", "w9"], ["w1", "w2", "x"], []]
+    rows = [(i, " ".join(w)) for i, w in enumerate(toks)] + [(None, "w1 w2"), (2, "w5 w9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.cross_entropy_difference(docs, docs.where("doc_id in (1, 3)")).collect()
+    assert len(got) == len(rows)
+    sides = [[toks[1], toks[3]], [*toks, ["w1", "w2"], ["w5", "w9"]]]
+    totals = [sum(map(len, s)) for s in sides]
+    size = len({x for w in sides[1] for x in w})
+    for name, side, total in zip(("loss_target", "loss_background"), sides, totals, strict=True):
+        uni, big, ctx = Counter(x for w in side for x in w), Counter(), Counter()
+        for w in side:
+            big.update(zip(["^", *w], w, strict=False))
+            ctx.update(["^", *w][:-1] if w else [])
+        rate = totals[0] / total
+        for r in got:
+            w = ["w1", "w2"] if r["doc_id"] is None else toks[r["doc_id"]]
+            p = [(big[u, x] * rate + lm.MU * (uni[x] * rate + 1) / (totals[0] + size + 1)) / (ctx[u] * rate + lm.MU) for u, x in zip(["^", *w], w, strict=False)]
+            assert r["n_words"] == len(w) and r[name] == pytest.approx(-sum(map(math.log, p)) / max(1, len(w)), abs=1e-6)
+
+
 @pytest.mark.parametrize("most", [0, 100])
 def test_rows_with_ids(spark, monkeypatch, most):
     monkeypatch.setattr(lm, "BROADCAST_IDS", most)
