@@ -185,7 +185,7 @@ _PLAN = "media_id long, window_no int, before_idx int, first_idx int, last_idx i
 
 
 def analysis_windows(cues: DataFrame, budget: int = 4000, fixed: int = 500, reserve: int = 500, overlap: int = 2) -> DataFrame:
-    """Windows as long as the token budget allows that share ``overlap`` cues. A cue that fits none makes a row with ``problem`` and ends its media item."""
+    """Windows as long as the token budget allows that share ``overlap`` cues. A cue that fits none makes a row with ``problem``; the next window begins after it."""
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
         p, o, room = g["plain"].tolist(), g["other"].tolist(), budget - fixed - reserve
@@ -197,11 +197,13 @@ def analysis_windows(cues: DataFrame, budget: int = 4000, fixed: int = 500, rese
                 cost, b = _tokens(plain, other), b + 1
             if b == a:
                 rows.append((g["cue_idx"].iloc[a],) * 4 + (fixed + _tokens(plain + p[a] + 1, other + o[a]), "over_budget"))
-                break
+                a += 1
+                continue
             rows.append((g["cue_idx"].iloc[a], g["cue_idx"].iloc[a], g["cue_idx"].iloc[b - 1], g["cue_idx"].iloc[b - 1], fixed + cost, None))
             if b >= n:
                 break
-            a = max(a + 1, b - min(overlap, b - a - 1))
+            # No window spans a cue that fits none.
+            a = max(a + 1, b - min(overlap, b - a - 1)) if _tokens(p[b] + 2, o[b]) <= room else b
         d = pd.DataFrame(rows, columns=["before_idx", "first_idx", "last_idx", "after_idx", "tokens", "problem"])
         d.insert(0, "window_no", np.arange(len(d)))
         d.insert(0, "media_id", g["media_id"].iloc[0])
@@ -211,7 +213,7 @@ def analysis_windows(cues: DataFrame, budget: int = 4000, fixed: int = 500, rese
 
 
 def translation_batches(cues: DataFrame, size: int = 10, budget: int = 2000, fixed: int = 300, reserve: int = 500, radius: int = 3) -> DataFrame:
-    """Disjoint batches with context on both sides: fewer subjects first, then less context, until the budget is met."""
+    """Disjoint batches with context on both sides: fewer subjects first, then less context, until the budget is met. A cue over it alone makes a row with ``problem``."""
     shell = len('{"boundary_context":{"before":[],"after":[]},"translation_subjects":[]}')
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
@@ -230,8 +232,6 @@ def translation_batches(cues: DataFrame, size: int = 10, budget: int = 2000, fix
             k, r = pick or (1, 0)
             idx = g["cue_idx"]
             rows.append((idx.iloc[max(0, a - r)], idx.iloc[a], idx.iloc[a + k - 1], idx.iloc[min(n, a + k + r) - 1], cost(a, k, r), None if pick else "over_budget"))
-            if not pick:
-                break
             a += k
         d = pd.DataFrame(rows, columns=["before_idx", "first_idx", "last_idx", "after_idx", "tokens", "problem"])
         d.insert(0, "window_no", np.arange(len(d)))

@@ -105,8 +105,11 @@ def check_segmentation(source: DataFrame, parts: DataFrame, most_words: int = 18
 
 
 def request_rows(cues: DataFrame, glossary: DataFrame, prefix: str, size: int = 10, budget: int = 2000) -> DataFrame:
-    """``(media_id, window_no, prefix, payload)``: one row for each translation batch, with its terms; the prefix never varies."""
-    b = edit.translation_batches(cues, size, budget).where(F.col("problem").isNull())
+    """``(media_id, window_no, prefix, payload, problem)``: one row for each translation batch, with its terms; the prefix never varies.
+
+    A batch with a ``problem`` (one cue over the budget) has no payload.
+    """
+    b = edit.translation_batches(cues, size, budget)
     one = F.struct(F.col("cue_idx").cast("string").alias("id"), F.col("text").alias("text"))
     j = b.join(cues.select("media_id", "cue_idx", "text"), "media_id").where(F.col("cue_idx").between(F.col("before_idx"), F.col("after_idx")))
     part = F.when(F.col("cue_idx") < F.col("first_idx"), "before").when(F.col("cue_idx") > F.col("last_idx"), "after").otherwise("subjects")
@@ -114,8 +117,8 @@ def request_rows(cues: DataFrame, glossary: DataFrame, prefix: str, size: int =
     def rows(name: str) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(part == name, F.struct("cue_idx", one.alias("v"))))), lambda x: x["v"])
 
-    g = j.groupBy("media_id", "window_no").agg(rows("before").alias("before"), rows("after").alias("after"), rows("subjects").alias("subjects"))
+    g = j.groupBy("media_id", "window_no", "problem").agg(rows("before").alias("before"), rows("after").alias("after"), rows("subjects").alias("subjects"))
     terms = joins.term_hits(cues, glossary).join(F.broadcast(glossary.select("entry_id", "source_term", "translation")), "entry_id")
     t = b.join(terms, "media_id").where(F.col("cue_idx").between(F.col("first_idx"), F.col("last_idx"))).groupBy("media_id", "window_no").agg(F.array_sort(F.collect_set(F.struct("source_term", "translation"))).alias("terms"))
     payload = F.struct(F.struct("after", "before").alias("boundary_context"), F.coalesce("terms", F.array().cast("array<struct<source_term:string,translation:string>>")).alias("terms"), F.col("subjects").alias("translation_subjects"))
-    return g.join(t, ["media_id", "window_no"], "left").select("media_id", "window_no", F.lit(prefix).alias("prefix"), F.to_json(payload).alias("payload"))
+    return g.join(t, ["media_id", "window_no"], "left").select("media_id", "window_no", F.lit(prefix).alias("prefix"), F.when(F.col("problem").isNull(), F.to_json(payload)).alias("payload"), "problem")

@@ -171,6 +171,20 @@ def test_batches_shrink_subjects_before_context(spark):
     assert wide[0]["tokens"] == 300 + -(-len(payload) // 3)
 
 
+def test_a_cue_over_the_budget_loses_no_other(spark):
+    c = cues(spark, [(i * 1000, i * 1000 + 900, "x " * 6000 if i in (0, 7, 8, 19) else "word " * 10) for i in range(20)])
+    long, rest = {0, 7, 8, 19}, set(range(20)) - {0, 7, 8, 19}
+    for got in (edit.translation_batches(c).collect(), edit.analysis_windows(c).collect()):
+        span = lambda rs: {i for r in rs for i in range(r["first_idx"], r["last_idx"] + 1)}
+        assert span([r for r in got if r["problem"] == "over_budget"]) == long and span([r for r in got if r["problem"] is None]) == rest
+        assert len(got) == len({r["window_no"] for r in got})
+    assert [(r["first_idx"], r["last_idx"]) for r in edit.analysis_windows(c).orderBy("window_no").collect()] == [(0, 0), (1, 6), (7, 7), (8, 8), (9, 18), (19, 19)]
+    g = spark.createDataFrame([("e", "word", [], "W", [1])], "entry_id string, source_term string, aliases array<string>, translation string, occurrence_ids array<int>")
+    rows = pipelines.request_rows(c, g, "p").collect()
+    assert {int(s["id"]) for r in rows if r["problem"] is None for s in json.loads(r["payload"])["translation_subjects"]} == rest
+    assert [r["payload"] for r in rows if r["problem"] == "over_budget"] == [None] * 4
+
+
 def test_alignment_windows_break_near_the_target(spark):
     c = cues(spark, [(i * 5000, i * 5000 + 4000, "x") for i in range(30)] + [(200_000, 201_000, "y")])
     got = edit.alignment_windows(c).orderBy("window_no").collect()
