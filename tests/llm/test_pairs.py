@@ -156,6 +156,61 @@ def test_decontamination_without_rows(spark):
     assert decontaminate.decontaminate(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
+def recall(vectors, got, k=5):
+    """Share of the true k nearest that were found; every query must have all its ranks, in order, with exact scores."""
+    ids = np.array([i for i, _ in vectors])
+    u = np.array([v for _, v in vectors], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append(r)
+    asked = [j for j, i in enumerate(ids) if i % 50 == 0]
+    assert set(found) == {ids[j] for j in asked}
+    right = 0
+    for j in asked:
+        s = u @ u[j]
+        s[j] = -2
+        mine = sorted(found[ids[j]], key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, min(k, len(ids) - 1) + 1))
+        right += sum(r["score"] >= np.sort(s)[-k] - 1e-12 for r in mine)
+    return right / (k * len(asked))
+
+
+@pytest.mark.parametrize("driver_lists", [1024, 4])
+def test_neighbours_of_the_registered_table(spark, monkeypatch, driver_lists):
+    """Lists fitted by the driver, and in parts on executors."""
+    monkeypatch.setattr(ann, "DRIVER_LISTS", driver_lists)
+    monkeypatch.setattr(ann, "LIST_LEAST", 256 if driver_lists > 4 else 128)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [tuple(r) for r in df.select("vec_id", "embedding").collect()]
+    lists = ann.fit(df.select("vec_id", df["embedding"].alias("vec")), len(rows), 64)
+    assert lists.k > 5 and len(lists.first(np.eye(64)[:3], 5)[0]) == 5
+    assert recall(rows, ann.nearest(df, df.where("vec_id % 50 = 0")).collect()) >= 0.9
+
+
+def test_no_query_is_left_short(spark, monkeypatch):
+    """Two dense groups, and few vectors in a list of their own between them, which alone is near enough to one another."""
+    rng = np.random.default_rng(3)
+    deg = np.concatenate([rng.normal(0, 0.5, 383), rng.normal(60, 0.5, 382), [30.0, 30.0, 30.0]])
+    ids = [i for i in range(1000) if i % 50][: 383 + 382] + [50, 9001, 9002]
+    rows = [(i, [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]) for i, d in zip(ids, deg, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(rows, ann.nearest(df, df.where("vec_id = 50")).collect()) == 1.0
+    monkeypatch.setattr(ann, "LIST_LEAST", 2)
+    monkeypatch.setattr(ann, "PRUNE", 0.0)
+    monkeypatch.setattr(ann, "COPIES", 1)
+    monkeypatch.setattr(ann, "WIDER", 2)
+    assert recall(rows, ann.nearest(df, df.where("vec_id = 50")).collect()) >= 0.4
+
+
+def test_neighbours_among_copies_and_repeated_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(500)] + [(7, [2.0, 1.0]), (7, [1.0, 2.0]), (600, [2.0, 1.1]), (601, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(df, df.where("vec_id in (0, 50, 600)")).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got if r["query_id"] == 0] == [1, 2, 3, 4, 5] and [r["vec_id"] for r in got if r["query_id"] == 50] == [0, 1, 2, 3, 4]
+    assert [r["vec_id"] for r in got if r["query_id"] == 600] == [7, 0, 1, 2, 3]
+
+
 def test_neighbours_find_what_all_pairs_find(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 24))
