@@ -19,7 +19,7 @@ def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,20 +62,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
-#: Blocks and the shuffle decide the order of the mix, not how much of each document it takes: a source's stream is read up to its target.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, 'null')) AS mix_key
+         md5(coalesce(doc_id::VARCHAR, 'null') || ' ' || md5(coalesce(text, ''))) AS mix_key
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), w AS (
-  SELECT *, ([1.0, 2.0, 3.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s
+  SELECT *, ([1, 2, 3])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s
 ), f AS (
-  SELECT source, source_size, weight, 3.0::DOUBLE * source_size AS cap,
-         row_number() OVER fill AS place,
-         (sum(source_size) OVER ())::DOUBLE AS total, sum(weight) OVER () AS weights,
+  SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER fill AS place, (sum(source_size) OVER ())::DOUBLE AS total, sum(weight) OVER () AS weights,
          coalesce(sum(3.0::DOUBLE * source_size) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
          coalesce(sum(weight) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before
   FROM w WINDOW fill AS (ORDER BY source_size / weight, source NULLS LAST)
@@ -85,16 +82,31 @@ WITH sized AS (
   SELECT arg_min(share, place) AS level FROM g WHERE cap > weight * share
 ), t AS (
   SELECT source, source_size, least(cap, coalesce((SELECT level FROM level) * weight, cap)) AS target FROM g
+), own AS (
+  SELECT *, round(target)::BIGINT AS goal, ceil(round(target) / 2048)::BIGINT AS blocks FROM t
+), stretches AS (
+  SELECT source, blocks, (sum(blocks) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) - blocks)::BIGINT AS first_point FROM own WHERE blocks > 0
+), bits AS (
+  SELECT greatest(1, length(bin(greatest(0, sum(blocks) - 1)::BIGINT)))::INT AS bits FROM stretches
+), points AS (
+  SELECT source, unnest(range(first_point, first_point + blocks)) AS point FROM stretches
+), mirrored AS (
+  SELECT source, list_sum(list_transform(range(bits), lambda k: ((point >> k) & 1) << (bits - 1 - k)))::BIGINT AS slot FROM points, bits
+), slots AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS nth FROM mirrored
 ), placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS goal,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mix_key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
-  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT row_number() OVER () AS rid, d.doc_id, d.source, d.size, o.source_size, o.target, o.goal,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mix_key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS start
+  FROM sized d JOIN own o ON d.source IS NOT DISTINCT FROM o.source
+), runs AS (
+  SELECT rid, source, start + e * source_size AS a, least(start + e * source_size + size, goal) AS b FROM placed, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0 AND start + e * source_size < goal
+), pieces AS (
+  SELECT rid, source, a, b, unnest(range(a // 2048, (b - 1) // 2048 + 1)) AS nth FROM runs
+), met AS (
+  SELECT rid, sum(least(b, (nth + 1) * 2048) - greatest(a, nth * 2048))::BIGINT AS taken, count_if(a >= nth * 2048)::BIGINT AS epochs, min(slot) AS first_slot
+  FROM pieces p JOIN slots s USING (nth) WHERE p.source IS NOT DISTINCT FROM s.source GROUP BY rid
 )
-SELECT doc_id, size, source_size, target,
-       CAST(least(goal, start + size) - least(goal, start)
-          + least(goal, start + source_size + size) - least(goal, start + source_size)
-          + least(goal, start + 2 * source_size + size) - least(goal, start + 2 * source_size) AS BIGINT) AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(epochs, 0) AS epochs, first_slot FROM placed LEFT JOIN met USING (rid)
 """
 
 LEAKS_SQL = r"""
