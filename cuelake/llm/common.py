@@ -24,10 +24,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-cuelake-")
@@ -45,11 +47,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that batches of very long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -76,8 +73,7 @@ def sample_by_hash(df: DataFrame, cols: list[str], limit: int, seed: int) -> Dat
 
 
 def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text ``wanted`` marks; in one pass without a shuffle."""
-    bounded_batches(docs.sparkSession)
+    """Rows of ``docs``, all columns, whose text ``wanted`` marks; in one pass without a shuffle. Spark bounds a batch by rows and bytes."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

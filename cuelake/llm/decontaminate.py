@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, bounded_batches, materialize, text_key
+from .common import ALNUM_TABLE, materialize, text_key
 
 #: A shared span counts from WINDOW words on. K-grams of K words, the least of each SPREAD neighbours kept: K + SPREAD - 1 = WINDOW,
 #: so any WINDOW shared words hold a k-gram that both sides have kept.
@@ -154,7 +154,6 @@ def _prepare(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     ``tkey`` is a hash of the text: with the id it names a row up to repeated ones, whose results are alike.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("item_id").isNotNull())
     items = items.mapInArrow(_map_items, f"item_id string, anchors array<{ANCHOR}>")
     items = items.select("item_id", F.explode("anchors").alias("a")).select("item_id", "a.kind", "a.hash", F.col("a.ctx").alias("ictx")).distinct()

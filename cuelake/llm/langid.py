@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, held_out, keep_rows
+from .common import crc_mod, held_out, keep_rows
 
 #: Slots that letter n-grams are hashed to, clusters of a language, and labelled documents that are learned from (about, in all languages).
 SLOTS, CLUSTERS, SAMPLE = 4096, 4, 4000
@@ -114,7 +114,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Each language gives an equal share, picked by a hash of the id. Executors count n-grams; only counts reach the driver.
     """
-    bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & (crc_mod(F.col(id_col), mod) != left_out)).select(F.col(id_col).alias("lid"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.lit(float(SAMPLE)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) / F.col("n")
@@ -145,7 +144,6 @@ def detect(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col:
     Ties go to the language that sorts first. Null ids and repeated rows stay as they are; an empty table gives an empty
     result. Other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

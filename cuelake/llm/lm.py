@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, bounded_batches, materialize
+from .common import ALNUM_TABLE, materialize
 
 #: The weight of the unigram model.
 MU = 8.0
@@ -114,7 +114,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     Texts without words, null ones too, have losses and score 0. An empty target scores everything near 0 (both models
     are even). Null ids and repeated rows stay as they are; an empty table gives an empty result. Other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     sides = [d.select(F.lit(side).alias("side"), F.col(text_col).alias("text")) for side, d in enumerate((docs, target))]
     raw = sides[0].union(sides[1]).mapInArrow(_counted, "side int, b long, w long, word binary, n long")
     of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n{side}")

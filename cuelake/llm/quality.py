@@ -7,18 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, crc_mod, held_out, keep_rows, sample_by_hash
+from .common import chunks, crc_mod, held_out, keep_rows, materialize, sample_by_hash
 from .learn import Logistic
 
 #: Labelled documents of each class that the field is fitted on, and lines of them, at most.
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 400_000
 #: Characters that one vectorised step takes (a longer document is a step of its own).
 STEP_CHARS = 1_000_000
-#: Gradient steps of the fit and weight of the quadratic penalty.
-FIT_STEPS, RIDGE = 150, 1e-4
+#: Gradient steps before and in each round of the fit, rounds, and weights of the quadratic penalty: of a line's own features, of its neighbours' and of moves.
+FIRST_STEPS, ROUND_STEPS, ROUNDS, RIDGE, RIDGE_AROUND = 60, 25, 6, 1e-4, 3e-3
+#: What a label says of a document's lines, by length: a good one has this share of good lines at least, a bad one at most.
+GOOD_SHARE, BAD_SHARE = 0.9, 0.5
+#: Unlabelled lines are taken for this much surer than they are, so that rounds settle them.
+SURER = 1.5
 
 #: Character classes: fixed values.
 _OTHER, _UPPER, _LOWER, _DIGIT, _SPACE, _STOP, _COMMA, _BANG, _BAR, _MARK, _HIGH, _NEWLINE = range(12)
@@ -134,7 +138,13 @@ def forward_backward(score: np.ndarray, trans: np.ndarray, per_doc: np.ndarray,
 
 
 class Field:
-    """A two-state chain: emission weights, transitions, and the calibration from a document's mean marginal to its label."""
+    """A two-state chain: emission weights, transitions, and the calibration from a document's mean marginal to its label.
+
+    Lines have no labels: their states are latent, and a document's label only bounds the share of its good lines. The first
+    steps look at each line alone, under its document's label. Each round then takes the field's own line marginals and
+    pairs, moved just as far as the labels demand, as what the next steps aim at. So a clean line of a bad document is free
+    to be good, and a bad line of a good one to be bad.
+    """
 
     def __init__(self, x: np.ndarray, per_doc: np.ndarray, chars: np.ndarray, y: np.ndarray):
         self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
@@ -144,25 +154,56 @@ class Field:
         if not len(y):
             return
         z = (x - self.mean) / self.scale
-        line_y = np.repeat(y, per_doc)
-        gold = np.zeros((len(z), 2))
-        gold[np.arange(len(z)), line_y] = 1
-        # Lines of a document share its label; each document and each class weighs alike.
+        # Each document and each class weighs alike.
         of_doc = (0.5 / np.maximum(1, np.bincount(y, minlength=2)))[y]
         share = np.repeat(of_doc / per_doc, per_doc)
-        inner = np.ones(len(z), bool)
-        inner[np.cumsum(per_doc) - per_doc] = False
-        stay = np.zeros((2, 2))
-        np.add.at(stay, (line_y[inner], line_y[inner]), share[inner])
+        alone = np.r_[np.ones(OWN), np.zeros(2 * OWN), np.zeros(2), 1.0][:, None]
+        gold = np.zeros((len(z), 2))
+        gold[np.arange(len(z)), np.repeat(y, per_doc)] = 1
+        self._climb(z, per_doc, share, gold, None, FIRST_STEPS, alone)
+        for _ in range(ROUNDS):
+            gold, pairs = self._allowed(z, per_doc, chars, y, share)
+            self._climb(z, per_doc, share, gold, pairs, ROUND_STEPS, np.ones_like(alone))
+        self.calibration = Logistic(self._raw(z, per_doc, chars), y.astype(float))
+
+    def _climb(self, z: np.ndarray, per_doc: np.ndarray, share: np.ndarray, gold: np.ndarray, pairs: np.ndarray | None, steps: int, mask: np.ndarray) -> None:
+        """Gradient steps towards line states ``gold`` and summed ``pairs`` (None: lines stand alone)."""
+        ridge = np.r_[np.full(OWN, RIDGE), np.full(2 * OWN, RIDGE_AROUND), np.full(3, RIDGE)][:, None]
         m1, m2 = [np.zeros_like(self.w), np.zeros_like(self.trans)], [np.zeros_like(self.w), np.zeros_like(self.trans)]
-        for step in range(1, FIT_STEPS + 1):
+        for step in range(1, steps + 1):
             marginal, pair = forward_backward(z @ self.w, self.trans, per_doc, share)
-            grads = [z.T @ ((marginal - gold) * share[:, None]) + RIDGE * self.w, pair - stay + RIDGE * self.trans]
+            grads = [(z.T @ ((marginal - gold) * share[:, None]) + ridge * self.w) * mask, (pair - pairs if pairs is not None else 0 * pair) + RIDGE * self.trans]
             for p, g, a, b in zip((self.w, self.trans), grads, m1, m2, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= 0.08 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-        self.calibration = Logistic(self._raw(z, per_doc, chars), y.astype(float))
+
+    def _allowed(self, z: np.ndarray, per_doc: np.ndarray, chars: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The field's line marginals and pairs, tilted in each document just as far as its label demands (the nearest chain that meets it)."""
+        first = np.cumsum(per_doc) - per_doc
+        weight = chars + 1.0
+        weight /= np.repeat(np.add.reduceat(weight, first), per_doc)
+        score, sign = SURER * (z @ self.w), np.where(y == 1, 1.0, -1.0)
+        scale = weight * np.repeat(per_doc * sign, per_doc)
+        bound = np.where(y == 1, GOOD_SHARE, BAD_SHARE)
+
+        def tilted(tilt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            moved = score.copy()
+            moved[:, 1] += np.repeat(tilt, per_doc) * scale
+            return forward_backward(moved, self.trans, per_doc, share)
+
+        def meets(marginal: np.ndarray) -> np.ndarray:
+            return (np.add.reduceat(marginal[:, 1] * weight, first) - bound) * sign >= -1e-3
+
+        marginal, pairs = tilted(np.zeros(len(y)))
+        low, high = np.zeros(len(y)), np.where(meets(marginal), 0.0, 40.0)
+        if not high.any():
+            return marginal, pairs
+        for _ in range(10):
+            middle = (low + high) / 2
+            ok = meets(tilted(middle)[0])
+            low, high = np.where(ok, low, middle), np.where(ok, middle, high)
+        return tilted(high)
 
     def marginals(self, x: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
         """Probability of state 1 (good) at every line."""
@@ -195,43 +236,36 @@ class Field:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 5, left_out: int = 0) -> Field:
     """Fit on a bounded sample of rows with a 0/1 label whose crc32(id as text) mod ``mod`` is not ``left_out``.
 
-    Executors turn the sample's texts into feature rows; only those come to the driver, SAMPLE_LINES of them at most
-    (documents that would exceed it are left out of the sample).
+    SAMPLE_DOCS documents of each class, in order of a hash of the id; those beyond SAMPLE_LINES / 2 lines of their class
+    are left out before their lines are looked at. Executors turn texts into feature rows; only those come to the driver.
     """
-    bounded_batches(docs.sparkSession, 200)
     known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod(F.col("lid"), mod) != left_out)).distinct()
     picked = None
     for y in (0, 1):
         part = sample_by_hash(known.where(F.col("y") == y), ["lid"], SAMPLE_DOCS, 5)
         picked = part if picked is None else picked.unionByName(part)
     # One text an id: rows that repeat an id don't stretch the sample.
-    sample = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(picked), "lid").groupBy("lid", "y").agg(F.min("text").alias("text")).select("lid", "text", "y")
+    sample = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(picked), "lid").groupBy("lid", "y").agg(F.min("text").alias("text"))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sample = materialize(sample.select("lid", "y", F.xxhash64(F.lit(5), "lid").alias("at"), F.coalesce(lines, F.lit(1)).cast("long").alias("n"), "text"), "quality-sample")
+    upto = F.sum("n").over(Window.partitionBy("y").orderBy("at", "lid"))  # numbers only, of 2 * SAMPLE_DOCS documents
+    kept = sample.select("lid", "y", upto.alias("upto"), "at", "n").where(F.col("upto") <= SAMPLE_LINES // 2).select("lid", "y")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ys = b.column(0).to_pylist(), b.column(2).to_pylist()
-            texts = b.column(1).to_pylist()
-            out = {"lid": [], "y": [], "n": [], "feats": []}
-            for i, t in enumerate(texts):
-                x, per_doc, chars = line_features([t])
-                out["lid"].append(ids[i])
-                out["y"].append(ys[i])
-                out["n"].append(int(per_doc[0]))
-                out["feats"].append(np.hstack([x, chars[:, None]]).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["lid"], b.column(0).type), pa.array(out["y"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["feats"], pa.binary())], names=list(out))
-
-    rows = sorted(sample.mapInArrow(extract, f"lid {kind}, y int, n int, feats binary").collect(), key=lambda r: (r["lid"], r["y"], r["feats"]))
-    order = np.random.default_rng(1).permutation(len(rows))
-    kept, lines = [], 0
-    for i in order:
-        if lines + rows[i]["n"] <= SAMPLE_LINES:
-            kept.append(rows[i])
-            lines += rows[i]["n"]
-    if not kept:
+            for i, t in enumerate(b.column(1)):
+                x, per_doc, chars = line_features([t.as_py()])
+                feats = np.hstack([x, chars[:, None]]).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]], b.column(0).type), pa.array([ys[i]], pa.int32()), pa.array(per_doc.astype(np.int32)), pa.array([feats], pa.binary())], names=["lid", "y", "n", "feats"])
+
+    rows = sample.join(F.broadcast(kept), ["lid", "y"]).select("lid", "text", "y").mapInArrow(extract, f"lid {kind}, y int, n int, feats binary").collect()
+    rows.sort(key=lambda r: (r["lid"], r["y"], r["feats"]))
+    if not rows:
         return Field(np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-    x = np.vstack([np.frombuffer(r["feats"], np.float32).reshape(r["n"], FEATURES + 1) for r in kept]).astype(np.float64)
-    return Field(x[:, :-1], np.array([r["n"] for r in kept], np.int64), x[:, -1], np.array([r["y"] for r in kept], np.int64))
+    x = np.vstack([np.frombuffer(r["feats"], np.float32).reshape(r["n"], FEATURES + 1) for r in rows]).astype(np.float64)
+    return Field(x[:, :-1], np.array([r["n"] for r in rows], np.int64), x[:, -1], np.array([r["y"] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +274,6 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     A null or empty text is one empty line, scored like any other. Null ids and repeated rows stay as they are; an empty
     table gives an empty result. Other columns are ignored. Without labelled rows every score is 0.5.
     """
-    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

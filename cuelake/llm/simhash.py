@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as Wn
 
-from .common import bounded_batches, materialize, text_key
+from .common import materialize, text_key
 from .components import components
 
 SHINGLE = 3
@@ -54,7 +54,6 @@ def _map_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, tkey, fp)`` for every row; ``fp`` holds the 64 bits as a signed long, ``tkey`` a hash of the text."""
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).mapInArrow(_map_fingerprints, "doc_id long, tkey long, fp long")
 
 

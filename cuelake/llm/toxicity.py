@@ -12,7 +12,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, held_out, sample_by_hash
+from .common import crc_mod, held_out, sample_by_hash
 from .learn import Logistic
 
 #: Labelled documents that the model is fitted on, at most; of each class.
@@ -133,7 +133,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts are one empty window and get the score of a document without toxic windows. Null ids and
     repeated rows stay as they are; an empty table gives an empty result. Other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,56 @@ def test_quality_on_held_out_rows(labelled):
     assert {r["score"] for r in quality.quality(labelled[0], labelled[1].limit(0)).collect()} == {0.5}
 
 
+def test_lines_of_one_document_are_told_apart(spark):
+    """Labels say only whether a document is good; half the bad ones begin with clean lines. The field must find the bad lines."""
+    rng = random.Random(5)
+    clean = lambda: words(rng, rng.randint(8, 20), EN) + "."
+    junk = lambda: rng.choice([clean().upper().replace(" ", "!! "), clean().replace(" ", " | "), " ".join([words(rng, 1, EN)] * 15)])
+    texts, y = [], []
+    for i in range(400):
+        good = i % 2
+        lines = [(clean(), 1) if good or (k < 1 and i % 4 == 0) else (junk(), 0) for k in range(rng.randint(2, 5))]
+        texts.append("\n".join(t for t, _ in lines))
+        y.append(good)
+    x, per, chars = quality.line_features(texts)
+    field = quality.Field(x, per, chars, np.array(y))
+    planted = [[(clean(), 1) if (k + i) % 2 else (junk(), 0) for k in range(6)] for i in range(100)]
+    for lines in planted:
+        rng.shuffle(lines)
+    x, per, _ = quality.line_features(["\n".join(t for t, _ in lines) for lines in planted])
+    got, want = field.marginals(x, per), np.array([v for lines in planted for _, v in lines])
+    assert ((got >= 0.5) == want).mean() > 0.97
+    parts = np.split(got, np.cumsum(per)[:-1])
+    assert np.median([p.max() - p.min() for p in parts]) > 0.9
+
+
+def test_labels_tilt_lines_no_further_than_they_must():
+    rng = np.random.default_rng(4)
+    per, chars = np.array([3, 5, 4]), rng.integers(5, 90, 12).astype(float)
+    y = np.array([1, 0, 1])
+    field = quality.Field(np.zeros((0, quality.FEATURES)), np.zeros(0, int), np.zeros(0), np.zeros(0, int))
+    field.w, field.trans = rng.normal(size=(quality.FEATURES, 2)) / 5, rng.normal(size=(2, 2))
+    z = rng.normal(size=(12, quality.FEATURES))
+    got, _ = field._allowed(z, per, chars, y, np.ones(12))
+    free, _ = quality.forward_backward(quality.SURER * (z @ field.w), field.trans, per, np.ones(12))
+    for at, n, label in zip(np.cumsum(per) - per, per, y, strict=True):
+        w = (chars[at : at + n] + 1) / (chars[at : at + n] + 1).sum()
+        share, before = w @ got[at : at + n, 1], w @ free[at : at + n, 1]
+        bound, sign = (quality.GOOD_SHARE, 1) if label else (quality.BAD_SHARE, -1)
+        assert (share - bound) * sign >= -0.002
+        assert share == pytest.approx(before) if (before - bound) * sign >= 0 else share == pytest.approx(bound, abs=0.02)
+
+
+def test_quality_sample_is_cut_before_lines_are_looked_at(spark, labelled, monkeypatch):
+    """A labelled text longer than the whole sample may be is passed over; the rest is learned from."""
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 6000)
+    docs, labels = labelled
+    huge = spark.createDataFrame([(5001, "x\n" * 50_000, "c", "en")], SCHEMA)
+    field = quality.fit(docs.unionByName(huge), labels.unionByName(spark.createDataFrame([(5001, 0, 0)], labels.schema)))
+    kept = {r["doc_id"] for r in quality.keep_good(docs, field).collect()}
+    assert sum(i in kept for i in range(900) if i % 5) > 700 and sum(i in kept for i in range(0, 900, 5)) < 10
+
+
 def test_quality_filter_keeps_columns(labelled):
     field = quality.fit(*labelled)
     kept = quality.keep_good(labelled[0], field)
