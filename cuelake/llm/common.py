@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII bytes that end a word of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` become spaces (after A-Z are lower-cased).
@@ -72,6 +72,39 @@ def sample_by_hash(df: DataFrame, cols: list[str], limit: int, seed: int) -> Dat
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), *cols).limit(limit)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, mod: int, left_out: int, most: dict[int, int], size: Column, most_size: int, seed: int, name: str) -> DataFrame:
+    """``(lid, y, text)``: labelled rows to learn from, of each 0/1 label ``y`` the first ``most[y]`` ids by a hash, and of these the first that keep the summed ``size`` (of ``text``) within ``most_size``.
+
+    Ids whose crc32 as text mod ``mod`` is ``left_out`` and null ids aren't among them. Rows that repeat an id give one text.
+    """
+    known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod(F.col("lid"), mod) != left_out)).distinct()
+    picked = None
+    for y, rows in most.items():
+        part = sample_by_hash(known.where(F.col("y") == y), ["lid"], rows, seed)
+        picked = part if picked is None else picked.unionByName(part)
+    sample = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(picked), "lid").groupBy("lid", "y").agg(F.min("text").alias("text"))
+    sample = materialize(sample.select("lid", "y", F.xxhash64(F.lit(seed), "lid").alias("at"), F.coalesce(size, F.lit(1)).cast("long").alias("size"), "text"), name)
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy("at", "lid"))  # numbers only, of most[0] + most[1] rows
+    kept = sample.select("lid", "y", "at", "size").withColumn("upto", upto).where(F.col("upto") <= most_size).select("lid", "y")
+    return sample.join(F.broadcast(kept), ["lid", "y"]).select("lid", "y", "text")
+
+
+#: Keys that are sent to every executor at most, where one side of a join may hold very many rows of one key.
+HEAVY_KEYS = 10_000
+
+
+def join_heavy(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and, in ``n``, how many rows of ``left`` have it (dropped here); ``total`` rows in all.
+
+    Keys of over ``total / HEAVY_KEYS`` rows, so HEAVY_KEYS of them at most, are sent to every executor and their rows stay
+    where they are; the others are shuffled. Both tables are read twice, so they should be kept ones.
+    """
+    many = F.col(n) > max(1, total // HEAVY_KEYS)
+    heavy, rest = right.where(many).drop(n), right.where(~many).drop(n)
+    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return left.join(F.broadcast(heavy), key).unionByName(light.join(rest, key))
+
+
 def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
     """Rows of ``docs``, all columns, whose text ``wanted`` marks; in one pass without a shuffle. Spark bounds a batch by rows and bytes."""
     at = docs.columns.index(text_col)

@@ -6,15 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, held_out, keep_rows
+from .common import crc_mod, held_out, keep_rows, materialize
 
-#: Slots that letter n-grams are hashed to, clusters of a language, and labelled documents that are learned from (about, in all languages).
+#: Slots that letter n-grams are hashed to, clusters of a language, and labelled documents that are learned from (about, in all languages, and one of each language at least).
 SLOTS, CLUSTERS, SAMPLE = 4096, 4, 4000
-#: A document is rejected when its best cosine is under this share of the least one seen among learned documents of its length.
-REJECT_SHARE = 0.5
+#: One document in so many is kept from the clusters and shows how near documents of a language are that the centroids haven't seen.
+KEPT_BACK = 3
+#: A document is rejected when its best cosine is more than SIGMAS deviations (LEAST_SIGMA at least) under the mean of those kept back
+#: of its language and length, and under REJECT_SHARE of the least of them.
+SIGMAS, LEAST_SIGMA, REJECT_SHARE = 6.0, 0.02, 0.9
+#: Documents that a length needs for numbers of its own; with fewer the next shorter lengths are taken in.
+LENGTH_ROWS = 12
 UNDETERMINED = "und"
 
 _letters: np.ndarray | None = None
@@ -47,38 +52,50 @@ def _bucket(n: np.ndarray) -> np.ndarray:
 
 
 class Centroids:
-    """Unit centroids per language, the inverse document frequencies, and the least cosines seen by length."""
+    """Unit centroids per language, the inverse document frequencies, and the least cosine that a language and length accept.
+
+    ``x``: log counts of n-grams in single precision, changed in place. Rows of languages with few documents serve both as
+    members of clusters and to set the floors.
+    """
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         n = len(x)
         self.names = sorted(set(langs))
         self.idf = np.log((1.0 + n) / (1.0 + (x > 0).sum(axis=0))) + 1.0 if n else np.ones(SLOTS)
-        self.owner, parts = [], []
-        unit = self._unit(x)
+        length = _bucket(np.expm1(x).sum(axis=1)) if n else np.zeros(0, int)
+        for i in range(0, n, 256):
+            x[i : i + 256] *= self.idf.astype(np.float32)
+            x[i : i + 256] /= np.maximum(np.linalg.norm(x[i : i + 256], axis=1, keepdims=True), 1e-12)
+        rows: dict[str, list[int]] = {name: [] for name in self.names}
+        for j, lang in enumerate(langs):
+            rows[lang].append(j)
+        self.owner, parts, back = [], [], {}
         for i, name in enumerate(self.names):
-            own = unit[[j for j in range(n) if langs[j] == name]]
-            for c in self._cluster(own):
+            own = np.array(rows[name])
+            few = len(own) < 2 * KEPT_BACK
+            back[i] = own if few else own[::KEPT_BACK]
+            for c in self._cluster(x[own if few else np.delete(own, np.s_[::KEPT_BACK])]):
                 parts.append(c)
                 self.owner.append(i)
         self.owner = np.array(self.owner, int)
         self.matrix = np.array(parts, np.float64).T.copy() if parts else np.zeros((SLOTS, 0))
-        self.floor = np.zeros(25)
-        if n:
-            best = (unit @ self.matrix).max(axis=1)
-            bucket = _bucket(x.sum(axis=1))
-            least = np.full(25, np.inf)
-            np.minimum.at(least, bucket, best)
-            # A length never asks for more than the next longer one does.
-            self.floor = np.minimum.accumulate(np.where(np.isinf(least), np.inf, least)[::-1])[::-1]
-            self.floor = REJECT_SHARE * np.where(np.isinf(self.floor), least[np.isfinite(least)].min(), self.floor)
-
-    def _unit(self, x: np.ndarray) -> np.ndarray:
-        """Unit rows in single precision, made a few at a time: the sample is the largest thing that the driver holds."""
-        out = np.empty(x.shape, np.float32)
-        for i in range(0, len(x), 256):
-            w = np.log1p(x[i : i + 256], dtype=np.float32) * self.idf.astype(np.float32)
-            out[i : i + 256] = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-        return out
+        self.floor = np.zeros((len(self.names), 25))
+        for i, own in back.items():
+            self.floor[i] = self._floors((x[own] @ self.matrix[:, self.owner == i].astype(np.float32)).max(axis=1), length[own])
+
+    @staticmethod
+    def _floors(best: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The least cosine by length. Copies count once; longer texts never ask for less than shorter ones."""
+        best, at = np.unique(best, return_index=True)
+        length, out = length[at], np.zeros(25)
+        for k in range(25):
+            low = k
+            while low > 0 and ((length >= low) & (length <= k)).sum() < LENGTH_ROWS:
+                low -= 1
+            seen = best[(length >= low) & (length <= k)]
+            if len(seen) >= LENGTH_ROWS:
+                out[k] = max(0.0, min(seen.mean() - SIGMAS * max(LEAST_SIGMA, seen.std()), REJECT_SHARE * seen.min()))
+        return np.maximum.accumulate(out)
 
     @staticmethod
     def _cluster(x: np.ndarray) -> np.ndarray:
@@ -105,36 +122,37 @@ class Centroids:
             cos = (w @ self.matrix[at]) / max(1e-12, float(np.sqrt(w @ w)))
             j = int(cos.argmax())
             names[i], scores[i] = self.names[self.owner[j]], min(1.0, max(0.0, float(cos[j])))
-            rejected[i] = scores[i] < self.floor[_bucket(np.array([c.sum()]))[0]]
+            rejected[i] = scores[i] < self.floor[self.owner[j], _bucket(np.array([c.sum()]))[0]]
         return names, scores, rejected
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, left_out: int = 2) -> Centroids:
     """Learn from about SAMPLE rows with a language whose crc32(id as text) mod ``mod`` is not ``left_out``.
 
-    Each language gives an equal share, picked by a hash of the id. Executors count n-grams; only counts reach the driver.
+    Each language gives an equal share, picked by a hash of the id, and one row at least. Executors count n-grams; only
+    counts reach the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (crc_mod(F.col(id_col), mod) != left_out)).select(F.col(id_col).alias("lid"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.lit(float(SAMPLE)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) / F.col("n")
-    rates = sizes.select(F.col("lang").alias("l2"), share.alias("rate"))
-    point = (F.xxhash64(F.lit(17), "lid") % 1_000_003 + 1_000_003) % 1_000_003
-    picked = known.join(F.broadcast(rates), F.col("lang") == F.col("l2")).where(point < F.col("rate") * 1_000_003)
+    point = F.pmod(F.xxhash64(F.lit(17), "lid"), F.lit(1_000_003))
+    sizes = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(point.alias("point"), "lid")).alias("first")), "languages")
+    rates = sizes.select(F.col("lang").alias("l2"), (F.lit(float(SAMPLE) / max(1, sizes.count())) / F.col("n")).alias("rate"), F.col("first.lid").alias("first_id"))
+    picked = known.join(rates, F.col("lang") == F.col("l2")).where((point < F.col("rate") * 1_000_003) | (F.col("lid") == F.col("first_id")))
     picked = picked.groupBy("lid", "lang").agg(F.min("text").alias("text"))  # one text an id: repeated rows don't stretch the sample
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [counts(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([None if r is None else np.minimum(r, 65535).astype(np.uint16).tobytes() for r in rows], pa.binary())], names=["lid", "lang", "counts"])
-
-    rows = [(r["lang"], r["lid"], bytes(r["counts"])) for r in picked.mapInArrow(extract, "lid string, lang string, counts binary").collect() if r["counts"] is not None]
-    rows.sort()
-    x = np.empty((len(rows), SLOTS), np.uint16)
-    langs = [r[0] for r in rows]
-    for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r[2], np.uint16)
-    del rows
-    return Centroids(x, langs)
+            rows = [counts(t.as_py()) for t in b.column(2)]
+            at = [None if r is None else np.flatnonzero(r) for r in rows]
+            slots = pa.array([None if a is None else a.astype(np.uint16).tobytes() for a in at], pa.binary())
+            values = pa.array([None if a is None else r[a].astype(np.uint32).tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), slots, values], names=["lid", "lang", "slots", "counts"])
+
+    found = picked.mapInArrow(extract, "lid string, lang string, slots binary, counts binary").where("slots is not null").collect()
+    found.sort(key=lambda r: (r["lang"], r["lid"]))
+    x = np.zeros((len(found), SLOTS), np.float32)
+    for i, r in enumerate(found):
+        x[i, np.frombuffer(r["slots"], np.uint16)] = np.log1p(np.frombuffer(r["counts"], np.uint32))
+    return Centroids(x, [r["lang"] for r in found])
 
 
 def detect(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

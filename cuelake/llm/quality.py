@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, held_out, keep_rows, materialize, sample_by_hash
+from .common import chunks, held_out, keep_rows, labelled_sample
 from .learn import Logistic
 
 #: Labelled documents of each class that the field is fitted on, and lines of them, at most.
@@ -239,17 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     SAMPLE_DOCS documents of each class, in order of a hash of the id; those beyond SAMPLE_LINES / 2 lines of their class
     are left out before their lines are looked at. Executors turn texts into feature rows; only those come to the driver.
     """
-    known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod(F.col("lid"), mod) != left_out)).distinct()
-    picked = None
-    for y in (0, 1):
-        part = sample_by_hash(known.where(F.col("y") == y), ["lid"], SAMPLE_DOCS, 5)
-        picked = part if picked is None else picked.unionByName(part)
-    # One text an id: rows that repeat an id don't stretch the sample.
-    sample = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(picked), "lid").groupBy("lid", "y").agg(F.min("text").alias("text"))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    sample = materialize(sample.select("lid", "y", F.xxhash64(F.lit(5), "lid").alias("at"), F.coalesce(lines, F.lit(1)).cast("long").alias("n"), "text"), "quality-sample")
-    upto = F.sum("n").over(Window.partitionBy("y").orderBy("at", "lid"))  # numbers only, of 2 * SAMPLE_DOCS documents
-    kept = sample.select("lid", "y", upto.alias("upto"), "at", "n").where(F.col("upto") <= SAMPLE_LINES // 2).select("lid", "y")
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, mod, left_out, {0: SAMPLE_DOCS, 1: SAMPLE_DOCS}, lines, SAMPLE_LINES // 2, 5, "quality-sample")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 feats = np.hstack([x, chars[:, None]]).astype(np.float32).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i]], b.column(0).type), pa.array([ys[i]], pa.int32()), pa.array(per_doc.astype(np.int32)), pa.array([feats], pa.binary())], names=["lid", "y", "n", "feats"])
 
-    rows = sample.join(F.broadcast(kept), ["lid", "y"]).select("lid", "text", "y").mapInArrow(extract, f"lid {kind}, y int, n int, feats binary").collect()
+    rows = sample.select("lid", "text", "y").mapInArrow(extract, f"lid {kind}, y int, n int, feats binary").collect()
     rows.sort(key=lambda r: (r["lid"], r["y"], r["feats"]))
     if not rows:
         return Field(np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))

@@ -8,11 +8,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as Wn
 
-from .common import materialize, text_key
+from .common import join_heavy, materialize, text_key
 from .components import components
 
 SHINGLE = 3
@@ -52,9 +52,14 @@ def _map_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(fps)], names=["doc_id", "tkey", "fp"])
 
 
+def whole_id(docs: DataFrame, id_col: str) -> Column:
+    """Ids as long; null for those that are no whole number."""
+    return docs[id_col].try_cast("long")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, tkey, fp)`` for every row; ``fp`` holds the 64 bits as a signed long, ``tkey`` a hash of the text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).mapInArrow(_map_fingerprints, "doc_id long, tkey long, fp long")
+    return docs.select(whole_id(docs, id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).mapInArrow(_map_fingerprints, "doc_id long, tkey long, fp long")
 
 
 def _halves(fp: DataFrame) -> DataFrame:
@@ -117,10 +122,10 @@ def links(fp: DataFrame) -> DataFrame:
 
 
 def _classes(fps: DataFrame) -> DataFrame:
-    """``(fp, root)``: the component of every fingerprint."""
-    groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-groups")
+    """``(fp, first_id, n, root)``: the component of every fingerprint, its smallest id and its number of rows."""
+    groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "fingerprint-groups")
     roots = components(links(groups.select("fp")))
-    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,10 +136,10 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     rows = fps.groupBy("fp", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", "n"))
-    named = rows.groupBy("fp").agg(first.alias("row")).join(_classes(fps), "fp")
+    named = rows.groupBy("fp").agg(first.alias("row")).join(_classes(fps).select("fp", "root"), "fp")
     kept = named.groupBy("root").agg(F.min("row").alias("row"))
     kept = materialize(kept.select(F.col("row.doc_id").alias("kept_id__"), F.col("row.tkey").alias("kept_key__"), F.col("row.n").alias("kept_n__")), "kept-rows")
-    whole = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("kept_id__")) & (text_key(docs[text_col]) == F.col("kept_key__")))
+    whole = docs.join(kept, whole_id(docs, id_col).eqNullSafe(F.col("kept_id__")) & (text_key(docs[text_col]) == F.col("kept_key__")))
     once = whole.where(F.col("kept_n__") == 1).unionByName(whole.where(F.col("kept_n__") > 1).dropDuplicates(["kept_id__", "kept_key__"]))
     return once.drop("kept_id__", "kept_key__", "kept_n__")
 
@@ -144,13 +149,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies share a fingerprint and meet in one aggregated row before any search, so groups of thousands cost one entry.
     Null, empty and wordless texts have fingerprint zero and link like any other. Repeated rows each get a row. A null id
-    stays null and doesn't count for ``component_id``, which is null only if the component holds no id at all. An empty
+    or one that is no whole number, stays null and doesn't count for ``component_id``, which is null only if the component holds no id at all. An empty
     table gives an empty result. Other columns are ignored.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     named = _classes(fps)
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lookup = named.join(lowest, "root").select("fp", "component_id")
-    return fps.join(lookup, "fp").select(
+    lookup = materialize(named.join(lowest, "root").select("fp", "component_id", "n"), "fingerprint-components")
+    return join_heavy(fps, lookup, "fp", "n", fps.count()).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -12,11 +12,11 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, held_out, sample_by_hash
+from .common import held_out, labelled_sample
 from .learn import Logistic
 
-#: Labelled documents that the model is fitted on, at most; of each class.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 2000, 4000
+#: Labelled documents that the model is fitted on, at most, of each class, and bytes of their texts, of each class too.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 2000, 4000, 24 << 20
 #: Words of a window, bytes of the two dictionaries, words of the ordinary training text.
 WINDOW_WORDS, ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_WORDS = 16, 65536, 2500, 200_000
 #: A training passage counts as toxic by its rarest 5-byte pieces: in at least this share of toxic documents, this much more often than in ordinary ones.
@@ -115,13 +115,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, left_out: int = 0) -> Model:
-    """Learn from a bounded sample of rows with a 0/1 label whose crc32(id as text) mod ``mod`` is not ``left_out``."""
-    known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod(F.col("lid"), mod) != left_out)).distinct()
-    texts = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text"))
-    rows = []  # one text an id: rows that repeat an id don't stretch the sample
-    for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
-        picked = sample_by_hash(known.where(F.col("y") == y), ["lid"], most, 11)
-        rows += [(r["lid"], (r["text"] or "").encode(), y) for r in texts.join(F.broadcast(picked), "lid").groupBy("lid").agg(F.min("text").alias("text")).collect()]
+    """Learn from a bounded sample of rows with a 0/1 label whose crc32(id as text) mod ``mod`` is not ``left_out``; documents beyond SAMPLE_BYTES of their class are left out."""
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, mod, left_out, {1: SAMPLE_TOXIC, 0: SAMPLE_ORDINARY}, F.octet_length("text"), SAMPLE_BYTES, 11, "toxicity-sample")
+    rows = [(r["lid"], (r["text"] or "").encode(), r["y"]) for r in sample.collect()]
     rows.sort()
     order = np.random.default_rng(3).permutation(len(rows))
     return Model([rows[i][1] for i in order], [rows[i][2] for i in order])
