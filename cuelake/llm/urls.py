@@ -23,6 +23,8 @@ SIZE = len(SYMBOLS)
 STRENGTH = 2.0
 #: Bins of the scores that the threshold is chosen from, and their span.
 BINS, SPAN = 400, 4.0
+#: One ruled URL in so many, by a hash of the URL, is kept from the models; the threshold is chosen on these.
+KEPT_BACK = 5
 
 
 def _after(url: Column) -> Column:
@@ -52,13 +54,18 @@ def symbols(url: Column) -> Column:
     return F.concat(F.lit("^^"), F.regexp_replace(plain, r"(?s)[^a-z0/.:\-_?=&#%+]", "~"))
 
 
-def _codes(text: Column) -> Column:
-    """Symbol numbers, from 0."""
-    return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+#: Stand-ins of the symbols with neighbouring code points, so that a symbol's number is a subtraction.
+_FIRST = 0x4000
+_STAND_INS = "".join(chr(_FIRST + i) for i in range(SIZE))
+
+
+def codes(text: Column) -> Column:
+    """Symbol numbers, from 0, of a text of symbols."""
+    return F.transform(F.split(F.translate(text, SYMBOLS, _STAND_INS), ""), lambda c: F.ascii(c) - _FIRST)
 
 
 def _grams(codes: Column) -> Column:
-    """Numbers of all three-symbol windows."""
+    """Numbers of all three-symbol windows. ``codes`` must be a column: each window looks at it three times."""
     i = F.sequence(F.lit(0), F.size(codes) - 3)
     return F.transform(i, lambda k: F.get(codes, k) * SIZE * SIZE + F.get(codes, k + 1) * SIZE + F.get(codes, k + 2))
 
@@ -86,29 +93,42 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``(page_id, host, path, rule, verdict, score)``, one row for each row of ``pages``.
 
     The longest fitting rule decides. Where none fits, two smoothed variable-order Markov models do, one of the URLs that
-    rules allow and one of those they block: the log-likelihood difference per character against the threshold that best
-    separates the two in equal weight. Tables of all SIZE**3 three-symbol windows make the models, so their size is fixed and a look-up
-    is one array access; counting and scoring run inside expressions, with one small aggregation between.
+    rules allow and one of those they block: the log-likelihood difference per character against a threshold. One ruled URL
+    in KEPT_BACK is kept from the models; the threshold is the middle of the stretch of scores that separates these best,
+    both verdicts weighing alike. Tables of all SIZE**3 three-symbol windows make the models, so their size is fixed and a
+    look-up is one array access; counting and scoring run inside expressions, with one small aggregation between.
 
     Null urls and those without ``://`` have empty host and path and fit no rule; they are scored like any other (null as
-    the empty text, score 0). With no allowed or no blocked URL to learn from, the threshold is 0. Null ids and repeated
-    rows stay as they are; an empty table gives an empty result. Other columns are ignored.
+    the empty text, score 0). With no allowed or no blocked URL kept back, the threshold is 0. Null ids and repeated rows
+    stay as they are; an empty table gives an empty result. URLs of any length are taken whole. Other columns are ignored.
     """
     host, path = split_url(F.col("url"))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"), codes(symbols(F.col("url"))).alias("codes"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.select("*", name.alias("rule"), verdict.alias("ruled"), _grams(_codes(symbols(F.col("url")))).alias("grams"))
-    base = materialize(base, "urls")
-    learn = base.where(F.col("ruled").isNotNull()).select("ruled", F.explode("grams").alias("gram"))
-    counts = learn.groupBy("gram").agg(F.count_if(F.col("ruled") == "allow").alias("yes"), F.count_if(F.col("ruled") == "block").alias("no"))
-    table = _log_ratios(counts).agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
+    back = F.pmod(F.xxhash64(F.lit(31), "url"), F.lit(KEPT_BACK)) == 0
+    base = materialize(base.select("page_id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"), back.alias("back"), _grams(F.col("codes")).alias("grams")), "urls")
+    allowed, blocked = F.count_if(F.col("ruled") == "allow").alias("yes"), F.count_if(F.col("ruled") == "block").alias("no")
+    learn = base.where(F.col("ruled").isNotNull() & ~F.col("back")).select("ruled", F.explode("grams").alias("gram"))
+    table = _log_ratios(learn.groupBy("gram").agg(allowed, blocked)).agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
     table = materialize(table, "url-model")
     per_char = F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.get("ratios", g)) / F.greatest(F.lit(1), F.size("grams"))
-    scored = base.withColumn("ratios", table.scalar()).select("page_id", "url", "host", "path", "rule", "ruled", F.when(F.coalesce(F.length("url"), F.lit(0)) == 0, 0.0).otherwise(per_char).alias("score"))
-    bin_ = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS)))
-    binned = scored.where(F.col("ruled").isNotNull()).groupBy(bin_.alias("bin")).agg(F.count_if(F.col("ruled") == "allow").alias("yes"), F.count_if(F.col("ruled") == "block").alias("no"))
-    down = Window.partitionBy(F.lit(1)).orderBy("bin")
-    whole = Window.partitionBy(F.lit(1))
-    gain = F.sum("no").over(down.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("no").over(whole) - F.sum("yes").over(down.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("yes").over(whole)
-    cut = binned.withColumn("gain", F.coalesce(F.try_add(gain, F.lit(0.0)), F.lit(0.0))).agg(F.coalesce(F.max_by("bin", F.struct("gain", -F.col("bin"))) / BINS * 2 * SPAN - SPAN, F.lit(0.0)).alias("cut"))
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= cut.scalar(), "allow").otherwise("block")).alias("verdict"), "score")
+    score = F.when(F.coalesce(F.length("url"), F.lit(0)) == 0, 0.0).otherwise(per_char)
+    scored = materialize(base.withColumn("ratios", table.scalar()).select("page_id", "host", "path", "rule", "ruled", "back", score.alias("score")), "url-scores")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= _threshold(scored.where("ruled is not null and back")), "allow").otherwise("block")).alias("verdict"), "score")
+
+
+def _threshold(known: DataFrame) -> float:
+    """The score that separates ``known(ruled, score)`` best; of a stretch of scores that do so alike its middle; 0 without both verdicts."""
+    at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS))).cast("int")
+    bins = known.groupBy(at.alias("bin")).agg(F.count_if(F.col("ruled") == "allow").alias("yes"), F.count_if(F.col("ruled") == "block").alias("no")).orderBy("bin").collect()  # BINS rows at most
+    yes, no = sum(r["yes"] for r in bins), sum(r["no"] for r in bins)
+    if not yes or not no:
+        return 0.0
+    best, cut, below_yes, below_no, last = -1.0, 0.0, 0, 0, None
+    for r in bins:
+        # Any cut after the bin before and up to this one leaves the same URLs below.
+        gain = below_no / no - below_yes / yes
+        if last is not None and gain > best:
+            best, cut = gain, (last + 1 + r["bin"]) / 2
+        below_yes, below_no, last = below_yes + r["yes"], below_no + r["no"], r["bin"]
+    return 0.0 if best < 0 else cut / BINS * 2 * SPAN - SPAN

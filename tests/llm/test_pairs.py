@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cuelake.llm import ann, decontaminate, simhash
+from cuelake.llm import ann, common, decontaminate, simhash
 from cuelake.llm.components import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -108,6 +108,26 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1, 3, 10_000])
+def test_heavy_keys_join_like_others(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY_KEYS", heavy)
+    left = [(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (9, 2)) for i in range(n)]
+    right = [(1, "a", 50), (2, "b", 3), (3, "c", 1), (4, "d", 0)]
+    got = common.join_heavy(spark.createDataFrame(left, "k long, i int"), spark.createDataFrame(right, "k long, v string, n long"), "k", "n", len(left))
+    want = sorted((k, i, v) for k, i in left for r, v, _ in right if r == k)
+    assert sorted(map(tuple, got.select("k", "i", "v").collect())) == want
+    hub = [(0, i) for i in range(1, 80)] + [(i, 1000 + i) for i in range(1, 80, 7)] + [(5000, 5001)]
+    roots = dict(components(spark.createDataFrame(hub, "u long, v long")).collect())
+    assert all(r == (5000 if n >= 5000 else 0) for n, r in roots.items()) and len(roots) == 80 + 12 + 2
+
+
+def test_simhash_takes_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("7", "a b c d e"), ("x1", "a b c d e"), ("9", "q r s t u v w")], "doc_id string, text string")
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(-1, 7), (7, 7), (9, 9)]
+    assert simhash.one_per_group(docs).count() == 2
+
+
 def plain_leaks(docs, items):
     wins = []
     for i, t in items:

@@ -168,6 +168,87 @@ def test_language_on_held_out_rows(labelled):
     assert langid.language_id(labelled[0].limit(0)).count() == 0
 
 
+def test_language_counts_and_cosines_equal_plain_ones():
+    def mix(h):
+        h ^= h >> 15
+        return (h * 0x2C1B3C6D % 2**32) >> 20
+
+    def plain(text):
+        kept, before = [32], True
+        for c in text.lower():
+            if c.isalpha() or not before:
+                kept.append(ord(c) if c.isalpha() else 32)
+            before = not c.isalpha()
+        kept += [32] * (not before)
+        m, out = 2**32, Counter()
+        for i, c in enumerate(kept):
+            out[mix(c * 0x9E3779B1 % m)] += 1
+            if i:
+                out[mix(kept[i - 1] * 0x9E3779B1 % m ^ (c * 0x85EBCA6B + 1) % m)] += 1
+            if i > 1:
+                out[mix(kept[i - 2] * 0x9E3779B1 % m ^ kept[i - 1] * 0x85EBCA6B % m ^ c * 0xC2B2AE35 % m)] += 1
+        return out
+
+    rng = random.Random(3)
+    texts = [words(rng, rng.randint(2, 60), EN if i % 2 else DE) + ", 12 é!" for i in range(80)]
+    for t in texts:
+        got = langid.counts(t)
+        assert {i: n for i, n in enumerate(got) if n} == plain(t), t
+    assert langid.counts("a " * 200_000).max() > 65_535  # no count is clipped
+    x = np.array([np.log1p(langid.counts(t)) for t in texts], np.float32)
+    model = langid.Centroids(x.copy(), ["en" if i % 2 else "de" for i in range(80)])
+    names, scores, _ = model.predict(texts)
+    idf = np.log(81 / (1 + (x > 0).sum(axis=0))) + 1
+    for i, t in enumerate(texts):
+        w = np.zeros(langid.SLOTS)
+        for slot, n in plain(t).items():
+            w[slot] = math.log1p(n) * idf[slot]
+        cos = [w @ c / np.linalg.norm(w) for c in model.matrix.T]
+        assert scores[i] == pytest.approx(min(1.0, max(cos)), abs=1e-5) and names[i] == model.names[model.owner[int(np.argmax(cos))]]
+
+
+def test_unknown_languages_are_rejected(labelled):
+    model = langid.fit(labelled[0])
+    rng = random.Random(12)
+    strange = [words(rng, 60, ["qxz", "jkw", "vvq", "zzx", "kqj"]) for _ in range(20)] + [words(rng, 60, ["και", "των", "στη", "ους", "μέ"]) for _ in range(20)] + ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(400)) for _ in range(20)]
+    assert model.predict(strange)[2].all()
+    fresh = [words(rng, rng.randint(20, 90), EN if i % 2 else DE) for i in range(200)]
+    assert not model.predict(fresh)[2].any()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 8)
+    rows = [(i, f"{chr(97 + i // 4 % 26)}{chr(97 + i // 104)}x " * 9, f"l{i // 4:03d}") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.names) == {lang for i, _, lang in rows if any(crc(j, 4) != 2 for j in range(i // 4 * 4, i // 4 * 4 + 4))}
+
+
+def test_toxic_windows_equal_plain_compression():
+    import zstandard as zstd
+
+    rng = random.Random(6)
+    texts = [(words(rng, 60, EN) + (" vilescum rottener" * 3 if i % 2 else "")).encode() for i in range(300)]
+    d = toxicity.fit_dictionaries(texts, [i % 2 for i in range(300)])
+
+    def size(content, w):
+        p = zstd.ZstdCompressionParameters(strategy=zstd.STRATEGY_FAST, min_match=6, target_length=1, hash_log=17, chain_log=16, search_log=5, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(zstd.ZstdCompressor(compression_params=p, dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress(w))
+
+    for t in (None, b"", b" \n", b"one", texts[0], texts[1], texts[1] * 50):
+        ws = (t or b"").lower().split()
+        plain = [b" ".join(ws[i : i + toxicity.WINDOW_WORDS]) for i in range(0, len(ws), toxicity.WINDOW_WORDS)] or [b""]
+        assert d.gains(t).tolist() == [size(d.ordinary, w) - size(d.ordinary + d.toxic, w) for w in plain]
+    assert d.gains(texts[1]).max() > d.gains(texts[0]).max()
+
+
+def test_toxicity_sample_is_bounded_in_bytes(labelled, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
+    docs, labels = labelled
+    huge = docs.sparkSession.createDataFrame([(5001, "the " * 100_000, "c", "en")], SCHEMA)
+    rows = toxicity.toxicity(docs.unionByName(huge), labels.unionByName(docs.sparkSession.createDataFrame([(5001, 1, 1)], labels.schema))).collect()
+    assert accuracy(rows, lambda i: int(i % 4 == 0), "predicted", 5, 0) > 0.85
+
+
 def test_losses_equal_plain_models(spark):
     texts = ["a b a b c", "b a b", "A c, c", None, "", "d d d d"]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
@@ -352,6 +433,60 @@ def test_urls_equal_plain_rules(spark):
     assert urls.filter_urls(df.where("page_id = 8")).count() == 1
 
 
+def test_url_scores_equal_plain_models(spark):
+    rng = random.Random(9)
+    allow = [f"http://good{rng.randrange(90)}.site.com/page/{rng.randrange(999)}" for _ in range(150)]
+    block = [f"http://spamfarm{rng.randrange(90)}.pills.net/es/{rng.randrange(999)}?Q=%41" for _ in range(150)]
+    open_ = [f"http://good{i}.site.org/page/{i}" for i in range(40)] + [f"http://spamfarm{i}.pills.org/es/{i}" for i in range(40)]
+    us = allow + block + open_ + [None, "", "x", "http://a.org/" + "long/" * 20_000, "http://ü~.org"] + allow[:3]
+    df = spark.createDataFrame(list(enumerate(us)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.filter_urls(df).collect()}
+    back = {r["page_id"] for r in df.where("pmod(xxhash64(31, url), 5) = 0").collect()}
+
+    def code(u):
+        u = "".join("0" if c in "0123456789" else chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in u)
+        return "^^" + "".join(c if c in urls.SYMBOLS[1:-1] else "~" for c in u)
+
+    def model(kind):
+        n3, n2, n1, c2, c1, total = Counter(), Counter(), Counter(), Counter(), Counter(), 0
+        for i, u in enumerate(us):
+            rule = plain_rule(u)[2]
+            if rule and dict((r, v) for v, r in urls.RULES)[rule] == kind and i not in back:
+                s = code(u)
+                for a, b, c in zip(s, s[1:], s[2:], strict=False):
+                    n3[a, b, c] += 1
+                    n2[b, c] += 1
+                    n1[c] += 1
+                    c2[a, b] += 1
+                    c1[b] += 1
+                    total += 1
+
+        def p(a, b, c):
+            p0 = (n1[c] + 1) / (total + urls.SIZE)
+            p1 = (n2[b, c] + urls.STRENGTH * p0) / (c1[b] + urls.STRENGTH)
+            return (n3[a, b, c] + urls.STRENGTH * p1) / (c2[a, b] + urls.STRENGTH)
+
+        return p
+
+    yes, no = model("allow"), model("block")
+    for i, u in enumerate(us):
+        s = code(u or "")
+        want = sum(math.log(yes(*g) / no(*g)) for g in zip(s, s[1:], s[2:], strict=False)) / max(1, len(s) - 2) if u else 0.0
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9)
+    kept = [(got[i]["score"], plain_rule(us[i])[2] == "com/") for i in back if plain_rule(us[i])[2]]
+    low, high = max(s for s, ok in kept if not ok), min(s for s, ok in kept if ok)
+    assert low < high  # the threshold lies between: unruled URLs like either side go with it
+    first = len(allow) + len(block)
+    assert all(got[i]["verdict"] == "allow" for i in range(first, first + 40)) and all(got[i]["verdict"] == "block" for i in range(first + 40, first + 80))
+    assert len(got) == len(us)
+
+
+def test_url_threshold_is_the_middle_of_the_gap(spark):
+    known = spark.createDataFrame([("allow", x) for x in (0.5, 0.7, 1.0)] + [("block", x) for x in (-1.0, -0.3, -0.1)], "ruled string, score double")
+    assert urls._threshold(known) == pytest.approx(0.2, abs=0.03)
+    assert urls._threshold(known.where("ruled = 'allow'")) == 0.0 == urls._threshold(known.limit(0))
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
