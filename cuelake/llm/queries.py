@@ -43,10 +43,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: documents labelled as good quality; background: all documents."""
+    """Target: documents labelled as good quality; background: all documents. Each is scored by the counts of all others."""
     docs = _read(spark, sf_dir, "documents")
     good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm.cross_entropy_difference(docs, lm.rows_with_ids(docs, good))
+    return lm.cross_entropy_difference(lm.mark_ids(docs, good))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

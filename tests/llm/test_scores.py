@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuelake.llm import langid, licenses, lm, mixing, quality, queries, toxicity, urls
 from cuelake.llm.license_rules import BASE_PHRASES, rules
@@ -249,68 +250,72 @@ def test_toxicity_sample_is_bounded_in_bytes(labelled, monkeypatch):
     assert accuracy(rows, lambda i: int(i % 4 == 0), "predicted", 5, 0) > 0.85
 
 
-def test_losses_equal_plain_models(spark):
-    texts = ["a b a b c", "b a b", "A c, c", None, "", "d d d d"]
-    docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
-    target = docs.where("doc_id in (0, 1)")
-    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, target).collect()}
-    toks = [WORD.findall((t or "").lower()) for t in texts]
+def plain_losses(rows):
+    """Losses of ``(text, in target)`` rows, each by the counts of all other rows."""
+    toks = [WORD.findall((t or "").lower()) for t, _ in rows]
+    uni, big, ctx = ([Counter() for _ in range(2)] for _ in range(3))
+    for w, (_, mine) in zip(toks, rows, strict=True):
+        for side in (0, 1) if mine else (1,):
+            uni[side].update(w)
+            big[side].update(zip(w, w[1:], strict=False))
+            ctx[side].update(w[:-1])
+    total = [sum(u.values()) for u in uni]
+    rates = (1.0, total[0] / total[1] if total[1] else 0.0)
+    for w, (_, mine) in zip(toks, rows, strict=True):
+        out = []
+        own = Counter(w), Counter(zip(w, w[1:], strict=False)), Counter(w[:-1])
+        for side, counted in ((0, bool(mine)), (1, True)):
+            r = rates[side]
+            n = lambda table, own_, x: (table[side][x] - own_[x] * counted) * r  # noqa: E731, B023
+            one = -sum(math.log((n(uni, own[0], x) + 1) / ((total[side] - len(w) * counted) * r + lm.VOCABULARY)) for x in w)
+            two = -sum(math.log((n(big, own[1], g) + lm.MU / lm.VOCABULARY) / (n(ctx, own[2], g[0]) + lm.MU)) for g in zip(w, w[1:], strict=False))
+            out.append((one + two) / 2 / max(1, len(w)))
+        yield len(w), out[0], out[1]
+
+
+@pytest.mark.parametrize("hot", [0, 5, 50_000])
+def test_losses_equal_plain_models(spark, monkeypatch, hot):
+    """Null, empty, wordless, repeated and very long texts; hot features, many small chunks and buckets."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "CHUNK_DOCS", 7)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(lm, "HELD_ROWS", 3)
+    rng = random.Random(hot)
+    texts = ["a b a b c", "b a b", "A c, c", None, "", "!?", "d d d d", "é ü é"] + [words(rng, rng.randint(1, 40), EN) for _ in range(60)]
+    texts += [texts[20], texts[20], "a " * 20_000, " ".join(f"w{i}" for i in range(30_000))]
+    rows = [(None if i == 9 else i, t, i % 3 == 0 if i % 7 else None, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, in_target boolean, score string").repartition(3)
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs).collect()}
+    assert len(got) == len(rows)
+    for (i, *_), (n, target, background) in zip(rows, plain_losses([(t, m) for _, t, m, _ in rows]), strict=True):
+        assert got[i]["n_words"] == n
+        assert (got[i]["loss_target"], got[i]["loss_background"]) == pytest.approx((target, background), abs=1e-5)
+        assert got[i]["score"] == pytest.approx(target - background, abs=2e-5)
 
-    def model(rows, scale):
-        uni, big, ctx = Counter(), Counter(), Counter()
-        for w in rows:
-            uni.update(w)
-            big.update(zip(["^", *w], w, strict=False))
-            ctx.update(["^", *w][:-1] if w else [])
-        n = sum(uni.values()) * scale
 
-        def p(u, w):
-            base = (uni[w] * scale + 1) / (n + 4 + 1)
-            return (big[u, w] * scale + lm.MU * base) / (max(ctx[u], big[u, w]) * scale + lm.MU)
+def test_losses_without_rows_or_target(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string").selectExpr("*", "false as in_target")
+    assert lm.cross_entropy_difference(docs.limit(0)).count() == 0
+    got = lm.cross_entropy_difference(docs).collect()
+    want = [(t, b) for _, t, b in plain_losses([("a b a", False), ("b c", False)])]
+    assert [(r["loss_target"], r["loss_background"]) for r in sorted(got)] == [pytest.approx(w) for w in want]
 
-        return p
 
-    all_n, t_n = sum(map(len, toks)), sum(len(toks[i]) for i in (0, 1))
-    pt, pb = model([toks[0], toks[1]], 1.0), model(toks, t_n / all_n)
-    for i, w in enumerate(toks):
-        for name, p in (("loss_target", pt), ("loss_background", pb)):
-            want = -sum(math.log(p(u, x)) for u, x in zip(["^", *w], w, strict=False)) / max(1, len(w))
-            assert got[i][name] == pytest.approx(want, abs=1e-5)
-        assert got[i]["n_words"] == len(w)
-    assert lm.cross_entropy_difference(docs.limit(0), target).count() == 0
-    assert all(abs(r["score"]) < 1e-6 for r in lm.cross_entropy_difference(docs, docs.limit(0)).collect())
-
-
-@pytest.mark.parametrize("most", [0, 10**6])
-def test_losses_count_every_word(spark, monkeypatch, most):
-    """A vocabulary of over 50,000 words that occur once each, by a broadcast and by a shuffle."""
-    monkeypatch.setattr(lm, "BROADCAST_WORDS", most, raising=False)
-    toks = [[f"w{i}" for i in range(60_000)], ["w1", "w2", "w1", "w2"], ["w5", "w9"], ["w1", "w2", "x"], []]
-    rows = [(i, " ".join(w)) for i, w in enumerate(toks)] + [(None, "w1 w2"), (2, "w5 w9")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm.cross_entropy_difference(docs, docs.where("doc_id in (1, 3)")).collect()
-    assert len(got) == len(rows)
-    sides = [[toks[1], toks[3]], [*toks, ["w1", "w2"], ["w5", "w9"]]]
-    totals = [sum(map(len, s)) for s in sides]
-    size = len({x for w in sides[1] for x in w})
-    for name, side, total in zip(("loss_target", "loss_background"), sides, totals, strict=True):
-        uni, big, ctx = Counter(x for w in side for x in w), Counter(), Counter()
-        for w in side:
-            big.update(zip(["^", *w], w, strict=False))
-            ctx.update(["^", *w][:-1] if w else [])
-        rate = totals[0] / total
-        for r in got:
-            w = ["w1", "w2"] if r["doc_id"] is None else toks[r["doc_id"]]
-            p = [(big[u, x] * rate + lm.MU * (uni[x] * rate + 1) / (totals[0] + size + 1)) / (ctx[u] * rate + lm.MU) for u, x in zip(["^", *w], w, strict=False)]
-            assert r["n_words"] == len(w) and r[name] == pytest.approx(-sum(map(math.log, p)) / max(1, len(w)), abs=1e-6)
+def test_a_second_copy_is_scored_apart(spark):
+    rng = random.Random(1)
+    rows = [(i, words(rng, 60, EN), False) for i in range(200)]
+    rows += [(1000, rows[3][1], False)]
+    got = {r["doc_id"]: r["loss_background"] for r in lm.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string, in_target boolean").withColumn("in_target", F.col("doc_id") < 100)).collect()}
+    others = [v for k, v in got.items() if k not in (3, 1000)]
+    assert got[3] == pytest.approx(got[1000]) and got[3] < min(others) - 1
 
 
 @pytest.mark.parametrize("most", [0, 100])
-def test_rows_with_ids(spark, monkeypatch, most):
+def test_marked_ids(spark, monkeypatch, most):
     monkeypatch.setattr(lm, "BROADCAST_IDS", most)
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "doc_id long, text string")
     ids = spark.createDataFrame([(2,), (2,), (None,), (9,)], "doc_id long")
-    assert [r["text"] for r in lm.rows_with_ids(docs, ids).collect()] == ["b", "b"]
+    assert sorted((r["text"], r["in_target"]) for r in lm.mark_ids(docs, ids).collect()) == [("a", False), ("b", True), ("b", True), ("c", False)]
 
 
 def plain_bases(text):
