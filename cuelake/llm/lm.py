@@ -19,7 +19,7 @@ VOCABULARY, MU = 10_000_000, 8.0
 #: Features met most often in a sample of about SAMPLE_DOCS documents are counted apart and sent to every executor: so many at most.
 HOT, SAMPLE_DOCS = 50_000, 20_000
 #: Words and documents that a chunk holds, about, and bytes of text whose features make one bucket, about.
-CHUNK_WORDS, CHUNK_DOCS, BUCKET_BYTES = 2_000_000, 30_000, 16 << 20
+CHUNK_WORDS, CHUNK_DOCS, BUCKET_BYTES = 1_200_000, 30_000, 8 << 20
 #: Sums that a task holds before it passes them on.
 HELD_ROWS = 4_000_000
 #: Ids that are sent to every executor, at most (8 MB); a longer list is joined by a shuffle.
