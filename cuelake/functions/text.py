@@ -78,6 +78,34 @@ def collapse_transcript(text: Column | str) -> Column:
     return F.regexp_replace(flat, r"([.!?])(?=[A-Z])", "$1 ")
 
 
+def strip_markup(text: Column | str) -> Column:
+    """A transcript without the tags that gateways leave in it, its white space collapsed."""
+    bare = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?i)<\s*/?\s*(?:chinese|english|transcript|text|think|thinking)\s*>", " ")
+    return collapse_transcript(F.regexp_replace(bare, r"(?i)\b(?:think|thinking)\s*>\s*", " "))
+
+
+#: Language names and their short codes, and codes that stand for another.
+LANGUAGE_ALIASES = {"chinese": "zh", "cantonese": "yue", "english": "en", "japanese": "ja", "korean": "ko", "french": "fr", "german": "de", "spanish": "es", "russian": "ru", "portuguese": "pt", "italian": "it"}
+
+
+def language_code(name: Column | str) -> Column:
+    """The main part of a language code in lower case; English names count as their codes. Null becomes empty."""
+    plain = F.replace(F.lower(strip(F.coalesce(_c(name), F.lit("")))), F.lit("_"), F.lit("-"))
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGE_ALIASES.items() for x in pair])
+    return F.substring_index(F.coalesce(F.get(F.array(F.try_element_at(known, plain)), F.lit(0)), plain), "-", 1)
+
+
+def speech_language(name: Column | str) -> Column:
+    """What a Chinese and English recogniser is told: zh, en or auto."""
+    code = language_code(name)
+    return F.when(code.isin("zh", "yue", "cmn"), "zh").when(code == "en", "en").otherwise("auto")
+
+
+def content_key(*parts: Column | str) -> Column:
+    """A key of all that changes a result: nulls and parts of other order or borders give other keys."""
+    return F.sha2(F.to_json(F.array(*[F.coalesce(_c(p).cast("string"), F.lit("\x00")) for p in parts])), 256)
+
+
 def graphemes(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(r"\X"), F.lit(0))
 
@@ -103,9 +131,9 @@ def reading_units(text: Column | str, policy: SpeedPolicy) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
     n, space = F.length(t), F.regexp_count(t, F.lit(r"(?U)\s"))
     marks, strong, cjk = F.regexp_count(t, F.lit(r"\p{P}")), F.regexp_count(t, F.lit(STRONG)), F.regexp_count(t, F.lit(CHARACTER_SCRIPT))
-    rest = (n - space - marks - cjk).cast("double") + (marks - strong) * policy.weak_punctuation_weight + strong * policy.strong_punctuation_weight + space * policy.whitespace_weight
+    rest = (n - space - marks - cjk).cast("double") + (marks - strong) * policy.marks.weak + strong * policy.marks.strong + space * policy.marks.space
     plain = F.struct(cjk.cast("double").alias("cjk"), rest.alias("non_cjk"), n.alias("graphemes"))
-    weight = {"whitespace": policy.whitespace_weight, "weak_punctuation": policy.weak_punctuation_weight, "strong_punctuation": policy.strong_punctuation_weight, "non_cjk": 1.0}
+    weight = {"whitespace": policy.marks.space, "weak_punctuation": policy.marks.weak, "strong_punctuation": policy.marks.strong, "non_cjk": 1.0}
 
     def add(s: Column, kind: Column) -> Column:
         side = F.lit(0.0)
@@ -123,8 +151,8 @@ def reading_load(text: Column | str, duration_ms: Column, policy: SpeedPolicy) -
     seconds = F.when(duration_ms > 0, duration_ms / 1000)
 
     def loads(u: Column) -> Column:
-        comfort = u["cjk"] / policy.comfort_cps_cjk + u["non_cjk"] / policy.comfort_cps_latin
-        hard = u["cjk"] / policy.hard_cps_cjk + u["non_cjk"] / policy.hard_cps_latin
+        comfort = u["cjk"] / policy.comfort.cjk + u["non_cjk"] / policy.comfort.latin
+        hard = u["cjk"] / policy.hard.cjk + u["non_cjk"] / policy.hard.latin
         return F.struct(
             (u["cjk"] + u["non_cjk"]).alias("units"), u["graphemes"].alias("graphemes"), comfort.alias("comfort_s"), hard.alias("hard_s"), (comfort / seconds).alias("comfort_load"), (hard / seconds).alias("hard_load")
         )
@@ -243,6 +271,12 @@ def ass_time(ms: Column) -> Column:
     return F.concat(h.cast("string"), F.lit(":"), _two(m), F.lit(":"), _two(s), F.lit("."), _two(F.floor(f / 10)))
 
 
+def lrc_time(ms: Column) -> Column:
+    """Minutes, seconds (not padded) and hundredths."""
+    ms = F.greatest(F.lit(0).cast("long"), ms)
+    return F.concat(_two(F.floor(ms / 60_000)), F.lit(":"), F.format_string("%.2f", (ms % 60_000) / 1000))
+
+
 def clock_ms(text: Column | str) -> Column:
     """Milliseconds of ``[H:]MM:SS[.,]fff``; fractions of one to three digits are tenths, hundredths or thousandths. Null for other texts."""
     form = r"^\s*(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d{1,3}))?\s*$"

@@ -1,7 +1,7 @@
-"""Operators whose next step depends on the last: one media item's cues at a time, in order.
+"""Operators whose next step depends on the last: ordered cues at a time.
 
-Each runs in ``applyInPandas`` over ``media_id``. A media item holds thousands of cues, not millions; larger groups than
-MOST_CUES raise an error instead of filling a worker.
+What forgets all at a long gap runs in ``applyInPandas`` over runs between such gaps, which windows number; the rest over
+whole media items, which hold thousands of cues.
 """
 
 from __future__ import annotations
@@ -10,16 +10,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cues import in_order, lag
 from ..functions.text import NO_SPACE, count_words, estimate_tokens, mainly_cjk, reading_load, squeeze, strip
 from ..policy import SpeedPolicy
 from ..storage import keep
 from .metrics import local_targets
 from .windows import with_protection, with_rhythm
 
-MOST_CUES = 100_000
 #: Words that leave a line hanging, and words that open or close a clause.
 WEAK_ENDS = frozenset("a an the to of in on at for from with about into onto by as than and or but if because that this these those".split())
 CLAUSE_OPENERS = ("and", "or", "but", "if", "then", "because", "as", "until", "while", "what", "when", "where", "nor", "yet", "so", "for", "however", "moreover", *"和及与但而或因我你他她它咱您这那哪")
@@ -29,13 +29,22 @@ LIMIT_CJK, LIMIT_WORDS = 25, 18
 
 def per_media(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``f`` over the ordered cues of each media item."""
+    return rows.groupBy("media_id").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > MOST_CUES:
-            raise ValueError(f"media {g['media_id'].iloc[0]} has {len(g)} cues; {MOST_CUES} fit a group")
-        return f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True))
 
-    return rows.groupBy("media_id").applyInPandas(run, schema)
+def per_run(rows: DataFrame, breaks: Column, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``f`` over each run of ordered cues of a media item; a run begins where ``breaks`` holds."""
+    runs = rows.withColumn("run__", F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("media_id", "run__").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
+
+
+def _gap() -> Column:
+    return F.col("start_ms") - lag("end_ms")
+
+
+def _numbered(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """``rows`` with their place in the media item, from 0."""
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy("media_id").orderBy(*order)) - 1).cast("int"))
 
 
 def _cuts(start: np.ndarray, end: np.ndarray, max_gap: int, usual: bool = True) -> list[int]:
@@ -57,10 +66,11 @@ def adaptive_groups(cues: DataFrame, max_gap_ms: int = 1500) -> DataFrame:
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
         marks = np.zeros(len(g), int)
-        marks[_cuts(g["start_ms"].to_numpy(), g["end_ms"].to_numpy(), max_gap_ms)[1:]] = 1
-        return pd.DataFrame({"media_id": g["media_id"], "cue_idx": g["cue_idx"], "group_no": marks.cumsum()})
+        marks[_cuts(g["start_ms"].to_numpy(), g["end_ms"].to_numpy(), max_gap_ms)] = 1
+        return g[["media_id", "cue_idx", "start_ms"]].assign(begins=marks)
 
-    return per_media(cues.select("media_id", "cue_idx", "start_ms", "end_ms"), f, "media_id long, cue_idx int, group_no int")
+    marked = per_run(cues.select("media_id", "cue_idx", "start_ms", "end_ms"), _gap() > max_gap_ms, f, "media_id long, cue_idx int, start_ms long, begins int")
+    return marked.select("media_id", "cue_idx", (F.sum("begins").over(in_order().rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int").alias("group_no"))
 
 
 def _measured(cues: DataFrame) -> DataFrame:
@@ -83,11 +93,10 @@ def merge_short(cues: DataFrame) -> DataFrame:
                     p |= {"text": p["text"] + ("" if p["cjk"] else " ") + r.text, "end_ms": r.end_ms, "words": p["words"] + r.words, "last_idx": r.cue_idx}
                     continue
             out.append({"media_id": r.media_id, "start_ms": r.start_ms, "end_ms": r.end_ms, "text": r.text, "words": r.words, "cjk": r.cjk, "first_idx": r.cue_idx, "last_idx": r.cue_idx})
-        d = pd.DataFrame(out)
-        d["cue_idx"] = np.arange(len(d))
-        return d[["media_id", "cue_idx", "start_ms", "end_ms", "text", "first_idx", "last_idx"]]
+        return pd.DataFrame(out)[["media_id", "start_ms", "end_ms", "text", "first_idx", "last_idx"]]
 
-    return per_media(_measured(cues).select("media_id", "cue_idx", "start_ms", "end_ms", "text", "words", "cjk"), f, _CUE)
+    joined = per_run(_measured(cues).select("media_id", "cue_idx", "start_ms", "end_ms", "text", "words", "cjk"), F.abs(_gap()) >= 500, f, _CUE.replace("cue_idx int, ", ""))
+    return _numbered(joined, "cue_idx", ["start_ms", "first_idx"]).select("media_id", "cue_idx", "start_ms", "end_ms", "text", "first_idx", "last_idx")
 
 
 def _clauses(texts: list[str], cjk: list[bool], a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -132,11 +141,13 @@ def segment(words: DataFrame) -> DataFrame:
             long = n_words[a:b].sum() > (LIMIT_CJK if cjk_part(a, b) else LIMIT_WORDS)
             for c, d in _clauses(texts, cjk, a, b) if long else [(a, b)]:
                 spans += _halves(texts, start, end, n_words, cjk_part, c, d)
-        rows = [(g["media_id"].iloc[0], i, start[a], end[b - 1], "".join(texts[a:b]).strip(), g["cue_idx"].iloc[a], g["cue_idx"].iloc[b - 1]) for i, (a, b) in enumerate(sorted(spans))]
-        return pd.DataFrame(rows, columns=["media_id", "cue_idx", "start_ms", "end_ms", "text", "first_idx", "last_idx"])
+        first, last = np.array(sorted(spans)).T
+        idx = g["cue_idx"].to_numpy()
+        return pd.DataFrame({"media_id": g["media_id"].iloc[0], "start_ms": start[first], "end_ms": end[last - 1], "text": ["".join(texts[a:b]).strip() for a, b in zip(first, last, strict=True)], "first_idx": idx[first], "last_idx": idx[last - 1]})
 
     w = _measured(words).withColumn("visible", F.length(squeeze("text"))).withColumn("letters", F.regexp_count("text", F.lit(NO_SPACE)))
-    return per_media(w.select("media_id", "cue_idx", "start_ms", "end_ms", "text", "words", "cjk", "visible", "letters"), f, _CUE)
+    lines = per_run(w.select("media_id", "cue_idx", "start_ms", "end_ms", "text", "words", "cjk", "visible", "letters"), _gap() > 500, f, _CUE.replace("cue_idx int, ", ""))
+    return _numbered(lines, "cue_idx", ["start_ms", "first_idx"]).select("media_id", "cue_idx", "start_ms", "end_ms", "text", "first_idx", "last_idx")
 
 
 def alignment_windows(cues: DataFrame, target_ms: int = 45_000, most_ms: int = 90_000, reset_ms: int = 1500, pad_ms: int = 1500) -> DataFrame:
@@ -146,28 +157,27 @@ def alignment_windows(cues: DataFrame, target_ms: int = 45_000, most_ms: int = 9
     """
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
-        s, e = g["start_ms"].to_numpy(), g["end_ms"].to_numpy()
-        resets = [0, *[i for i in range(1, len(g)) if s[i] - e[i - 1] >= reset_ms], len(g)]
-        rows = []
-        for a, b in zip(resets, resets[1:], strict=False):
-            while a < b:
-                last, options = a, []
-                for i in range(a, b):
-                    span = e[i] - s[a]
-                    if span > most_ms and i > a:
-                        break
-                    last = i
-                    if i < b - 1:
-                        options.append((abs(span - target_ms), -(s[i + 1] - e[i]), i))
-                    if span >= target_ms:
-                        break
-                cut = last if last == b - 1 or not options else min(options)[2]
-                rows.append((g["media_id"].iloc[0], len(rows), g["cue_idx"].iloc[a], g["cue_idx"].iloc[cut], s[a], e[cut], max(0, s[a] - pad_ms), e[cut] + pad_ms))
-                a = cut + 1
-        return pd.DataFrame(rows, columns=["media_id", "window_no", "first_idx", "last_idx", "cue_start_ms", "cue_end_ms", "clip_start_ms", "clip_end_ms"])
+        s, e, n = g["start_ms"].to_numpy(), g["end_ms"].to_numpy(), len(g)
+        rows, a = [], 0
+        while a < n:
+            last, options = a, []
+            for i in range(a, n):
+                span = e[i] - s[a]
+                if span > most_ms and i > a:
+                    break
+                last = i
+                if i < n - 1:
+                    options.append((abs(span - target_ms), -(s[i + 1] - e[i]), i))
+                if span >= target_ms:
+                    break
+            cut = last if last == n - 1 or not options else min(options)[2]
+            rows.append((g["media_id"].iloc[0], g["cue_idx"].iloc[a], g["cue_idx"].iloc[cut], s[a], e[cut], max(0, s[a] - pad_ms), e[cut] + pad_ms))
+            a = cut + 1
+        return pd.DataFrame(rows, columns=["media_id", "first_idx", "last_idx", "cue_start_ms", "cue_end_ms", "clip_start_ms", "clip_end_ms"])
 
     c = cues.where((F.length(strip("text")) > 0) & (F.col("end_ms") > F.col("start_ms"))).select("media_id", "cue_idx", "start_ms", "end_ms")
-    return per_media(c, f, "media_id long, window_no int, first_idx int, last_idx int, cue_start_ms long, cue_end_ms long, clip_start_ms long, clip_end_ms long")
+    out = per_run(c, _gap() >= reset_ms, f, "media_id long, first_idx int, last_idx int, cue_start_ms long, cue_end_ms long, clip_start_ms long, clip_end_ms long")
+    return _numbered(out, "window_no", ["cue_start_ms", "first_idx"]).select("media_id", "window_no", "first_idx", "last_idx", "cue_start_ms", "cue_end_ms", "clip_start_ms", "clip_end_ms")
 
 
 def _json_costs(cues: DataFrame) -> DataFrame:
@@ -329,9 +339,9 @@ class _Timing:
         self.hard, self.comfort = g["hard_s"].to_numpy(float), g["comfort_s"].to_numpy(float)
         self.rhythm, self.fixed = g["rhythm_id"].to_numpy(), g["protected"].to_numpy(bool)
         self.ids, self.target = g["cue_idx"].to_numpy(), g["target_load"].to_numpy(float)
-        self.budget = np.where(g["boundary_budget_ms"].isna(), policy.low_shift_ms, g["boundary_budget_ms"].fillna(0)).astype(np.int64)
+        self.budget = g["boundary_budget_ms"].astype(float).fillna(policy.budget.low).to_numpy(np.int64)
         self.said = g["speech_start_ms"].to_numpy(float), g["speech_end_ms"].to_numpy(float)
-        self.least = round(policy.technical_min_duration_seconds * 1000)
+        self.least = round(policy.display.possible * 1000)
 
     @staticmethod
     def _rank(values: np.ndarray, weights: np.ndarray, ids: np.ndarray, q: float) -> float:
@@ -349,10 +359,10 @@ class _Timing:
         pos = load > 0
         spread = self._rank(load[pos], dur[pos], self.ids[pos], 0.9) / self._rank(load[pos], dur[pos], self.ids[pos], 0.1) if pos.sum() >= 3 else None
         low, high = np.minimum(load[1:], load[:-1]), np.maximum(load[1:], load[:-1])
-        felt = (self.rhythm[1:] == self.rhythm[:-1]) & ok[1:] & ok[:-1] & (low > 0) & (high >= self.p.effective_jump_load)
+        felt = (self.rhythm[1:] == self.rhythm[:-1]) & ok[1:] & ok[:-1] & (low > 0) & (high >= self.p.jump.felt)
         ratio = high[felt] / low[felt]
         jump = self._rank(ratio, np.ones(len(ratio)), self.ids[1:][felt], 0.9) if len(ratio) >= 2 else None
-        return int((~ok).sum()), deficit, int((self.hard[ok] / dur[ok] > 1).sum()), int((ratio > self.p.adjacent_emergency_limit).sum()), spread, jump
+        return int((~ok).sum()), deficit, int((self.hard[ok] / dur[ok] > 1).sum()), int((ratio > self.p.jump.never).sum()), spread, jump
 
     @staticmethod
     def not_worse(a: tuple, b: tuple) -> bool:
@@ -434,7 +444,7 @@ class _Timing:
                 continue
             loads = lambda x, y: (max(self.comfort[i] / x, self.comfort[k] / y), min(self.comfort[i] / x, self.comfort[k] / y))  # noqa: E731, B023
             high, low = loads(da, db)
-            if high / low <= self.p.adjacent_p90_target:
+            if high / low <= self.p.jump.wanted:
                 continue
             move = round((da + db) * self.comfort[i] / (self.comfort[i] + self.comfort[k])) - da
             budget = int(min(self.budget[i], self.budget[k]))
@@ -473,7 +483,7 @@ def optimize_timing(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text:
     c = cues
     for name, kind in (("boundary_budget_ms", "long"), ("speech_start_ms", "double"), ("speech_end_ms", "double")):
         c = c.withColumn(name, F.col(name).cast(kind) if name in cues.columns else F.lit(None).cast(kind))
-    c = with_protection(with_rhythm(c, policy.rhythm_reset_ms), policy, text)
+    c = with_protection(with_rhythm(c, policy.rhythm.pause_ms), policy, text)
     own = F.col("protected_by").isNotNull()
     c = c.withColumn("load__", reading_load(text, F.lit(None).cast("long"), policy))
     c = c.withColumn("protected", own | F.col("protected") if "protected" in cues.columns else own)
@@ -483,7 +493,7 @@ def optimize_timing(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text:
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
         t = _Timing(g, policy)
-        log = t.optimize() + (t.balance() if policy.bidirectional_smoothing else [])
+        log = t.optimize() + (t.balance() if policy.balance else [])
         times = pd.DataFrame({"cue_idx": t.ids, "boundary": None, "before_ms": t.start, "after_ms": t.end, "reason": None})
         rows = pd.concat([times, pd.DataFrame(log, columns=["cue_idx", "boundary", "before_ms", "after_ms", "reason"])] if log else [times], ignore_index=True)
         rows.insert(0, "media_id", g["media_id"].iloc[0])

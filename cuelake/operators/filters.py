@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..cues import in_order, lag, not_blank
 from ..functions.text import count_words, mainly_cjk, only_punctuation, spaced_script, strip, trim_weak_tail
+from .joins import substring_hits
 from .windows import MUSIC
 
 #: Whole lines that stand for sounds.
@@ -58,7 +59,10 @@ def drop_made_up(cues: DataFrame, phrases: DataFrame | None = None) -> DataFrame
     kept = cues.where(~t.rlike(BRACKET_LED))
     for p in MADE_UP:
         kept = kept.where(~F.contains("text", F.lit(p)))
-    return kept if phrases is None else kept.join(F.broadcast(phrases), F.contains(kept["text"], phrases["phrase"]), "left_anti")
+    if phrases is None:
+        return kept
+    ids = ["media_id", "cue_idx"]
+    return kept.join(substring_hits(kept.select(*ids, "text"), phrases.select(F.col("phrase").alias("form_id"), F.col("phrase").alias("form")), ids), ids, "left_anti")
 
 
 def clamp(cues: DataFrame, durations: DataFrame) -> DataFrame:
@@ -122,10 +126,24 @@ def too_long_to_speak(text: Column, duration_ms: Column, threshold: float = 1.0)
     return F.when(mainly_cjk(text), F.length(F.regexp_replace(text, r"(?U)\s+", "")) / seconds > 5.5 * threshold).otherwise(count_words(text) / seconds > 2.7 * threshold)
 
 
-def search_log(log: DataFrame, needle: str, cols: tuple[str, ...] = ("request_id", "task_id", "file_name", "stage", "role", "status")) -> DataFrame:
+def search_log(log: DataFrame, needle: str, cols: tuple[str, ...] = ("model", "request_id", "task_id", "file_name", "stage", "role", "status", "messages", "response")) -> DataFrame:
+    """Rows with ``needle`` in any of ``cols`` that the log has, without regard to case."""
+    cols = tuple(c for c in cols if c in log.columns)
     return log.where(F.contains(F.lower(F.concat_ws("\n", *[F.col(c).cast("string") for c in cols])), F.lit(needle.lower())))
 
 
+def primary_side(layout: Column, prefer: str = "translate") -> Column:
+    """Which side is displayed first: text or translated_text, null where both are blank; and (``cjk_side``) which holds text without spaces."""
+    blank = lambda c: F.length(strip(F.coalesce(F.col(c), F.lit("")))) == 0
+    first, _ = side_text(layout, prefer)
+    return F.when(blank("text") & blank("translated_text"), F.lit(None).cast("string")).when(~blank("translated_text") & (first == strip("translated_text")) & (blank("text") | (first != strip("text")) | F.lit(prefer != "original")), "translated_text").otherwise("text")
+
+
+def cjk_side() -> Column:
+    """The side that is mainly of a script without spaces: the translation if it is, else the text if it is, else null."""
+    return F.when(mainly_cjk("translated_text"), "translated_text").when(mainly_cjk("text"), "text")
+
+
 def preflight(media: DataFrame, cues: DataFrame, most_ms: int = 6 * 3600 * 1000) -> DataFrame:
     """``(media_id, failed)``: what keeps ``media(media_id, duration_ms, audio_tracks)`` from being aligned with its cues."""
     c = cues.groupBy("media_id").agg(F.max("end_ms").alias("last"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("end_ms") <= F.col("start_ms")).alias("bad"))
@@ -149,7 +167,3 @@ def eligible_windows(windows: DataFrame, cues: DataFrame) -> DataFrame:
     ids = graded.select("media_id", "window_id", F.explode("cue_ids").alias("cue_id"))
     gone = ids.join(cues.select("media_id", F.col("cue_id")), ["media_id", "cue_id"], "left_anti").select("media_id", "window_id").distinct()
     return graded.join(gone, ["media_id", "window_id"], "left_anti")
-
-
-def with_index_order(cues: DataFrame) -> DataFrame:
-    return cues.withColumn("prev_end", lag("end_ms")).withColumn("row", F.row_number().over(in_order()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cues import in_order
+from ..functions.similarity import term_key
 from ..functions.text import contains_term, match_key, number_key, protected_tokens, strip
 
 
@@ -56,57 +57,89 @@ def glossary_forms(glossary: DataFrame) -> DataFrame:
     return glossary.select("entry_id", F.explode(F.array_distinct(F.concat(F.array("source_term"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("form")).where(F.length(strip("form")) > 0)
 
 
+#: Letters of the pieces by which a form is looked up.
+PIECE = 3
+
+
+def substring_hits(texts: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys.., form_id)`` where ``texts(keys.., text)`` holds a form of ``forms(form_id, form)``, letter by letter.
+
+    Forms meet only texts with their first PIECE letters, by an equi join of the pieces; texts are fetched after, for those
+    alone. Empty forms occur nowhere; null texts and forms don't count.
+    """
+    f = forms.where(F.length("form") > 0).withColumn("piece", F.substring("form", 1, PIECE))
+    sizes = F.array(*[F.lit(k) for k in range(1, PIECE + 1)])
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))
+    pieces = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.when(F.length("text") >= n, at(n)).otherwise(F.array().cast("array<string>")))))
+    near = texts.select(*keys, F.explode(pieces).alias("piece")).join(f, "piece").select(*keys, "form_id", "form").distinct()
+    return near.join(texts, keys).where(F.contains("text", F.col("form"))).select(*keys, "form_id").distinct()
+
+
 def word_key(form: Column) -> Column:
-    """The first ASCII word of a form, to look it up by; null if its start needs no word boundary (it is searched everywhere then)."""
-    return F.nullif(F.regexp_extract(F.lower(form), r"^([a-z0-9]+)", 1), F.lit(""))
+    """The longest ASCII word of a form, to look it up by: wherever the form occurs, that word stands alone. Null if it has none."""
+    words = F.regexp_extract_all(F.lower(form), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
 
 
 def term_hits(cues: DataFrame, glossary: DataFrame) -> DataFrame:
     """``(media_id, cue_idx, entry_id)`` where a cue's text holds a term or alias.
 
-    Forms that begin with an ASCII word meet only cues with that word, by an equi join; the few others are looked for in
-    every cue. Both are checked with the whole form.
+    Forms with an ASCII word meet only cues with their longest one, by an equi join of keys alone; the others are found by
+    their first letters. Texts are fetched for what has met, and checked with the whole form.
     """
     forms = glossary_forms(glossary).withColumn("key", word_key(F.col("form")))
-    c = cues.select("media_id", "cue_idx", "text")
-    words = c.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("key"))
-    near = words.join(forms.where(F.col("key").isNotNull()), "key").where(contains_term(F.col("text"), F.col("form"))).select("media_id", "cue_idx", "entry_id")
-    rest = c.join(F.broadcast(forms.where(F.col("key").isNull())), contains_term(c["text"], F.col("form"))).select("media_id", "cue_idx", "entry_id")
-    return near.unionByName(rest).distinct()
+    c, ids = cues.select("media_id", "cue_idx", "text"), ["media_id", "cue_idx"]
+    words = c.select(*ids, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("key"))
+    met = words.join(forms.where(F.col("key").isNotNull()), "key").select(*ids, "entry_id", "form")
+    rest = forms.where(F.col("key").isNull()).select(F.struct("entry_id", "form").alias("form_id"), F.lower("form").alias("form"))
+    marked = substring_hits(c.where(F.col("text").rlike(r"[^a-zA-Z0-9\s]")).withColumn("text", F.lower("text")), rest, ids).select(*ids, "form_id.entry_id", "form_id.form")
+    return met.unionByName(marked).distinct().join(c, ids).where(contains_term(F.col("text"), F.col("form"))).select(*ids, "entry_id").distinct()
 
 
 def relevant_entries(glossary: DataFrame, cues: DataFrame) -> DataFrame:
-    """Entries that name one of the cues among their occurrences, or whose form occurs in one."""
-    by_id = glossary.select("entry_id", F.explode("occurrence_ids").alias("cue_idx")).join(cues.select("cue_idx").distinct(), "cue_idx", "left_semi").select("entry_id")
-    return glossary.join(by_id.unionByName(term_hits(cues, glossary).select("entry_id")).distinct(), "entry_id", "left_semi")
+    """``(media_id, entry_id)`` of entries that name one of a media item's cues among their occurrences, or whose form occurs in one.
+
+    Occurrences are cue numbers of the glossary's ``media_id``; without that column only forms count.
+    """
+    by_text = term_hits(cues, glossary).select("media_id", "entry_id")
+    if "media_id" in glossary.columns:
+        named = glossary.select("media_id", "entry_id", F.explode("occurrence_ids").alias("cue_idx"))
+        by_text = by_text.unionByName(named.join(cues.select("media_id", "cue_idx"), ["media_id", "cue_idx"], "left_semi").select("media_id", "entry_id"))
+    return by_text.distinct()
 
 
 def occurrences(cues: DataFrame, glossary: DataFrame) -> DataFrame:
-    """``(entry_id, media_id, cue_ids)`` of every entry that occurs."""
-    return term_hits(cues, glossary).groupBy("entry_id", "media_id").agg(F.array_sort(F.collect_set("cue_idx")).alias("cue_ids"))
+    """``(entry_id, media_id, cue_ids)`` of every entry that occurs: plain substrings of normalised texts, without regard to word ends."""
+    texts = cues.select("media_id", "cue_idx", term_key(F.col("text")).alias("text"))
+    forms = glossary_forms(glossary).select(F.col("entry_id").alias("form_id"), term_key(F.col("form")).alias("form"))
+    hits = substring_hits(texts, forms, ["media_id", "cue_idx"])
+    return hits.groupBy(F.col("form_id").alias("entry_id"), "media_id").agg(F.array_sort(F.collect_set("cue_idx")).alias("cue_ids"))
 
 
 def unenforced_terms(cues: DataFrame, glossary: DataFrame) -> DataFrame:
     """``(media_id, cue_idx, entry_id)`` where the text holds a form but the translation lacks the agreed one."""
     g = glossary.select("entry_id", "translation")
-    j = term_hits(cues, glossary).join(F.broadcast(g), "entry_id").join(cues.select("media_id", "cue_idx", "translated_text"), ["media_id", "cue_idx"])
+    j = term_hits(cues, glossary).join(g, "entry_id").join(cues.select("media_id", "cue_idx", "translated_text"), ["media_id", "cue_idx"])
     return j.where(~F.contains(F.lower("translated_text"), F.lower("translation"))).select("media_id", "cue_idx", "entry_id")
 
 
 def merge_issues(model: DataFrame, local: DataFrame) -> DataFrame:
-    """One row a cue: categories and messages of both tables, the model's first, each once."""
-    empty = F.array().cast("array<string>")
-    m = model.groupBy("media_id", "cue_idx").agg(F.flatten(F.array_sort(F.collect_list("categories"))).alias("mc"), F.array_sort(F.collect_set("message")).alias("mm"))
-    n = local.groupBy("media_id", "cue_idx").agg(F.flatten(F.array_sort(F.collect_list("categories"))).alias("lc"), F.array_sort(F.collect_set("message")).alias("lm"))
-    join = lambda a, b: F.array_distinct(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)))
-    return m.join(n, ["media_id", "cue_idx"], "full").select("media_id", "cue_idx", join("mc", "lc").alias("categories"), F.concat_ws("; ", join("mm", "lm")).alias("message"))
+    """One row a cue: categories and messages of both tables, the model's first, each once and in the order of ``issue_no``.
+
+    Both: ``media_id, cue_idx, issue_no, categories, message``.
+    """
+    both = model.withColumn("origin", F.lit(0)).unionByName(local.withColumn("origin", F.lit(1)), allowMissingColumns=True)
+    rows = F.array_sort(F.collect_list(F.struct("origin", "issue_no", "categories", "message")))
+    g = both.groupBy("media_id", "cue_idx").agg(rows.alias("r"))
+    messages = F.array_distinct(F.filter(F.transform("r", lambda x: x["message"]), lambda m: m.isNotNull() & (m != "")))
+    return g.select("media_id", "cue_idx", F.array_distinct(F.flatten(F.transform("r", lambda x: F.coalesce(x["categories"], F.array().cast("array<string>"))))).alias("categories"), F.array_join(messages, "; ").alias("message"))
 
 
 def apply_speakers(utterances: DataFrame, profiles: DataFrame, voice: str, style: str = "") -> DataFrame:
     """Voice and style of each utterance's speaker, else of the profile named default, else those given. Blank values count as missing."""
-    p = F.broadcast(profiles.select(F.col("speaker"), F.nullif("voice", F.lit("")).alias("v1"), F.nullif("style", F.lit("")).alias("s1")))
-    d = F.broadcast(profiles.where(F.col("speaker") == "default").select(F.nullif("voice", F.lit("")).alias("v2"), F.nullif("style", F.lit("")).alias("s2")).limit(1))
-    u = utterances.join(p, "speaker", "left").join(d, F.lit(True), "left")
+    p = profiles.select(F.col("speaker"), F.nullif("voice", F.lit("")).alias("v1"), F.nullif("style", F.lit("")).alias("s1"))
+    default = profiles.where(F.col("speaker") == "default").agg(F.first(F.struct(F.nullif("voice", F.lit("")).alias("v"), F.nullif("style", F.lit("")).alias("s"))).alias("d"))
+    u = utterances.join(p, "speaker", "left").withColumn("d", default.scalar()).withColumn("v2", F.col("d.v")).withColumn("s2", F.col("d.s")).drop("d")
     return u.withColumn("voice", F.coalesce("v1", "v2", F.lit(voice))).withColumn("style", F.coalesce("s1", "s2", F.lit(style))).drop("v1", "s1", "v2", "s2")
 
 
@@ -165,8 +198,9 @@ def representative_contexts(hits: DataFrame, cues: DataFrame, k: int = 5, radius
 
 
 def missing_results(labels: DataFrame, variants: DataFrame, done: DataFrame) -> DataFrame:
-    """Combinations of label and variant without a successful run; both tables are small lists."""
-    return labels.crossJoin(F.broadcast(variants)).join(done.where(F.col("status") == "ok").select("label", "variant"), ["label", "variant"], "left_anti")
+    """Combinations of label and variant without a successful run; the variants are a short list."""
+    every = variants.agg(F.array_sort(F.collect_set("variant")).alias("v"))
+    return labels.withColumn("variant", F.explode(every.scalar())).join(done.where(F.col("status") == "ok").select("label", "variant"), ["label", "variant"], "left_anti")
 
 
 def classify_import(imported: DataFrame, current: DataFrame, schema_version: int = 1) -> DataFrame:
@@ -186,11 +220,20 @@ def reuse_evidence(work: DataFrame, sidecar: DataFrame, cache: DataFrame) -> tup
 
 def resolve_voices(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
     """``wanted(provider, voice)`` with the voice that ``aliases(provider, alias, voice_id)`` gives it, and whether it is known."""
-    a = F.broadcast(aliases.select("provider", F.lower("alias").alias("k"), "voice_id"))
+    a = aliases.select("provider", F.lower("alias").alias("k"), "voice_id")
     w = wanted.withColumn("k", F.lower(F.trim("voice")))
     return w.join(a, ["provider", "k"], "left").withColumn("known", F.col("voice_id").isNotNull()).withColumn("voice_id", F.coalesce("voice_id", "voice")).drop("k")
 
 
+def attach_short_lines(utterances: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Utterances with the shortened line of ``short(media_id, idx, text)`` in ``rewritten_text`` where there is one, and ``(media_id, requested, applied)``."""
+    s = short.select("media_id", "idx", strip("text").alias("short__")).where(F.length("short__") > 0)
+    out = utterances.join(s, ["media_id", "idx"], "left").withColumnRenamed("short__", "rewritten_text")
+    asked = short.groupBy("media_id").agg(F.countDistinct("idx").alias("requested"))
+    done = out.where(F.col("rewritten_text").isNotNull()).groupBy("media_id").agg(F.count(F.lit(1)).alias("applied"))
+    return out, asked.join(done, "media_id", "left").select("media_id", "requested", F.coalesce("applied", F.lit(0).cast("long")).alias("applied"))
+
+
 def token_differences(source: Column, translation: Column) -> Column:
     """Protected tokens of the source that the translation lacks, numbers compared by value."""
     keys = F.transform(protected_tokens(translation), number_key)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cues import in_order, lag, lead
-from ..functions.text import audit_chars, count_words, mainly_cjk, only_punctuation, reading_load, strip
+from ..functions.text import audit_chars, count_words, mainly_cjk, reading_load, strip
 from ..policy import PostprocessConfig, SpeedPolicy
 from ..storage import keep
 from .windows import with_protection, with_rhythm
@@ -14,7 +14,7 @@ from .windows import with_protection, with_rhythm
 
 def samples(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text") -> DataFrame:
     """``(media_id, cue_idx, start_ms, duration_ms, rhythm_id, units, comfort_s, hard_s, comfort_load, hard_load)``, one row a cue."""
-    c = with_rhythm(cues, policy.rhythm_reset_ms) if "rhythm_id" not in cues.columns else cues
+    c = with_rhythm(cues, policy.rhythm.pause_ms) if "rhythm_id" not in cues.columns else cues
     load = reading_load(text, F.col("end_ms") - F.col("start_ms"), policy)
     c = c.withColumn("load", load).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
     return c.select("media_id", "cue_idx", "start_ms", "duration_ms", "rhythm_id", "load.units", "load.comfort_s", "load.hard_s", "load.comfort_load", "load.hard_load")
@@ -56,21 +56,21 @@ def jumps(s: DataFrame, policy: SpeedPolicy = SpeedPolicy()) -> DataFrame:
     """``(media_id, cue_idx, ratio)`` of neighbouring loads within a rhythm, where the higher one is felt at all."""
     low, high = F.least(lag("comfort_load"), F.col("comfort_load")), F.greatest(lag("comfort_load"), F.col("comfort_load"))
     both = lag("comfort_load").isNotNull() & F.col("comfort_load").isNotNull() & (lag("rhythm_id") == F.col("rhythm_id"))
-    j = s.select("media_id", "cue_idx", F.when(both & (low > 0) & (high >= policy.effective_jump_load), high / low).alias("ratio"))
+    j = s.select("media_id", "cue_idx", F.when(both & (low > 0) & (high >= policy.jump.felt), high / low).alias("ratio"))
     return j.where(F.col("ratio").isNotNull())
 
 
 def adjacent_jump(s: DataFrame, policy: SpeedPolicy = SpeedPolicy()) -> DataFrame:
     """``(media_id, compared, emergencies, jump_p90)``; the percentile needs two jumps."""
     j = jumps(s, policy).withColumn("one", F.lit(1))
-    n = j.groupBy("media_id").agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("ratio") > policy.adjacent_emergency_limit).alias("emergencies"))
+    n = j.groupBy("media_id").agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("ratio") > policy.jump.never).alias("emergencies"))
     p = weighted_percentiles(j, ["media_id"], "ratio", "one", "cue_idx", {"p90": 0.9})
     return n.join(p, "media_id").select("media_id", "compared", "emergencies", F.when(F.col("compared") >= 2, F.col("p90")).alias("jump_p90"))
 
 
 def speed_metrics(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text") -> DataFrame:
-    """One metric row for each media item."""
-    s = samples(cues, policy, text)
+    """One metric row for each media item. Texts are measured once; the parts read the kept numbers."""
+    s = keep(samples(cues, policy, text), "samples")
     zero = F.lit(0).cast("long")
     return (
         hard_deficit(s)
@@ -93,13 +93,13 @@ def _median(items: Column, total: Column, least: int) -> Column:
 
 def local_targets(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text") -> DataFrame:
     """``(media_id, cue_idx, target_load)``: the median load of near neighbours in the rhythm, else of the rhythm, else of the media item, else 1."""
-    c = with_protection(with_rhythm(cues, policy.rhythm_reset_ms), policy, text)
+    c = with_protection(with_rhythm(cues, policy.rhythm.pause_ms), policy, text)
     c = c.withColumn("l", reading_load(text, F.col("end_ms") - F.col("start_ms"), policy))
     counts = F.col("protected_by").isNull() & (F.col("l.comfort_load") > 0) & (F.col("l.hard_load") <= 1)
     c = c.select("media_id", "cue_idx", "start_ms", "rhythm_id", F.when(counts, F.col("l.comfort_load")).alias("load"), (F.col("end_ms") - F.col("start_ms")).alias("weight"))
     c = keep(c, "loads")  # numbers only; five uses follow
     item = F.struct("load", "weight", F.col("cue_idx").alias("id"))
-    near = Window.partitionBy("media_id").orderBy("start_ms", "cue_idx").rowsBetween(-policy.local_window_radius, policy.local_window_radius)
+    near = Window.partitionBy("media_id").orderBy("start_ms", "cue_idx").rowsBetween(-policy.rhythm.neighbours, policy.rhythm.neighbours)
     around = F.collect_list(F.when(F.col("load").isNotNull(), F.struct("rhythm_id", item.alias("item")))).over(near)
     mine = F.transform(F.filter("around", lambda x: (x["rhythm_id"] == F.col("rhythm_id")) & (x["item"]["id"] != F.col("cue_idx"))), lambda x: x["item"])
     local = c.withColumn("around", around).withColumn("mine", F.array_sort(mine))
@@ -113,7 +113,7 @@ def local_targets(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: st
         return n.join(m, by).select(*by, F.when(F.col("n") >= 3, F.col("m")).alias(name))
 
     out = local.join(medians(["media_id", "rhythm_id"], "of_rhythm"), ["media_id", "rhythm_id"], "left").join(medians(["media_id"], "of_media"), "media_id", "left")
-    return out.select("media_id", "cue_idx", F.greatest(F.lit(policy.effective_jump_load), F.coalesce("local", "of_rhythm", "of_media", F.lit(1.0))).alias("target_load"))
+    return out.select("media_id", "cue_idx", F.greatest(F.lit(policy.jump.felt), F.coalesce("local", "of_rhythm", "of_media", F.lit(1.0))).alias("target_load"))
 
 
 def sides(cues: DataFrame) -> DataFrame:
@@ -206,9 +206,16 @@ def repeated_ngrams(texts: DataFrame, key: str = "media_id", n: int = 10, least:
     t = F.coalesce(F.col("text"), F.lit(""))
     parts = F.when(mainly_cjk(t), F.filter(F.split(t, ""), lambda x: x.rlike(r"(?U)\S"))).otherwise(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9']+"), F.lit(0)))
     p = texts.select(key, parts.alias("parts"))
-    grams = p.where(F.size("parts") >= n).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - n + 1), lambda i: F.xxhash64(F.concat_ws("\x1f", F.slice("parts", i, n))))).alias("gram"))
-    most = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.max("c").alias("most"))
-    return p.select(key).join(most, key, "left").select(key, F.coalesce("most", F.lit(0).cast("long")).alias("most"), (F.coalesce("most", F.lit(0)) >= least).alias("repeated"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("parts") - n + 1), lambda i: F.xxhash64(F.concat_ws("\x1f", F.slice("parts", i, n))))
+    # Equal ones stand side by side once sorted: the longest stretch is counted within the row.
+    none = F.lit(0).cast("long")
+    longest = F.aggregate(
+        F.array_sort(grams),
+        F.struct(F.lit(None).cast("long").alias("last"), none.alias("run"), none.alias("most")),
+        lambda s, g: F.struct(g.alias("last"), F.when(s["last"].eqNullSafe(g), s["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"), F.greatest(s["most"], F.when(s["last"].eqNullSafe(g), s["run"] + 1).otherwise(F.lit(1).cast("long"))).alias("most")),
+        lambda s: s["most"],
+    )
+    return p.select(key, F.when(F.size("parts") >= n, longest).otherwise(none).alias("most")).withColumn("repeated", F.col("most") >= least)
 
 
 def dense_transcript(text: Column, duration_ms: Column) -> Column:
@@ -232,6 +239,39 @@ def dub_totals(fitted: DataFrame) -> DataFrame:
     return fitted.groupBy("media_id").agg(F.max(F.greatest("end_ms", end)).alias("timeline_ms"), F.count_if(end - F.col("end_ms") > 80).alias("overflowing"), F.count_if(F.col("speed_factor") > 1.0).alias("compressed"))
 
 
+#: The order of grades.
+GRADES = ("HIGH", "MEDIUM", "LOW")
+
+
+def grade_counts(evidence: DataFrame) -> DataFrame:
+    """``(media_id, grade, n)``: windows of evidence by grade, in the order of grades within a media item."""
+    rank = F.array_position(F.array(*map(F.lit, GRADES)), F.col("grade"))
+    return evidence.groupBy("media_id", "grade").agg(F.count(F.lit(1)).alias("n")).orderBy("media_id", rank)
+
+
+def run_table(runs: DataFrame) -> DataFrame:
+    """``runs(label, variant, return_code, elapsed_s, duration_s, cues)`` with seconds to the ms, real-time factor (null without duration) and whether the run stands: ended well, with cues."""
+    factor = F.round(F.col("elapsed_s") / F.when(F.col("duration_s") > 0, F.col("duration_s")), 3)
+    ok = F.coalesce((F.col("return_code") == 0) & (F.col("cues") > 0), F.lit(False))
+    return runs.select("label", "variant", "return_code", F.round("elapsed_s", 3).alias("elapsed_s"), F.round("duration_s", 3).alias("duration_s"), factor.alias("realtime_factor"), "cues", ok.alias("accepted"))
+
+
+def stage_summaries(stages: DataFrame) -> DataFrame:
+    """``(media_id, stage, line, status)`` of ``stages(media_id, stage, label, value, failed, warnings)``: one line a stage, counts in order of label, zero ones left out.
+
+    ``failed`` rows with a value above zero degrade the stage.
+    """
+    g = stages.groupBy("media_id", "stage").agg(
+        F.array_sort(F.collect_list(F.when(F.col("value") > 0, F.struct("failed", "label", "value")))).alias("counts"), F.bool_or(F.col("failed") & (F.col("value") > 0)).alias("bad"), F.max("warnings").alias("warnings"),
+    )
+    shown = F.transform("counts", lambda x: F.concat_ws(" ", x["value"].cast("string"), x["label"]))
+    status = F.when(F.col("bad"), "degraded")
+    line = F.concat(
+        F.array_join(F.concat(F.array("stage"), shown), " · "), F.when(F.col("warnings") > 0, F.concat(F.lit(" · ⚠ "), F.col("warnings").cast("string"))).otherwise(""), F.when(F.col("bad"), " [degraded]").otherwise(""),
+    )
+    return g.select("media_id", "stage", line.alias("line"), status.alias("status"))
+
+
 def failure_gate(results: DataFrame) -> DataFrame:
     """``(media_id, failed, total, status)``: error when half or more of the batches failed, warn when any did."""
     g = results.groupBy("media_id").agg(F.count_if("failed").alias("failed_n"), F.count(F.lit(1)).alias("total"))
@@ -262,8 +302,3 @@ def compression_candidates(cues: DataFrame, cfg: PostprocessConfig = Postprocess
     near = cues.select("media_id", "cue_idx", lag("text").alias("previous"), lead("text").alias("following"))
     over = s.where(F.col("cps") > rate).withColumn("limit", F.floor((F.col("end_ms") - F.col("start_ms")) / 1000 * rate).cast("int"))
     return over.join(near, ["media_id", "cue_idx"]).select("media_id", "cue_idx", "side", "chars", "limit", "previous", "following")
-
-
-def punctuation_only(cues: DataFrame) -> DataFrame:
-    """Cues with a letter or digit, their texts stripped."""
-    return cues.where(~only_punctuation(F.col("text"))).withColumn("text", strip("text"))

@@ -9,14 +9,14 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import facts
 from ..functions.text import alignment_text, collapse_transcript, count_words, mainly_cjk, strip
 from ..policy import SpeedPolicy
 from ..storage import keep
-from .edit import MOST_CUES, _Timing
+from .edit import _Timing
 from .windows import MUSIC, merge_ranges
 
 #: What each grade of evidence allows.
@@ -29,13 +29,21 @@ _ANCHOR = "struct<cue_idx:int,text:string,start_ms:bigint,end_ms:bigint>"
 _EVIDENCE = f"media_id long, window_no int, grade string, coverage double, monotonic boolean, out_of_bounds double, span_ratio double, anchors array<{_ANCHOR}>"
 
 
+def cues_of_windows(plans: DataFrame, cues: DataFrame) -> DataFrame:
+    """``plans(media_id, window_no, first_idx, last_idx, ..)`` with each of their cues' numbers, by an equi join: every cue of a media item knows the last window that has begun."""
+    begun = Window.partitionBy("media_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, 0)
+    heads = plans.withColumn("plan__", F.struct(*plans.columns)).select("media_id", F.col("first_idx").alias("cue_idx"), "plan__")
+    c = cues.select("media_id", "cue_idx").join(heads, ["media_id", "cue_idx"], "left").withColumn("plan__", F.last("plan__", ignorenulls=True).over(begun))
+    return c.where(F.col("cue_idx") <= F.col("plan__.last_idx")).select("cue_idx", "plan__.*")
+
+
 def word_evidence(plans: DataFrame, cues: DataFrame, words: DataFrame) -> DataFrame:
     """Graded evidence for each window of ``alignment_windows``: words found in order in its text, and the cue that holds each.
 
     ``words(media_id, window_no, pos, start_ms, end_ms, text)`` are times from the start of the window's clip. Windows without
     words get LOW evidence without anchors.
     """
-    c = plans.join(cues.select("media_id", "cue_idx", alignment_text("text").alias("plain")), "media_id").where(F.col("cue_idx").between(F.col("first_idx"), F.col("last_idx")))
+    c = cues_of_windows(plans, cues).join(cues.select("media_id", "cue_idx", alignment_text("text").alias("plain")), ["media_id", "cue_idx"])
     one = F.array_sort(F.collect_list(F.struct("cue_idx", "plain")))
     p = c.groupBy("media_id", "window_no", "clip_start_ms", "clip_end_ms", "cue_start_ms", "cue_end_ms").agg(one.alias("cues"))
     w = words.select("media_id", "window_no", F.struct("pos", "start_ms", "end_ms", strip("text").alias("text"), alignment_text("text").alias("plain")).alias("w"))
@@ -90,9 +98,9 @@ def units(text: str, p: SpeedPolicy) -> tuple[float, float]:
     for g in _pieces(text):
         bare = [c for c in g if not unicodedata.category(c).startswith("M")]
         if g.isspace():
-            rest += p.whitespace_weight
+            rest += p.marks.space
         elif bare and all(unicodedata.category(c).startswith("P") for c in bare):
-            rest += p.strong_punctuation_weight if set(g) & set("!?！？…‼⁉") else p.weak_punctuation_weight
+            rest += p.marks.strong if set(g) & set("!?！？…‼⁉") else p.marks.weak
         elif regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", g):
             cjk += 1
         else:
@@ -146,15 +154,15 @@ class _Editor:
         total, shown = sum(units(c["text"], self.p)), c["end_ms"] - c["start_ms"]
         before = self.cues[i - 1]["end_ms"] if i else None
         after = self.cues[i + 1]["start_ms"] if i + 1 < len(self.cues) else None
-        alone = (before is None or c["start_ms"] - before >= self.p.hard_rhythm_reset_ms) and (after is None or after - c["end_ms"] >= self.p.hard_rhythm_reset_ms)
+        alone = (before is None or c["start_ms"] - before >= self.p.rhythm.stop_ms) and (after is None or after - c["end_ms"] >= self.p.rhythm.stop_ms)
         return bool(regex.search(MUSIC, c["text"])) or (total <= 12 and shown >= 4000) or (total <= 16 and shown >= 2500 and alone)
 
     def metrics(self, cues: list[dict]) -> _Timing:
         u = [units(c["text"], self.p) for c in cues]
-        gaps = [0, *[int(b["start_ms"] - a["end_ms"] >= self.p.rhythm_reset_ms) for a, b in zip(cues, cues[1:], strict=False)]]
+        gaps = [0, *[int(b["start_ms"] - a["end_ms"] >= self.p.rhythm.pause_ms) for a, b in zip(cues, cues[1:], strict=False)]]
         g = pd.DataFrame({
             "cue_idx": range(len(cues)), "start_ms": [c["start_ms"] for c in cues], "end_ms": [c["end_ms"] for c in cues],
-            "hard_s": [a / self.p.hard_cps_cjk + b / self.p.hard_cps_latin for a, b in u], "comfort_s": [a / self.p.comfort_cps_cjk + b / self.p.comfort_cps_latin for a, b in u],
+            "hard_s": [a / self.p.hard.cjk + b / self.p.hard.latin for a, b in u], "comfort_s": [a / self.p.comfort.cjk + b / self.p.comfort.latin for a, b in u],
             "rhythm_id": np.cumsum(gaps), "protected": False, "target_load": 1.0, "boundary_budget_ms": np.nan, "speech_start_ms": np.nan, "speech_end_ms": np.nan,
         })
         return _Timing(g, self.p)
@@ -178,10 +186,10 @@ class _Editor:
         return None
 
     def split(self, w: dict):
-        least = round(self.p.technical_min_duration_seconds * 1000)
+        least = round(self.p.display.possible * 1000)
         for i, c in enumerate(self.cues):
             said = w["said"].get(c["cue_idx"], [])
-            if c["end_ms"] - c["start_ms"] <= self.p.max_duration_seconds * 1000 or len(said) < 2 or self.fixed(i):
+            if c["end_ms"] - c["start_ms"] <= self.p.display.most * 1000 or len(said) < 2 or self.fixed(i):
                 continue
             cuts = [((x[1] + y[0]) // 2, k) for k, (x, y) in enumerate(zip(said, said[1:], strict=False)) if y[0] >= x[1]]
             cuts = [(t, k) for t, k in cuts if t - c["start_ms"] >= least and c["end_ms"] - t >= least]
@@ -217,7 +225,7 @@ class _Editor:
             if not found:
                 continue
             a, b, new = found
-            said = [sorted(x[1:3] for x in facts(" ".join(c["text"] for c in part))) for part in (self.cues[a:b], new)]
+            said = [sorted((x["category"], x["canonical"]) for x in facts(" ".join(c["text"] for c in part))) for part in (self.cues[a:b], new)]
             trial = [*self.cues[:a], *new, *self.cues[b:]]
             timing = self.metrics(trial)
             log = timing.optimize()
@@ -227,6 +235,55 @@ class _Editor:
                 now = after
 
 
+    def rewrite(self, windows: list[dict]) -> list[int]:
+        """New texts window by window, each kept if the metrics gain after the times are set anew; the windows that stayed."""
+        now, kept = self.metrics(self.cues).metrics(), []
+        for w in windows:
+            new = dict(zip(w["cue_ids"], w["texts"], strict=True))
+            trial = [c | {w["side"]: new.get(c["cue_idx"], c[w["side"]])} for c in self.cues]
+            if trial == self.cues:
+                continue
+            timing = self.metrics(trial)
+            timing.optimize()
+            after = timing.metrics()
+            if _Timing.better(now, after):
+                self.cues = [c | {"start_ms": int(s), "end_ms": int(e)} for c, s, e in zip(trial, timing.start, timing.end, strict=True)]
+                now = after
+                kept.append(w["window_no"])
+        return kept
+
+
+def accept_repairs(cues: DataFrame, repairs: DataFrame, policy: SpeedPolicy = SpeedPolicy()) -> tuple[DataFrame, DataFrame]:
+    """Cues after the repaired windows that make their media item better once times follow, and ``(media_id, window_no, status)`` of all.
+
+    ``repairs(media_id, window_no, cue_ids, texts)``: accepted rewrites of the original side, by cue index. Windows are tried
+    in order, each on what the ones before it left. Media items without repairs stay as they are.
+    """
+    c = cues.select("media_id", "cue_idx", "start_ms", "end_ms", "text", F.coalesce("translated_text", F.lit("")).alias("translated_text"))
+    r = repairs.select(F.col("media_id").alias("m"), "window_no", "cue_ids", "texts")
+
+    def f(key: tuple, g: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
+        editor = _Editor(g.sort_values(["start_ms", "cue_idx"], kind="stable").to_dict("records"), policy)
+        todo = [{"window_no": x.window_no, "cue_ids": list(x.cue_ids), "texts": list(x.texts), "side": "text"} for x in rs.sort_values("window_no").itertuples()]
+        kept = editor.rewrite(todo) if todo and len(g) else []
+        d = pd.DataFrame(editor.cues, columns=["media_id", "cue_idx", "start_ms", "end_ms", "text", "translated_text"])
+        log = pd.DataFrame({"media_id": key[0], "window_no": [w["window_no"] for w in todo], "status": ["accepted" if w["window_no"] in kept else "rolled_back" for w in todo]})
+        return pd.concat([d, log], ignore_index=True)
+
+    schema = "media_id long, cue_idx int, start_ms long, end_ms long, text string, translated_text string, window_no int, status string"
+    out = keep(c.groupBy("media_id").cogroup(r.groupBy("m")).applyInPandas(lambda k, g, x: f(k, g, x).reindex(columns=[p.split()[0] for p in schema.split(", ")]), schema), "repairs")
+    return out.where(F.col("status").isNull()).drop("window_no", "status"), out.where(F.col("status").isNotNull()).select("media_id", "window_no", "status")
+
+
+def evidence_bounds(evidence: DataFrame, policy: SpeedPolicy = SpeedPolicy()) -> DataFrame:
+    """``(media_id, cue_idx, boundary_budget_ms, speech_start_ms, speech_end_ms)`` of the last window of ``word_evidence`` that names a cue."""
+    a = evidence.select("media_id", "window_no", "grade", F.explode("anchors").alias("a"))
+    g = a.groupBy("media_id", F.col("a.cue_idx").alias("cue_idx"), "window_no", "grade").agg(F.min("a.start_ms").alias("s"), F.max("a.end_ms").alias("e"))
+    last = g.groupBy("media_id", "cue_idx").agg(F.max_by(F.struct("grade", "s", "e"), "window_no").alias("w"))
+    budget = F.when(F.col("w.grade") == "HIGH", policy.budget.high).when(F.col("w.grade") == "MEDIUM", policy.budget.medium).otherwise(policy.budget.low)
+    return last.select("media_id", "cue_idx", budget.cast("long").alias("boundary_budget_ms"), F.col("w.s").alias("speech_start_ms"), F.col("w.e").alias("speech_end_ms"))
+
+
 _EDITED = "media_id long, cue_idx int, start_ms long, end_ms long, text string, translated_text string, cue_id string, parents array<string>, operation string"
 
 
@@ -240,8 +297,6 @@ def edit_structure(cues: DataFrame, evidence: DataFrame, policy: SpeedPolicy = S
     e = evidence.select(F.col("media_id").alias("m"), "window_no", "grade", "anchors")
 
     def f(key: tuple, g: pd.DataFrame, ev: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > MOST_CUES:
-            raise ValueError(f"media {key[0]} has {len(g)} cues; {MOST_CUES} fit a group")
         g = g.sort_values(["start_ms", "cue_idx"], kind="stable")
         editor = _Editor([r | {"parents": [], "operation": None} for r in g.to_dict("records")], policy)
         windows = []
@@ -295,6 +350,64 @@ def speech_timing(pieces: DataFrame, speech: DataFrame) -> DataFrame:
     return p.groupBy("media_id").cogroup(r.groupBy("m")).applyInPandas(f, "media_id long, pos int, text string, start_ms long, end_ms long")
 
 
+#: Runs that are compared with a sentence letter by letter, at most.
+COMPARED = 12
+
+
+class _Runs:
+    """Runs of cleaned words, to be matched with sentences by the likeness of their letters."""
+
+    def __init__(self, texts: list[str]):
+        self.words = [_cleaned(t) for t in texts]
+        self.upto = np.concatenate(([0], np.cumsum([len(w) for w in self.words])))
+        self.letters: dict[str, np.ndarray] = {}
+
+    def _counts(self, letter: str) -> np.ndarray:
+        if letter not in self.letters:
+            self.letters[letter] = np.concatenate(([0], np.cumsum([w.count(letter) for w in self.words])))
+        return self.letters[letter]
+
+    def best(self, sentence: str, size: int, short: int, long: int, at: int, far: int, least: float) -> tuple[float, int, int]:
+        """``(likeness, first, words)`` of the run of ``short`` to ``long`` words, from ``at`` to ``far`` words on, that is most alike.
+
+        Of equals the one of words nearest to ``size`` wins, then the first. (0, 0, 0) under ``least``.
+
+        Letters that a run and the sentence share bound their likeness: of all runs the COMPARED with the highest bounds are
+        compared in full.
+        """
+        want, n = _cleaned(sentence).strip(), len(self.words)
+        order = sorted(range(short, long + 1), key=lambda k: (abs(k - size), k))
+        found: tuple[float, int, int] = (0.0, 0, 0)
+        if not order or not want:
+            return found
+        k = np.repeat(order, [max(0, min(far + 1, n - x + 1 - at)) for x in order])
+        a = np.concatenate([np.arange(at, at + max(0, min(far + 1, n - x + 1 - at))) for x in order])
+        if not len(k):
+            return found
+        shared = np.zeros(len(k))
+        for letter in set(want):
+            c = self._counts(letter)
+            shared += np.minimum(want.count(letter), c[a + k] - c[a])
+        # Spaces at the ends of a run don't count: its length is bounded from below.
+        length = np.maximum(1, self.upto[a + k] - self.upto[a] - 2)
+        bound = np.minimum(1.0, 2 * np.minimum(shared, len(want)) / (len(want) + length))
+        best, pick = 0.0, -1
+        for i in np.argsort(-bound, kind="stable")[:COMPARED]:
+            if bound[i] < max(best, least) - 1e-12:
+                break
+            run = "".join(self.words[a[i] : a[i] + k[i]]).strip()
+            q = 1.0 if run == want else SequenceMatcher(None, want, run).ratio()
+            if q > best or (q == best and i < pick):
+                best, pick = q, int(i)
+            if q == 1.0 and k[i] == size:
+                break
+        return (best, int(a[pick]), int(k[pick])) if best >= least else found
+
+
+def _cleaned(t: str) -> str:
+    return "".join(c for c in t.lower() if c.isalnum() or c.isspace())
+
+
 def sentences_to_cues(words: DataFrame, sentences: DataFrame, least: float = 0.5, reach: int = 30) -> DataFrame:
     """Word cues grouped by proposed ``sentences(media_id, pos, text)``: ``(media_id, cue_idx, start_ms, end_ms, text, matched)``.
 
@@ -307,20 +420,13 @@ def sentences_to_cues(words: DataFrame, sentences: DataFrame, least: float = 0.5
     def f(key: tuple, g: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
         g, st = g.sort_values(["start_ms", "cue_idx"]), st.sort_values("pos")
         texts, n, at, done, runs, far = g["text"].tolist(), len(g), 0, 0, [], reach
-        clean = lambda t: "".join(c for c in t.lower() if c.isalnum() or c.isspace()).strip()
+        index = _Runs(texts)
         for sentence, size in zip(st["sentence"], st["n"], strict=True):
-            want, best = clean(sentence), (0.0, 0, 0)
-            for k in sorted(range(max(1, size // 2), min(size * 2, n - at) + 1), key=lambda k: (abs(k - size), k)):
-                for a in range(at, min(at + far + 1, n - k + 1)):
-                    m = SequenceMatcher(None, want, clean("".join(texts[a : a + k])))
-                    if m.real_quick_ratio() > best[0] and m.quick_ratio() > best[0] and (q := m.ratio()) > best[0]:
-                        best = (q, a, k)
-                if best[0] == 1.0:
-                    break
-            if best[0] < least:
+            alike, first, taken = index.best(sentence, size, max(1, size // 2), min(size * 2, n - at), at, far, least)
+            if alike < least:
                 far, at = 100, min(at + 1, n)
                 continue
-            a, b = max(best[1], done), best[1] + best[2]
+            a, b = max(first, done), first + taken
             if b > done:
                 runs += [(done, a, False)] * (a > done) + [(a, b, True)]
                 done = b

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import term_key
 from ..functions.text import strip
 from .joins import token_differences
 
@@ -98,8 +99,8 @@ def resolve_reviews(verdicts: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def dedup_terms(candidates: DataFrame) -> DataFrame:
-    """One row for each (term, sense) without regard to case: the first candidate, all aliases in order of candidates, all occurrences sorted."""
-    c = candidates.withColumn("k1", F.lower(strip("term"))).withColumn("k2", F.lower(strip(F.coalesce("sense", F.lit("")))))
+    """One row for each (term, sense) in normal form: the first candidate, all aliases in order of candidates, all occurrences sorted."""
+    c = candidates.withColumn("k1", term_key("term")).withColumn("k2", term_key(F.coalesce("sense", F.lit(""))))
     g = c.groupBy("k1", "k2").agg(
         F.min_by(F.struct("candidate_id", "term", "sense"), "candidate_id").alias("first"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", "aliases"))), lambda x: x["aliases"]))).alias("aliases"),

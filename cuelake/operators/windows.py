@@ -76,7 +76,7 @@ def compensation(gap: Column, cfg: PostprocessConfig = PostprocessConfig()) -> C
 def with_protection(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text", explicit: Column | None = None) -> DataFrame:
     """``protected_by``: why a cue may not be changed, the first that holds, else null."""
     shown = F.col("end_ms") - F.col("start_ms")
-    apart = lambda gap: F.coalesce(gap >= policy.hard_rhythm_reset_ms, F.lit(True))
+    apart = lambda gap: F.coalesce(gap >= policy.rhythm.stop_ms, F.lit(True))
     alone = apart(F.col("start_ms") - lag("end_ms")) & apart(lead("start_ms") - F.col("end_ms"))
     c = cues.withColumn("units__", visible_units(text, policy)).withColumn("alone__", alone)
     why = (
@@ -141,12 +141,17 @@ def complement_ranges(ranges: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def linear_timing(pieces: DataFrame) -> DataFrame:
-    """Times of ``pieces(media_id, pos, text, total_ms)`` by their share of words; the last one ends at the total."""
+    """Times of ``pieces(media_id, pos, text, total_ms)`` by their share of words, each from the end of the one before and 1 ms long at least.
+
+    The last one ends at the total, or later where there are more pieces than ms. An end that a longer share can't reach
+    follows from the furthest one before: shares less their place, at their highest so far, plus the place.
+    """
     w = Window.partitionBy("media_id").orderBy("pos")
-    p = pieces.withColumn("weight", F.greatest(F.lit(1), count_words("text")))
+    p = pieces.withColumn("weight", F.greatest(F.lit(1), count_words("text"))).withColumn("place", F.row_number().over(w))
     p = p.withColumn("upto", F.sum("weight").over(w.rowsBetween(*_UPTO))).withColumn("all", F.sum("weight").over(Window.partitionBy("media_id")))
-    at = lambda n: F.bround(F.col("total_ms") * n / F.col("all")).cast("long")
-    return p.select("media_id", "pos", "text", at(F.col("upto") - F.col("weight")).alias("start_ms"), at(F.col("upto")).alias("end_ms"))
+    share = F.bround(F.greatest(F.lit(1).cast("long"), "total_ms") * F.col("upto") / F.col("all")).cast("long")
+    p = p.withColumn("end_ms", F.col("place") + F.greatest(F.lit(0).cast("long"), F.max(share - F.col("place")).over(w.rowsBetween(*_UPTO))))
+    return p.select("media_id", "pos", "text", F.coalesce(F.lag("end_ms").over(w), F.lit(0).cast("long")).alias("start_ms"), "end_ms")
 
 
 #: A word, or one character of a script without spaces.

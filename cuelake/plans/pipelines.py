@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import meaning_kept, sequence_ratio
-from ..functions.text import audit_chars, count_words, mainly_cjk, squeeze, trim_weak_line, trim_weak_tail
-from ..operators import edit, filters, joins, metrics, windows
-from ..policy import PostprocessConfig, speed_policy
+from ..functions.text import audit_chars, count_words, mainly_cjk, reading_load, squeeze, trim_weak_line, trim_weak_tail
+from ..operators import edit, filters, joins, metrics, structure, windows
+from ..policy import PostprocessConfig, SpeedPolicy, speed_policy
 from ..sources.writers import change_log
 from ..storage import keep
 
@@ -38,8 +38,48 @@ def normalize(cues: DataFrame, cfg: PostprocessConfig) -> DataFrame:
     return filters.trim_tails(cues) if cfg.trim_trailing_punct else cues
 
 
-def postprocess(cues: DataFrame, cfg: PostprocessConfig = PostprocessConfig()) -> Repaired:
-    """Placeholders, normal form, gaps, speed, normal form again, tails, audit. A media item whose result breaks a rule keeps its input."""
+def speed_pass(cues: DataFrame, policy: SpeedPolicy, evidence: DataFrame | None = None, rewrites: DataFrame | None = None) -> DataFrame:
+    """Times, then cue structure where ``evidence`` (as ``word_evidence`` gives it) allows, then accepted rewrites that make the times better.
+
+    ``rewrites(window_no, media_id, attempt, cue_idx, text)``: candidates for ``repair_windows`` of the cues as they are then.
+    """
+    c = cues.select(*_COLS)
+    if evidence is not None:
+        timed = c.join(structure.evidence_bounds(evidence, policy), ["media_id", "cue_idx"], "left")
+        c = edit.optimize_timing(keep(timed, "before-speed"), policy)[0].select(*_COLS)
+        c = structure.edit_structure(c, evidence, policy)[0].select(*_COLS)
+    else:
+        c = edit.optimize_timing(keep(c, "before-speed"), policy)[0].select(*_COLS)
+    return c if rewrites is None else structure.accept_repairs(c, repairs_of(c, rewrites, policy), policy)[0]
+
+
+def repairs_of(cues: DataFrame, rewrites: DataFrame, policy: SpeedPolicy) -> DataFrame:
+    """``(media_id, window_no, cue_ids, texts)``: for each window that needs repair its first acceptable rewrite."""
+    c = windows.with_protection(windows.with_rhythm(cues, policy.rhythm.pause_ms), policy).withColumn("protected", F.col("protected_by").isNotNull())
+    load = reading_load("text", F.col("end_ms") - F.col("start_ms"), policy)["hard_load"]
+    w = windows.repair_windows(c.withColumn("unresolved", F.coalesce(load > 1, F.lit(False))))
+    rows = w.join(cues.select("media_id", "cue_idx", "text"), "media_id").where(F.col("cue_idx").between(F.col("first_idx"), F.col("last_idx")))
+    name = F.concat_ws("/", F.col("media_id").cast("string"), F.col("window_no").cast("string"))
+    idx = F.format_string("%010d", F.col("cue_idx"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", F.col(c).alias("v")))), lambda x: x["v"])
+    asked = rows.withColumn("key", idx).groupBy("media_id", "window_no").agg(in_order("key").alias("cue_ids"), F.array_join(in_order("text"), "\n").alias("before")).withColumn("window_id", name)
+    taken = accept_rewrites(asked, rewrites.select(name.alias("window_id"), "attempt", idx.alias("cue_id"), "text"))
+    taken = taken.where(F.col("verdict") == "accepted").join(asked.select("window_id", "media_id", "window_no", "cue_ids"), "window_id")
+    return taken.select("media_id", "window_no", F.transform("cue_ids", lambda x: x.cast("int")).alias("cue_ids"), F.split("after", "\n").alias("texts")).where(F.size("cue_ids") == F.size("texts"))
+
+
+def _whole(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after``, but media items that break a rule they did not break before stay as they were."""
+    known = filters.integrity(before).select("media_id", "cue_idx", "problem")
+    broken = filters.integrity(after).join(known, ["media_id", "cue_idx", "problem"], "left_anti").select("media_id").distinct()
+    return after.join(broken, "media_id", "left_anti").unionByName(before.select(*_COLS).join(broken, "media_id", "left_semi"))
+
+
+def postprocess(cues: DataFrame, cfg: PostprocessConfig = PostprocessConfig(), evidence: DataFrame | None = None, rewrites: DataFrame | None = None) -> Repaired:
+    """Placeholders, normal form, gaps, speed, normal form again, tails, audit. A media item that a stage breaks keeps what the stage got.
+
+    Tails come last of all that moves times. ``evidence`` and ``rewrites`` serve the speed pass, where that is on.
+    """
     policy = speed_policy(cfg.speed_preset)
     c = cues.select(*_COLS)
     if cfg.remove_placeholders:
@@ -48,14 +88,12 @@ def postprocess(cues: DataFrame, cfg: PostprocessConfig = PostprocessConfig()) -
     if cfg.fix_gaps:
         c = windows.close_gaps(c, cfg)
     if cfg.speed_optimize:
-        c = edit.optimize_timing(keep(c.select(*_COLS), "before-speed"), policy)[0]
-        c = normalize(c, cfg)
-    if cfg.tail_compensation and not cfg.speed_optimize:
-        c = windows.compensate_tails(c, cfg, policy)
+        c = keep(c.select(*_COLS), "gaps")
+        c = normalize(_whole(c, speed_pass(c, policy, evidence, rewrites)), cfg)
+    if cfg.tail_compensation:
+        c = windows.compensate_tails(keep(c.select(*_COLS), "before-tails"), cfg, policy)
     c = keep(c.select(*_COLS), "repaired")
-    known = filters.integrity(cues).select("media_id", "cue_idx", "problem")
-    broken = filters.integrity(c).join(known, ["media_id", "cue_idx", "problem"], "left_anti").select("media_id").distinct()
-    out = c.join(broken, "media_id", "left_anti").unionByName(cues.select(*_COLS).join(broken, "media_id", "left_semi"))
+    out = _whole(cues, c)
     return Repaired(out, change_log(cues, out, "postprocess"), metrics.audit(out, cfg), metrics.speed_metrics(cues, policy), metrics.speed_metrics(out, policy))
 
 
@@ -118,7 +156,7 @@ def request_rows(cues: DataFrame, glossary: DataFrame, prefix: str, size: int =
         return F.transform(F.array_sort(F.collect_list(F.when(part == name, F.struct("cue_idx", one.alias("v"))))), lambda x: x["v"])
 
     g = j.groupBy("media_id", "window_no", "problem").agg(rows("before").alias("before"), rows("after").alias("after"), rows("subjects").alias("subjects"))
-    terms = joins.term_hits(cues, glossary).join(F.broadcast(glossary.select("entry_id", "source_term", "translation")), "entry_id")
+    terms = joins.term_hits(cues, glossary).join(glossary.select("entry_id", "source_term", "translation"), "entry_id")
     t = b.join(terms, "media_id").where(F.col("cue_idx").between(F.col("first_idx"), F.col("last_idx"))).groupBy("media_id", "window_no").agg(F.array_sort(F.collect_set(F.struct("source_term", "translation"))).alias("terms"))
     payload = F.struct(F.struct("after", "before").alias("boundary_context"), F.coalesce("terms", F.array().cast("array<struct<source_term:string,translation:string>>")).alias("terms"), F.col("subjects").alias("translation_subjects"))
     return g.join(t, ["media_id", "window_no"], "left").select("media_id", "window_no", F.lit(prefix).alias("prefix"), F.when(F.col("problem").isNull(), F.to_json(payload)).alias("payload"), "problem")

@@ -247,8 +247,10 @@ FROM ch LEFT JOIN mr ON ch.media_id = mr.media_id AND mr.start_ms < ch.end_ms AN
 _add(
     "linear_timing",
     f""", w AS (SELECT media_id, cue_idx AS pos, text, greatest(1, {_WORDS('text')}) AS weight FROM cues), t2 AS (SELECT media_id, max(end_ms) AS total_ms FROM cues GROUP BY media_id),
-v AS (SELECT w.*, total_ms, sum(weight) OVER (PARTITION BY media_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto, sum(weight) OVER (PARTITION BY media_id) AS whole FROM w JOIN t2 USING (media_id))
-SELECT media_id, pos, text, round_even((total_ms * (upto - weight))::DOUBLE / whole, 0)::BIGINT AS start_ms, round_even((total_ms * upto)::DOUBLE / whole, 0)::BIGINT AS end_ms FROM v""",
+v AS (SELECT w.*, total_ms, sum(weight) OVER (PARTITION BY media_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto, sum(weight) OVER (PARTITION BY media_id) AS whole FROM w JOIN t2 USING (media_id)),
+e AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pos) AS place, round_even((total_ms * upto)::DOUBLE / whole, 0)::BIGINT AS share FROM v),
+f AS (SELECT *, (place + greatest(0, max(share - place) OVER (PARTITION BY media_id ORDER BY pos ROWS UNBOUNDED PRECEDING)))::BIGINT AS end_ms FROM e)
+SELECT media_id, pos, text, coalesce(lag(end_ms) OVER (PARTITION BY media_id ORDER BY pos), 0)::BIGINT AS start_ms, end_ms FROM f""",
 )(lambda c: windows.linear_timing(c.select("media_id", F.col("cue_idx").alias("pos"), "text").join(c.groupBy("media_id").agg(F.max("end_ms").alias("total_ms")), "media_id")))
 _add(
     "split_words",
@@ -298,9 +300,17 @@ _add("clamped", """, du AS (SELECT media_id, (max(end_ms) * 0.9)::BIGINT AS dura
 SELECT media_id, cue_idx, start_ms, least(end_ms, duration_ms) AS end_ms, text, translated_text, round(greatest(0, (last_ms - duration_ms) / duration_ms), 9) AS overflow FROM cues JOIN du USING (media_id) WHERE start_ms < duration_ms AND least(end_ms, duration_ms) > start_ms""")(
     lambda c: filters.clamp(c, c.groupBy("media_id").agg(F.round(F.max("end_ms") * 0.9).cast("long").alias("duration_ms"))).withColumn("overflow", F.round("overflow", 9))
 )
-_add("integrity", """, o AS (SELECT *, lag(start_ms) OVER (PARTITION BY media_id ORDER BY cue_idx) AS ps FROM cues)
+_add("integrity", """, b AS (SELECT media_id, cue_idx, CASE WHEN cue_idx % 7 = 3 THEN start_ms - 9000 ELSE start_ms END AS start_ms, CASE WHEN cue_idx % 5 = 2 THEN start_ms ELSE end_ms END AS end_ms, CASE WHEN cue_idx % 11 = 0 THEN ' ' ELSE text END AS text, translated_text FROM cues),
+o AS (SELECT *, lag(start_ms) OVER (PARTITION BY media_id ORDER BY cue_idx) AS ps FROM b)
 SELECT media_id, cue_idx, unnest(list_filter([CASE WHEN start_ms < 0 THEN 'negative_start' END, CASE WHEN end_ms <= start_ms THEN 'no_duration' END, CASE WHEN start_ms < ps THEN 'out_of_order' END,
-  CASE WHEN length(trim(text)) = 0 AND length(trim(translated_text)) = 0 THEN 'no_text' END], lambda x: x IS NOT NULL)) AS problem FROM o""")(filters.integrity)
+  CASE WHEN length(trim(text)) = 0 AND length(trim(translated_text)) = 0 THEN 'no_text' END], lambda x: x IS NOT NULL)) AS problem FROM o""")(
+    lambda c: filters.integrity(
+        c.select(
+            "media_id", "cue_idx", F.when(F.col("cue_idx") % 7 == 3, F.col("start_ms") - 9000).otherwise(F.col("start_ms")).alias("start_ms"), F.when(F.col("cue_idx") % 5 == 2, F.col("start_ms")).otherwise(F.col("end_ms")).alias("end_ms"),
+            F.when(F.col("cue_idx") % 11 == 0, " ").otherwise(F.col("text")).alias("text"), "translated_text",
+        )
+    )
+)
 _add("layouts", "SELECT media_id, CASE WHEN bool_and(length(trim(translated_text)) > 0) THEN 'original_on_top' ELSE 'only_original' END AS layout, CASE WHEN bool_and(length(trim(translated_text)) > 0) THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM cues GROUP BY media_id")(filters.layout_of)
 _add("side_text", """SELECT media_id, cue_idx, coalesce(nullif(trim(translated_text), ''), nullif(trim(text), ''), '') AS first_side, coalesce(nullif(trim(text), ''), '') AS other_side FROM cues""")(
     lambda c: c.select("media_id", "cue_idx", *[x.alias(n) for x, n in zip(filters.side_text(F.lit("original_on_top"), "translate"), ("first_side", "other_side"), strict=True)])
@@ -360,7 +370,7 @@ def _with_glossary(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 _add("term_hits", f"{CUES_SQL}{_HITS} SELECT * FROM th", cues=False)(_with_glossary(joins.term_hits))
-_add("term_occurrences", f"{CUES_SQL}{_HITS} SELECT entry_id, media_id, array_to_string(list(cue_idx ORDER BY cue_idx), ',') AS cue_ids FROM th GROUP BY entry_id, media_id", cues=False)(
+_add("term_occurrences", f"{CUES_SQL}{_HITS}, ph AS (SELECT DISTINCT media_id, cue_idx, entry_id FROM cues JOIN g ON contains(trim(replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'ß', 'ss')), form)) SELECT entry_id, media_id, array_to_string(list(cue_idx ORDER BY cue_idx), ',') AS cue_ids FROM ph GROUP BY entry_id, media_id", cues=False)(
     _with_glossary(lambda c, g: joins.occurrences(c, g).select("entry_id", "media_id", F.concat_ws(",", F.col("cue_ids").cast("array<string>")).alias("cue_ids")))
 )
 _add("unenforced_terms", f"{CUES_SQL}{_HITS} SELECT DISTINCT th.media_id, th.cue_idx, th.entry_id FROM th JOIN cues USING (media_id, cue_idx) JOIN (SELECT DISTINCT entry_id, translation FROM g) USING (entry_id) WHERE NOT contains(lower(translated_text), lower(translation))", cues=False)(_with_glossary(joins.unenforced_terms))
@@ -373,24 +383,34 @@ SELECT pk.entry_id, pk.media_id, pk.row AS hit_row, cr.row, cr.text FROM pk JOIN
 )(_with_glossary(lambda c, g: joins.representative_contexts(joins.term_hits(c, g), c).withColumn("hit_row", F.col("hit_row").cast("long")).withColumn("row", F.col("row").cast("long"))))
 
 
-def _chunk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping word sequences of each document: its first 40 words, and words 25 to 60."""
-    w = T.tokens("text")
-    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), w.alias("w")).where(F.size("w") >= 30)
-    both = d.select("pair_id", F.posexplode(F.slice("w", 1, 40)).alias("at", "text")).withColumn("side", F.lit("left"))
-    return both.unionByName(d.select("pair_id", F.posexplode(F.slice("w", 26, 35)).alias("at", "text")).withColumn("side", F.lit("right")))
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each whole document, half a second a word: chunk k holds words 50 k to 50 k + 64, so neighbours share 15 words."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), T.tokens("text").alias("w")).where(F.size("w") > 0)
+    c = d.select("media_id", "w", F.explode(F.sequence(F.lit(0), F.expr("(size(w) - 1) div 50"))).alias("chunk_idx"))
+    p = c.select("media_id", "chunk_idx", F.posexplode(F.slice("w", F.col("chunk_idx") * 50 + 1, F.lit(65))).alias("pos", "text"))
+    at = ((F.col("chunk_idx") * 50 + F.col("pos")) * 500).cast("long")
+    return p.select("media_id", "chunk_idx", "pos", at.alias("start_ms"), (at + 400).alias("end_ms"), "text")
+
+
+def _chunk_pairs(chunks: DataFrame) -> DataFrame:
+    """The words that neighbouring chunks may share; a pair is named by document and left chunk."""
+    last = chunks.groupBy("media_id").agg(F.max("chunk_idx").alias("last"))
+    c = chunks.join(last, "media_id")
+    side = lambda k, name, cut: c.where(cut).select((F.col("media_id") * 100_000 + F.col("chunk_idx") - k).alias("pair_id"), F.lit(name).alias("side"), "pos", "start_ms", "end_ms", "text")
+    return joins.overlap_rows(side(0, "left", F.col("chunk_idx") < F.col("last")).unionByName(side(1, "right", F.col("chunk_idx") > 0)), 7_500)
 
 
 _add(
     "chunk_alignment",
-    r"""WITH d AS (SELECT doc_id AS pair_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), e AS (SELECT * FROM d WHERE len(w) >= 30),
-l AS (SELECT pair_id, generate_subscripts(w[1:40], 1) - 1 AS l, unnest(w[1:40]) AS t FROM e), r AS (SELECT pair_id, generate_subscripts(w[26:60], 1) - 1 AS r, unnest(w[26:60]) AS t FROM e),
+    r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, w, len(w) AS n, unnest(range(0, (len(w) - 1) // 50)) AS k FROM d WHERE len(w) > 0),
+q AS (SELECT doc_id * 100000 + k AS pair_id, w[greatest(50 * k, least(n, 50 * k + 65) - 15) + 1 : least(n, 50 * k + 65)] AS lw, w[50 * k + 51 : least(n, 50 * k + 65)] AS rw FROM p),
+l AS (SELECT pair_id, len(lw) AS n, generate_subscripts(lw, 1) - 1 AS l, unnest(lw) AS t FROM q), r AS (SELECT pair_id, generate_subscripts(rw, 1) - 1 AS r, unnest(rw) AS t FROM q),
 lk AS (SELECT *, regexp_replace(lower(t), '[^\pL\pN\pM]+', '', 'g') AS k FROM l), rk AS (SELECT *, regexp_replace(lower(t), '[^\pL\pN\pM]+', '', 'g') AS k FROM r),
-n AS (SELECT pair_id, count(*) AS n FROM l GROUP BY pair_id), m AS (SELECT pair_id, n - l + r AS shift FROM lk JOIN rk USING (pair_id, k) JOIN n USING (pair_id) WHERE k <> ''),
+m AS (SELECT pair_id, n - l + r AS shift FROM lk JOIN rk USING (pair_id, k) WHERE k <> ''),
 g AS (SELECT pair_id, shift, count(*) AS matches, count(*) / shift + shift / 10000 AS score FROM m GROUP BY pair_id, shift HAVING count(*) >= 2), b AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, shift) AS k FROM g)
 SELECT pair_id, shift, matches, round(score, 9) AS score FROM b WHERE k = 1""",
     cues=False,
-)(lambda s, d: joins.best_alignment(_chunk_pairs(s, d)).withColumn("score", F.round("score", 9)))
+)(lambda s, d: joins.best_alignment(_chunk_pairs(_chunks(s, d))).withColumn("score", F.round("score", 9)))
 _add(
     "repeated_ngrams",
     r"""WITH p AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents), g AS (SELECT doc_id, array_to_string(w[i : i + 9], chr(31)) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM p WHERE len(w) >= 10)),
@@ -421,9 +441,17 @@ SELECT conv_id, turn, regexp_extract(line, '^([^:]+): ', 1) AS speaker, length(t
 )
 _add(
     "usage_rollup",
-    """SELECT role, CASE WHEN turn < 2 THEN 'open' ELSE 'follow' END AS stage, count(*) AS calls, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY ROLLUP (role, CASE WHEN turn < 2 THEN 'open' ELSE 'follow' END)""",
+    """WITH l AS (SELECT role, CASE WHEN turn < 2 THEN 'open' ELSE 'follow' END AS stage, length(text) AS i, turn AS o FROM conversations)
+SELECT role, stage, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, NULL::BIGINT AS cache_read_tokens, NULL::BIGINT AS cache_write_tokens, GROUPING(role, stage)::INT AS level FROM l GROUP BY ROLLUP (role, stage)""",
     cues=False,
-)(lambda s, d: _table(s, d, "conversations").rollup("role", F.when(F.col("turn") < 2, "open").otherwise("follow").alias("stage")).agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("chars")))
+)(
+    lambda s, d: metrics.usage(
+        _table(s, d, "conversations").select(
+            "role", F.when(F.col("turn") < 2, "open").otherwise("follow").alias("stage"),
+            F.struct(F.length("text").cast("long").alias("input_tokens"), F.col("turn").cast("long").alias("output_tokens"), F.lit(None).cast("long").alias("cache_read_tokens"), F.lit(None).cast("long").alias("cache_write_tokens")).alias("usage"),
+        )
+    )
+)
 
 
 _add(
@@ -456,22 +484,14 @@ _add("request_rows", cues=False)(_with_glossary(lambda c, g: pipelines.request_r
 _add("repetitive_documents", cues=False)(lambda s, d: _table(s, d, "documents").select("doc_id", has_repetition("text", F.lit(3)).alias("repetitive")))
 
 
-def _two_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two chunks of each document with half a second a word, the second from word 26 on."""
-    p = _chunk_pairs(spark, sf_dir)
-    left = F.col("side") == "left"
-    at = F.when(left, F.col("at")).otherwise(F.col("at") + 25)
-    return p.select(F.col("pair_id").alias("media_id"), F.when(left, 0).otherwise(1).alias("chunk_idx"), F.col("at").alias("pos"), (at * 500).cast("long").alias("start_ms"), (at * 500 + 400).cast("long").alias("end_ms"), "text")
-
-
-_add("stitched_chunks", cues=False)(lambda s, d: stitch.stitch(_two_chunks(s, d), 7_500))
+_add("stitched_chunks", cues=False)(lambda s, d: stitch.stitch(_chunks(s, d), 7_500))
 
 
 def _word_times(c: DataFrame) -> DataFrame:
     """Word times of alignment windows, as an aligner would give them: each word's share of its cue, from the start of the clip."""
     w = windows.split_words(c)
     p = edit.alignment_windows(c).select("media_id", "window_no", "first_idx", "last_idx", "clip_start_ms")
-    j = w.join(p, "media_id").where(F.col("cue_idx").between(F.col("first_idx"), F.col("last_idx")))
+    j = w.join(structure.cues_of_windows(p, c).select("media_id", "cue_idx", "window_no", "clip_start_ms"), ["media_id", "cue_idx"])
     return j.select("media_id", "window_no", (F.col("cue_idx") * 10_000 + F.col("pos")).alias("pos"), (F.col("start_ms") - F.col("clip_start_ms")).alias("start_ms"), (F.col("end_ms") - F.col("clip_start_ms")).alias("end_ms"), "text")
 
 
@@ -479,14 +499,14 @@ def _graded(c: DataFrame) -> DataFrame:
     return structure.word_evidence(edit.alignment_windows(c), c, _word_times(c))
 
 
-_add("evidence_grades")(lambda c: _graded(c).groupBy("grade").agg(F.count(F.lit(1)).alias("n")))
+_add("evidence_grades")(lambda c: metrics.grade_counts(_graded(c)))
 _add("edit_structure")(lambda c: structure.edit_structure(c, _graded(c))[0])
 _add("speech_timing")(lambda c: structure.speech_timing(c.select("media_id", F.col("cue_idx").alias("pos"), "text"), c.select("media_id", "start_ms", "end_ms")))
 _add("transcript_pieces", cues=False)(lambda s, d: structure.transcript_pieces(_table(s, d, "documents").select(F.col("doc_id").alias("media_id"), "text")))
 _add("aligned_lines")(lambda c: structure.align_lines(*[c.where(F.length(F.trim(x)) > 0).select("media_id", F.col("cue_idx").alias("pos"), F.col(x).alias("text")) for x in ("text", "translated_text")]))
 _add("matched_sentences")(
     lambda c: structure.sentences_to_cues(
-        filters.preprocess_words(windows.split_words(c.where("cue_idx < 3")).withColumn("cue_idx", F.col("cue_idx") * 10_000 + F.col("pos")).drop("pos")), c.where("cue_idx < 3").select("media_id", F.col("cue_idx").alias("pos"), "text")
+        filters.preprocess_words(windows.split_words(c).withColumn("cue_idx", F.col("cue_idx") * 10_000 + F.col("pos")).drop("pos")), c.select("media_id", F.col("cue_idx").alias("pos"), "text")
     )
 )
 

@@ -111,3 +111,30 @@ def glossary_json(glossary: DataFrame, version: int = 1) -> DataFrame:
     entry = F.struct(*fields)
     g = glossary.groupBy("glossary_id").agg(F.array_sort(F.collect_list(F.struct("entry_id", F.to_json(entry).alias("j")))).alias("e"))
     return g.select("glossary_id", F.concat(F.lit('{"entries":['), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit(f'],"schema_version":{version}}}')).alias("content"))
+
+
+def dubbing_report(segments: DataFrame, warnings: DataFrame) -> DataFrame:
+    """``(media_id, content)``: a dub's segments in order and its ``warnings(media_id, warning)`` as JSON."""
+    cols = ("speaker", "start_ms", "end_ms", "text", "rewritten_text", "voice")
+    one = F.struct(F.col("idx").alias("index"), *cols, F.col("synthesized_ms").alias("synthesized_duration_ms"), F.col("fitted_ms").alias("fitted_duration_ms"), F.round("speed_factor", 4).alias("speed_factor"), "warning")
+    s = segments.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.to_json(one, {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"]).alias("rows"))
+    w = warnings.groupBy("media_id").agg(F.array_sort(F.collect_list("warning")).alias("w"))
+    return s.join(w, "media_id", "left").select("media_id", F.concat(F.lit('{"segments":['), F.array_join("rows", ","), F.lit('],"warnings":'), F.to_json(F.coalesce("w", F.array().cast("array<string>"))), F.lit("}")).alias("content"))
+
+
+def timing_archive(evidence: DataFrame, version: int = 1) -> DataFrame:
+    """``(media_id, schema_version, content)``: windows of evidence as canonical JSON, fields by name and windows by number; ``read_timing_archive`` of it gives them back."""
+    fields = sorted(c for c in evidence.columns if c != "media_id")
+    g = evidence.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("window_no", F.to_json(F.struct(*fields)).alias("j")))).alias("e"))
+    return g.select("media_id", F.lit(version).alias("schema_version"), F.concat(F.lit(f'{{"schema_version":{version},"windows":['), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit("]}")).alias("content"))
+
+
+def quality_report(before: DataFrame, after: DataFrame, changes: DataFrame, issues: DataFrame) -> DataFrame:
+    """``(media_id, measure, before, after)``: metrics, fields changed and issues by kind of each media item, as one long table."""
+    names = [c for c in before.columns if c != "media_id"]
+    long = lambda d, name: d.select("media_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("double") for c in names]))).alias("measure", name))
+    m = long(before, "before").join(long(after, "after"), ["media_id", "measure"], "full")
+    none = F.lit(None).cast("double").alias("before")
+    c = changes.groupBy("media_id", F.concat(F.lit("changed_"), F.col("field")).alias("measure")).agg(F.count(F.lit(1)).cast("double").alias("after")).select("media_id", "measure", none, "after")
+    i = issues.groupBy("media_id", F.concat(F.lit("issues_"), F.col("kind")).alias("measure")).agg(F.count(F.lit(1)).cast("double").alias("after")).select("media_id", "measure", none, "after")
+    return m.unionByName(c).unionByName(i)

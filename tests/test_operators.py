@@ -91,10 +91,11 @@ def test_placeholders(spark):
 
 
 def test_policies_are_checked():
-    assert speed_policy("smooth").bidirectional_smoothing and speed_policy("loose", hard_cps_cjk=13.0).hard_cps_cjk == 13.0
-    for bad in ({"comfort_cps_cjk": 20.0}, {"min_duration_seconds": 9.0}, {"nonsense": 1}, {"local_window_radius": 0}):
+    changed = speed_policy("loose", {"hard.cjk": 13.0, "hard.latin": 23.0, "balance": True})
+    assert speed_policy("smooth").balance and (changed.hard.cjk, changed.hard.latin, changed.comfort.cjk, changed.balance) == (13.0, 23.0, 10.0, True)
+    for bad in ({"comfort.cjk": 20.0}, {"display.least": 9.0}, {"nonsense": 1}, {"comfort.nonsense": 1}, {"comfort": 3.0}, {"rhythm.neighbours": 0}, {"marks.weak": -1.0}):
         with pytest.raises(ValueError):
-            speed_policy("balanced", **bad)
+            speed_policy("balanced", bad)
     for bad in ({"gap_mode": "x"}, {"min_gap_ms": 900}, {"max_compensation_ms": 5000}):
         with pytest.raises(ValueError):
             PostprocessConfig(**bad)
@@ -301,7 +302,7 @@ def test_meaning_verdicts(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
     got = {r["i"]: (r["m"]["verdict"], list(r["m"]["reasons"])) for r in df.select("i", similarity.meaning_kept("a", "b").alias("m")).collect()}
     assert got == {i: w for i, (_, _, w) in enumerate(cases)}
-    assert [f[1] for f in similarity.facts("https://x.y/1 `a=1` 5% of $3 in 2 km on 2024-01-02 x=3")] == ["url", "code", "percent", "amount", "unit", "date", "formula"]
+    assert [f["category"] for f in similarity.facts("https://x.y/1 `a=1` 5% of $3 in 2 km on 2024-01-02 x=3")] == ["url", "code", "percent", "amount", "unit", "date", "formula"]
 
 
 def test_rewrites_take_the_first_good_attempt(spark):
