@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, materialize, text_key
+from .common import ALNUM_TABLE, join_heavy, materialize, text_key
 
 #: A shared span counts from WINDOW words on. K-grams of K words, the least of each SPREAD neighbours kept: K + SPREAD - 1 = WINDOW,
 #: so any WINDOW shared words hold a k-gram that both sides have kept.
@@ -19,8 +19,8 @@ WINDOW, K, SPREAD = 10, 6, 5
 SIDE = WINDOW - K
 #: Bits of the filter over benchmark fingerprints: at most 2**27 (16 MB), whatever the benchmark's size.
 FILTER_BITS_MAX = 27
-#: Benchmark anchors up to this many are sent to every executor; beyond, the join shuffles both sides.
-BROADCAST_ANCHORS = 20_000
+#: Places of the benchmark up to this many are sent to every executor; beyond, they are joined by a shuffle, all but heavy keys.
+BROADCAST_PLACES = 20_000
 
 ANCHOR = "struct<kind:int,pos:int,hash:long,ctx:array<binary>>"
 _ANCHOR_TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("pos", pa.int32()), ("hash", pa.int64()), ("ctx", pa.list_(pa.binary()))]))
@@ -148,41 +148,51 @@ def _filter(items: DataFrame) -> tuple[int, str, list[int], int]:
     return bits, base64.b64encode(bitmap.tobytes()).decode(), sorted(facts["short"]), n
 
 
-def _prepare(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with their anchors, ``(doc_id, tkey, n_words, anchors)``, and the verified spans ``(doc_id, tkey, item_id, span)``.
+def _prepare(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their anchors, ``(doc_id, tkey, n_words, anchors)``; the verified spans ``(doc_id, tkey, place, span)``; and ``(place, item_ids)``.
 
-    ``tkey`` is a hash of the text: with the id it names a row up to repeated ones, whose results are alike.
+    ``tkey`` is a hash of the text: with the id it names a row up to repeated ones, whose results are alike. A ``place`` is
+    an anchor with the words around it, by their digest: items that share a passage share its places, so documents are
+    compared once with each, however many items hold it.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("item_id").isNotNull())
     items = items.mapInArrow(_map_items, f"item_id string, anchors array<{ANCHOR}>")
-    items = items.select("item_id", F.explode("anchors").alias("a")).select("item_id", "a.kind", "a.hash", F.col("a.ctx").alias("ictx")).distinct()
-    items = materialize(items, "benchmark-anchors")
-    bits, packed, short, n_anchors = _filter(items)
+    shown = F.array_join(F.transform("ictx", lambda w: F.coalesce(w.cast("string"), F.lit("\n"))), " ")
+    items = items.select("item_id", F.explode("anchors").alias("a")).select("item_id", "a.kind", "a.hash", F.col("a.ctx").alias("ictx"))
+    items = materialize(items.withColumn("place", F.sha2(F.concat_ws(" ", F.col("kind").cast("string"), shown), 256)).distinct(), "benchmark-anchors")
+    places = materialize(items.groupBy("place").agg(F.first("kind").alias("kind"), F.first("hash").alias("hash"), F.first("ictx").alias("ictx"), F.array_sort(F.collect_set("item_id")).alias("item_ids")), "benchmark-places")
+    bits, packed, short, n_places = _filter(places)
 
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     base = materialize(base.mapInArrow(_map_docs(bits, packed, short), f"doc_id {kind}, tkey long, n_words long, anchors array<{ANCHOR}>"), "document-anchors")
 
     found = base.where(F.size("anchors") > 0).select("doc_id", "tkey", F.explode("anchors").alias("a")).select("doc_id", "tkey", "a.kind", "a.hash", "a.pos", "a.ctx")
-    joined = found.join(F.broadcast(items) if n_anchors <= BROADCAST_ANCHORS else items, ["kind", "hash"])
+    if n_places <= BROADCAST_PLACES:
+        joined = found.join(F.broadcast(places.drop("item_ids")), ["kind", "hash"])
+    else:
+        found = materialize(found.withColumn("key", F.struct("kind", "hash")), "found-anchors")
+        met = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        of_key = places.groupBy(F.struct("kind", "hash").alias("key")).agg(F.collect_list(F.struct("place", "ictx")).alias("p")).join(met, "key")
+        joined = join_heavy(found, materialize(of_key, "met-places"), "key", "n", found.count()).select("*", F.inline("p")).drop("p", "key")
     middle = F.lit(True)
     for i in range(SIDE, SIDE + K):
         middle &= F.col("ctx")[i] == F.col("ictx")[i]
     left, right = _run_length("ctx", "ictx", range(SIDE - 1, -1, -1)), _run_length("ctx", "ictx", range(SIDE + K, SIDE + K + SIDE))
     spans = joined.select(
-        "doc_id", "tkey", "item_id", "kind", "pos",
+        "doc_id", "tkey", "place", "kind", "pos",
         F.when(F.col("kind") == WINDOW, left).otherwise(0).alias("left"),
         F.when(F.col("kind") == WINDOW, right + K).otherwise(F.col("kind")).alias("right"),
         F.when(F.col("kind") == WINDOW, middle).otherwise(F.col("ctx") == F.col("ictx")).alias("same"),
     ).where(F.col("same") & (F.col("left") + F.col("right") >= F.col("kind")))
-    spans = spans.select("doc_id", "tkey", "item_id", F.struct((F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")).alias("span"))
-    return base, spans
+    spans = spans.select("doc_id", "tkey", "place", F.struct((F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")).alias("span"))
+    return base, spans, places.select("place", "item_ids")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, that hold no benchmark window. Cases as in ``decontaminate``."""
-    _, spans = _prepare(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    _, spans, _ = _prepare(docs, benchmark, id_col, text_col, item_col, item_text_col)
     bad = materialize(spans.select(F.col("doc_id").alias("bad_id__"), F.col("tkey").alias("bad_key__")).distinct(), "contaminated")
     return docs.join(bad, docs[id_col].eqNullSafe(F.col("bad_id__")) & (text_key(docs[text_col]) == F.col("bad_key__")), "left_anti")
 
@@ -192,13 +202,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``. A window is WINDOW consecutive item words, or a
     shorter item whole. Each side keeps winnowed fingerprints; those of documents that pass a filter over the benchmark's
-    are joined to it by hash and extended by comparing the words themselves, so no hash collision counts.
+    are joined to it by hash and extended by comparing the words themselves, so no hash collision counts. Keys with very
+    many document rows stay where those rows are.
 
     Null texts have no words; empty tables give no rows, or no hits. Items without words, or with a null id, hit nothing
     (an id is needed to name them); repeated items and item ids count once. Repeated document rows each get their row,
     and a null document id is kept. Texts of any length are taken whole. Other columns are ignored.
     """
-    base, spans = _prepare(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    base, spans, places = _prepare(docs, benchmark, id_col, text_col, item_col, item_text_col)
     touched = base.where(F.size("anchors") > 0)
     union = F.aggregate(
         F.array_sort("spans"),
@@ -206,11 +217,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         lambda s, x: F.struct(F.greatest(s["to"], x["b"]).alias("to"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["to"], x["a"]))).alias("n")),
         lambda s: s["n"],
     )
-    hits = (
-        spans.groupBy("doc_id", "tkey")
-        .agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item_id")).alias("ids"))
-        .select(F.col("doc_id").alias("hit_doc"), F.col("tkey").alias("hit_key"), union.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
-    )
+    spans = materialize(spans.distinct(), "spans")
+    held = spans.select("doc_id", "tkey", "place").distinct()
+    met = held.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    named = materialize(places.join(met, "place"), "met-items")
+    ids = join_heavy(held, named, "place", "n", spans.count()).select("doc_id", "tkey", F.explode("item_ids").alias("item_id"))
+    ids = ids.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).select(F.col("doc_id").alias("ids_doc"), F.col("tkey").alias("ids_key"), "ids")
+    hits = spans.groupBy("doc_id", "tkey").agg(F.collect_set("span").alias("spans")).join(ids, F.col("doc_id").eqNullSafe(F.col("ids_doc")) & (F.col("tkey") == F.col("ids_key")))
+    hits = hits.select(F.col("doc_id").alias("hit_doc"), F.col("tkey").alias("hit_key"), union.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
     clean = [F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256")]
     rest = base.where(F.size("anchors") == 0).select("doc_id", "n_words", *clean)
     met = (

@@ -147,7 +147,10 @@ def plain_leaks(docs, items):
     return out
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("sent", [20_000, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "BROADCAST_PLACES", sent)
+    monkeypatch.setattr(common, "HEAVY_KEYS", 10 if not sent else 10_000)
     rng = random.Random(11)
     words = ["alpha", "beta", "gamma", "delta", "é1", "x"]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 9, 10, 11, 14, 25])))) for i in range(14)]
