@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..cues import CUES_SQL, read_cue_view
 from ..functions import text as T
 from ..functions.similarity import has_repetition, meaning_kept
-from ..operators import edit, filters, joins, metrics, stitch, structure, validate, windows
+from ..operators import edit, filters, joins, metrics, recognition, stitch, structure, validate, windows
 from ..policy import PostprocessConfig, SpeedPolicy, speed_policy
 from ..sources import writers
 from ..streaming import streams
@@ -468,6 +468,66 @@ SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM h GR
 )(lambda s, d: streams.sessions(_table(s, d, "events")))
 
 
+_add("trimmed_tails", """, v AS (SELECT *, text || CASE cue_idx % 3 WHEN 0 THEN '，。' WHEN 1 THEN '。x' ELSE '' END AS t FROM cues)
+SELECT media_id, cue_idx, regexp_replace(t, '[，。]+$', '') AS text, regexp_replace(translated_text, '[，。]+$', '') AS translated_text FROM v""")(
+    lambda c: filters.trim_tails(c.withColumn("text", F.concat("text", F.when(F.col("cue_idx") % 3 == 0, "，。").when(F.col("cue_idx") % 3 == 1, "。x").otherwise("")))).select("media_id", "cue_idx", "text", "translated_text")
+)
+_add("split_sides", """, v AS (SELECT media_id, cue_idx, CASE WHEN cue_idx % 2 = 0 THEN text || chr(10) || translated_text ELSE text END AS t, translated_text FROM cues)
+SELECT media_id, cue_idx, split_part(t, chr(10), 1) AS text, CASE WHEN contains(t, chr(10)) THEN substr(t, strpos(t, chr(10)) + 1) ELSE translated_text END AS translated_text FROM v""")(
+    lambda c: filters.split_sides(c.withColumn("text", F.when(F.col("cue_idx") % 2 == 0, F.concat("text", F.lit("\n"), "translated_text")).otherwise(F.col("text"))), "original_on_top").select("media_id", "cue_idx", "text", "translated_text")
+)
+_add("shifted_chunks", """SELECT media_id, cue_idx, start_ms + (cue_idx % 4) * 50000 AS start_ms, end_ms + (cue_idx % 4) * 50000 AS end_ms FROM cues""")(
+    lambda c: filters.shift(c.withColumn("chunk_idx", F.col("cue_idx") % 4), c.select("media_id", (F.col("cue_idx") % 4).alias("chunk_idx")).distinct().withColumn("offset_ms", (F.col("chunk_idx") * 50_000).cast("long"))).select("media_id", "cue_idx", "start_ms", "end_ms")
+)
+_add("attached_corrections", """SELECT media_id, cue_idx, CASE WHEN cue_idx % 3 = 1 THEN text || '!' ELSE text END AS text, '' AS translated_text FROM cues""")(
+    lambda c: joins.attach_corrections(c, c.where("cue_idx % 3 = 1").select("media_id", "cue_idx", F.concat("text", F.lit("!")).alias("correction"))).select("media_id", "cue_idx", "text", "translated_text")
+)
+_add("merged_cues", """, k AS (SELECT *, CASE WHEN cue_idx BETWEEN 2 AND 4 THEN 2 ELSE cue_idx END AS into_idx FROM cues)
+SELECT media_id, into_idx AS cue_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms, trim(string_agg(text, ' ' ORDER BY cue_idx)) AS text FROM k GROUP BY media_id, into_idx""")(
+    lambda c: edit.merge_ranges_of_cues(c, c.select("media_id").distinct().select("media_id", F.lit(2).alias("first_idx"), F.lit(4).alias("last_idx"))).select("media_id", "cue_idx", "start_ms", "end_ms", "text")
+)
+_add("failure_gate", """SELECT media_id, count_if(cue_idx % 4 = 1) AS failed, count(*) AS total, CASE WHEN count_if(cue_idx % 4 = 1) * 2 >= count(*) THEN 'error' WHEN count_if(cue_idx % 4 = 1) > 0 THEN 'warn' ELSE 'ok' END AS status FROM cues GROUP BY media_id""")(
+    lambda c: metrics.failure_gate(c.select("media_id", (F.col("cue_idx") % 4 == 1).alias("failed")))
+)
+_DUB = """, sg AS (SELECT media_id, cue_idx AS idx, start_ms, end_ms, (length(text) * 60)::BIGINT AS synthesized_ms, text FROM cues),
+d AS (SELECT *, greatest(100, end_ms - start_ms - 80) AS target_ms FROM sg), e AS (SELECT *, greatest(1.0::DOUBLE, least(1.35::DOUBLE, synthesized_ms::DOUBLE / target_ms)) AS speed_factor, synthesized_ms::DOUBLE / target_ms AS needed FROM d),
+ft AS (SELECT media_id, idx, start_ms, end_ms, speed_factor, floor(synthesized_ms / speed_factor)::BIGINT AS fitted_ms, needed > 1.35 AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) <= 40 AS retry FROM e)"""
+_segments = lambda c: c.select("media_id", F.col("cue_idx").alias("idx"), "start_ms", "end_ms", (F.length("text") * 60).cast("long").alias("synthesized_ms"), "text")
+_add("dub_fit", f"{_DUB} SELECT media_id, idx, round(speed_factor, 9) AS speed_factor, fitted_ms, retry FROM ft")(lambda c: metrics.dub_fit(_segments(c)).select("media_id", "idx", F.round("speed_factor", 9).alias("speed_factor"), "fitted_ms", "retry"))
+_add("dub_totals", f"{_DUB} SELECT media_id, max(greatest(end_ms, start_ms + fitted_ms)) AS timeline_ms, count_if(start_ms + fitted_ms - end_ms > 80) AS overflowing, count_if(speed_factor > 1) AS compressed FROM ft GROUP BY media_id")(lambda c: metrics.dub_totals(metrics.dub_fit(_segments(c))))
+_add("stage_counters", """, ch AS (SELECT CASE WHEN cue_idx % 2 = 0 THEN 'gaps' ELSE 'tails' END AS stage, media_id, cue_idx, media_id || ':' || cue_idx AS sample FROM cues), r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY media_id, cue_idx) AS k FROM ch)
+SELECT stage, count(*) AS changed, string_agg(sample, ' ' ORDER BY k) FILTER (k <= 20) AS samples FROM r GROUP BY stage""")(
+    lambda c: metrics.stage_counters(c.select(F.when(F.col("cue_idx") % 2 == 0, "gaps").otherwise("tails").alias("stage"), "media_id", "cue_idx", F.concat_ws(":", F.col("media_id").cast("string"), F.col("cue_idx").cast("string")).alias("sample"))).select("stage", "changed", F.array_join("samples", " ").alias("samples"))
+)
+_add("speaker_voices", """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'v-user' ELSE 'v-other' END AS voice, CASE role WHEN 'user' THEN 'calm' ELSE 'plain' END AS style FROM conversations""", cues=False)(
+    lambda s, d: joins.apply_speakers(
+        _table(s, d, "conversations").select("conv_id", "turn", F.col("role").alias("speaker")),
+        _table(s, d, "conversations").where("role = 'user'").select(F.col("role").alias("speaker")).distinct().select("speaker", F.lit("v-user").alias("voice"), F.lit("calm").alias("style")).unionByName(_table(s, d, "conversations").select(F.lit("default").alias("speaker"), F.lit("v-other").alias("voice"), F.lit("").alias("style")).distinct()),
+        "v-none", "plain",
+    ).select("conv_id", "turn", "voice", "style")
+)
+_add("missing_results", """WITH l AS (SELECT DISTINCT media_label AS label FROM (SELECT source AS media_label FROM documents WHERE source IS NOT NULL)), v AS (SELECT DISTINCT lang AS variant FROM documents WHERE lang IS NOT NULL), k AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 0)
+SELECT label, variant FROM l, v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = label AND k.lang = variant)""", cues=False)(
+    lambda s, d: joins.missing_results(
+        _table(s, d, "documents").where("source is not null").select(F.col("source").alias("label")).distinct(), _table(s, d, "documents").where("lang is not null").select(F.col("lang").alias("variant")).distinct(),
+        _table(s, d, "documents").select(F.col("source").alias("label"), F.col("lang").alias("variant"), F.when(F.col("doc_id") % 3 == 0, "ok").otherwise("failed").alias("status")),
+    )
+)
+_add("resolved_reviews", """SELECT media_id || '/' || cue_idx AS window_id, CASE WHEN cue_idx % 2 = 0 THEN 'accepted' WHEN cue_idx % 3 = 0 THEN 'accepted' ELSE 'rejected' END AS verdict, CASE WHEN cue_idx % 2 = 0 THEN NULL WHEN cue_idx % 3 = 0 THEN NULL WHEN cue_idx % 3 = 1 THEN 'review_rejected' ELSE 'review_unavailable' END AS reason FROM cues""")(
+    lambda c: validate.resolve_reviews(
+        c.select(F.concat_ws("/", F.col("media_id").cast("string"), F.col("cue_idx").cast("string")).alias("window_id"), F.when(F.col("cue_idx") % 2 == 0, "accepted").otherwise("review").alias("verdict"), F.lit(None).cast("string").alias("reason")),
+        c.where("cue_idx % 3 < 2").select(F.concat_ws("/", F.col("media_id").cast("string"), F.col("cue_idx").cast("string")).alias("window_id"), F.when(F.col("cue_idx") % 3 == 0, "accept").otherwise("reject").alias("decision")),
+    )
+)
+_add("run_table", """SELECT source AS label, lang AS variant, (doc_id % 2)::INT AS return_code, round(doc_id / 7, 3) AS elapsed_s, round((n_chars % 50)::DOUBLE, 3) AS duration_s, round((doc_id / 7) / nullif((n_chars % 50)::DOUBLE, 0), 3) AS realtime_factor, n_chars AS cues, doc_id % 2 = 0 AND coalesce(n_chars, 0) > 0 AS accepted FROM documents""", cues=False)(
+    lambda s, d: metrics.run_table(_table(s, d, "documents").select(F.col("source").alias("label"), F.col("lang").alias("variant"), (F.col("doc_id") % 2).cast("int").alias("return_code"), (F.col("doc_id") / 7).alias("elapsed_s"), (F.col("n_chars") % 50).cast("double").alias("duration_s"), F.col("n_chars").alias("cues")))
+)
+_add("retry_spans", f"""{_TOTALS}, n AS (SELECT media_id, 0 AS chunk_idx, total_ms, unnest(range(1, 4)) AS k FROM tot WHERE total_ms > 0)
+SELECT media_id, chunk_idx::INT AS chunk_idx, (k - 1)::INT AS part, (k - 1) * (total_ms // 3) AS start_ms, CASE WHEN k = 3 THEN total_ms ELSE k * (total_ms // 3) END AS end_ms FROM n""")(
+    lambda c: recognition.retry_spans(_totals(c).select("media_id", F.lit(0).alias("chunk_idx"), "total_ms", F.lit(3).alias("parts")))
+)
+
+
 # What depends on the step before has no SQL; the tests hold these against plain versions.
 _add("adaptive_groups")(edit.adaptive_groups)
 _add("merge_short")(edit.merge_short)
