@@ -1,7 +1,7 @@
 """Operators whose next step depends on the last: ordered cues at a time.
 
-What forgets all at a long gap runs in ``applyInPandas`` over runs between such gaps, which windows number; the rest over
-whole media items, which hold thousands of cues.
+What forgets all at a long gap runs in ``applyInPandas`` over bundles of runs between such gaps, which windows number; the
+rest over whole media items, which hold thousands of cues.
 """
 
 from __future__ import annotations
@@ -32,10 +32,19 @@ def per_media(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema
     return rows.groupBy("media_id").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
 
 
+#: Ordered cues that a group takes before it ends with a run.
+BUNDLE = 5000
+
+
 def per_run(rows: DataFrame, breaks: Column, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``f`` over each run of ordered cues of a media item; a run begins where ``breaks`` holds."""
-    runs = rows.withColumn("run__", F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("media_id", "run__").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
+    """``f`` over bundles of whole runs of a media item's ordered cues; a run begins where ``breaks`` holds, and ``f`` must forget all there.
+
+    A bundle holds BUNDLE cues and the rest of a run, so usual media items are one group, and long ones many.
+    """
+    place = F.row_number().over(in_order())
+    first = F.last(F.when(F.coalesce("breaks__", F.lit(False)) | (F.col("place__") == 1), F.col("place__")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    bundles = rows.withColumn("breaks__", breaks).withColumn("place__", place).withColumn("bundle__", F.floor(first / BUNDLE)).drop("breaks__", "place__")
+    return bundles.groupBy("media_id", "bundle__").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
 
 
 def _gap() -> Column:
@@ -157,22 +166,24 @@ def alignment_windows(cues: DataFrame, target_ms: int = 45_000, most_ms: int = 9
     """
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
-        s, e, n = g["start_ms"].to_numpy(), g["end_ms"].to_numpy(), len(g)
-        rows, a = [], 0
-        while a < n:
-            last, options = a, []
-            for i in range(a, n):
-                span = e[i] - s[a]
-                if span > most_ms and i > a:
-                    break
-                last = i
-                if i < n - 1:
-                    options.append((abs(span - target_ms), -(s[i + 1] - e[i]), i))
-                if span >= target_ms:
-                    break
-            cut = last if last == n - 1 or not options else min(options)[2]
-            rows.append((g["media_id"].iloc[0], g["cue_idx"].iloc[a], g["cue_idx"].iloc[cut], s[a], e[cut], max(0, s[a] - pad_ms), e[cut] + pad_ms))
-            a = cut + 1
+        s, e = g["start_ms"].to_numpy(), g["end_ms"].to_numpy()
+        resets = [0, *(np.flatnonzero(s[1:] - e[:-1] >= reset_ms) + 1), len(g)]
+        rows = []
+        for a, n in zip(resets, resets[1:], strict=False):
+            while a < n:
+                last, options = a, []
+                for i in range(a, n):
+                    span = e[i] - s[a]
+                    if span > most_ms and i > a:
+                        break
+                    last = i
+                    if i < n - 1:
+                        options.append((abs(span - target_ms), -(s[i + 1] - e[i]), i))
+                    if span >= target_ms:
+                        break
+                cut = last if last == n - 1 or not options else min(options)[2]
+                rows.append((g["media_id"].iloc[0], g["cue_idx"].iloc[a], g["cue_idx"].iloc[cut], s[a], e[cut], max(0, s[a] - pad_ms), e[cut] + pad_ms))
+                a = cut + 1
         return pd.DataFrame(rows, columns=["media_id", "first_idx", "last_idx", "cue_start_ms", "cue_end_ms", "clip_start_ms", "clip_end_ms"])
 
     c = cues.where((F.length(strip("text")) > 0) & (F.col("end_ms") > F.col("start_ms"))).select("media_id", "cue_idx", "start_ms", "end_ms")

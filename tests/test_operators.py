@@ -135,6 +135,21 @@ def test_adaptive_groups_equal_a_fold(spark):
     assert values(edit.adaptive_groups(cues(spark, rows)), "group_no") == fold_groups(rows, 1500)
 
 
+@pytest.mark.parametrize("op,gap", [(edit.adaptive_groups, 2000), (edit.merge_short, 600), (edit.segment, 600), (edit.alignment_windows, 1600)])
+def test_bundles_give_what_whole_media_give(spark, monkeypatch, op, gap):
+    rng = random.Random(gap)
+    rows, at = [], 0
+    for _ in range(400):
+        at += rng.choice([10, 20, 30, 250, 400, gap])
+        shown = rng.choice([200, 900, 9000])
+        rows.append((at, at + shown, rng.choice(["one ", "two words ", "and ", "of course ", "the end. "])))
+        at += shown
+    c = cues(spark, rows)
+    whole = sorted(map(str, op(c).collect()))
+    monkeypatch.setattr(edit, "BUNDLE", 7)
+    assert sorted(map(str, op(c).collect())) == whole
+
+
 def test_short_cues_merge_from_the_left(spark):
     c = cues(spark, [(0, 500, "one two"), (550, 900, "three"), (950, 1500, "four five six seven eight"), (5000, 6000, "far away")])
     got = edit.merge_short(c)
