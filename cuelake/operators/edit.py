@@ -27,9 +27,17 @@ CLAUSE_CLOSERS = (".", ",", "!", "?", "。", "，", "！", "？", *"的了着过
 LIMIT_CJK, LIMIT_WORDS = 25, 18
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` over as many tasks as ``spark.sql.shuffle.partitions`` says.
+
+    Spark joins small partitions by their bytes, which say little of how long a Python step takes; these stay as they are.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def per_media(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``f`` over the ordered cues of each media item."""
-    return rows.groupBy("media_id").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
+    return spread(rows, "media_id").groupBy("media_id").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
 
 
 #: Ordered cues that a group takes before it ends with a run.
@@ -39,12 +47,12 @@ BUNDLE = 5000
 def per_run(rows: DataFrame, breaks: Column, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``f`` over bundles of whole runs of a media item's ordered cues; a run begins where ``breaks`` holds, and ``f`` must forget all there.
 
-    A bundle holds BUNDLE cues and the rest of a run, so usual media items are one group, and long ones many.
+    A bundle holds BUNDLE cues and the rest of a run, so usual media items are one group, and long ones many, which go to different tasks.
     """
     place = F.row_number().over(in_order())
     first = F.last(F.when(F.coalesce("breaks__", F.lit(False)) | (F.col("place__") == 1), F.col("place__")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     bundles = rows.withColumn("breaks__", breaks).withColumn("place__", place).withColumn("bundle__", F.floor(first / BUNDLE)).drop("breaks__", "place__")
-    return bundles.groupBy("media_id", "bundle__").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
+    return spread(bundles, "media_id", "bundle__").groupBy("media_id", "bundle__").applyInPandas(lambda g: f(g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True)), schema)
 
 
 def _gap() -> Column:
@@ -122,18 +130,20 @@ def _clauses(texts: list[str], cjk: list[bool], a: int, b: int) -> Iterator[tupl
     yield first, b
 
 
-def _halves(texts: list[str], start: np.ndarray, end: np.ndarray, words: np.ndarray, cjk_part: Callable[[int, int], bool], a: int, b: int) -> Iterator[tuple[int, int]]:
-    """Halve [a, b) at the best boundary of its middle until the parts fit a line."""
+def _halves(firm: np.ndarray, gap: np.ndarray, words: np.ndarray, cjk_part: Callable[[int, int], bool], a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Halve [a, b) at the best boundary of its middle until the parts fit a line: the widest gap, after a firm word, nearest the middle, first."""
     n = b - a
     if words[a:b].sum() <= (LIMIT_CJK if cjk_part(a, b) else LIMIT_WORDS) or n < 4:
         yield a, b
         return
-    options = [i for i in range(max(n // 6, 1), min(5 * n // 6, n - 2)) if i < n - 1]
     cut = n // 2
-    if options:
-        cut = max(options, key=lambda i: (start[a + i + 1] - end[a + i], texts[a + i].strip().lower().strip(".,!?;:\"'()[]{}，。！？；：、") not in WEAK_ENDS, -abs(i - (n - 1) / 2)))
-    yield from _halves(texts, start, end, words, cjk_part, a, a + cut + 1)
-    yield from _halves(texts, start, end, words, cjk_part, a + cut + 1, b)
+    at = np.arange(a + max(n // 6, 1), a + min(5 * n // 6, n - 2))
+    if len(at):
+        at = at[gap[at] == gap[at].max()]
+        at = at[firm[at] == firm[at].max()]
+        cut = int(at[np.abs(at - a - (n - 1) / 2).argmin()]) - a
+    yield from _halves(firm, gap, words, cjk_part, a, a + cut + 1)
+    yield from _halves(firm, gap, words, cjk_part, a + cut + 1, b)
 
 
 def segment(words: DataFrame) -> DataFrame:
@@ -144,12 +154,14 @@ def segment(words: DataFrame) -> DataFrame:
         n_words, cjk, visible = g["words"].to_numpy(), g["cjk"].tolist(), g["visible"].to_numpy()
         letters = g["letters"].to_numpy()
         cjk_part = lambda a, b: letters[a:b].sum() * 2 > visible[a:b].sum()
+        gap = start[1:] - end[:-1]
+        firm = np.array([t.strip().lower().strip(".,!?;:\"'()[]{}，。！？；：、") not in WEAK_ENDS for t in texts])
         edges = [*_cuts(start, end, 500), len(g)]
         spans: list[tuple[int, int]] = []
         for a, b in zip(edges, edges[1:], strict=False):
             long = n_words[a:b].sum() > (LIMIT_CJK if cjk_part(a, b) else LIMIT_WORDS)
             for c, d in _clauses(texts, cjk, a, b) if long else [(a, b)]:
-                spans += _halves(texts, start, end, n_words, cjk_part, c, d)
+                spans += _halves(firm, gap, n_words, cjk_part, c, d)
         first, last = np.array(sorted(spans)).T
         idx = g["cue_idx"].to_numpy()
         return pd.DataFrame({"media_id": g["media_id"].iloc[0], "start_ms": start[first], "end_ms": end[last - 1], "text": ["".join(texts[a:b]).strip() for a, b in zip(first, last, strict=True)], "first_idx": idx[first], "last_idx": idx[last - 1]})
@@ -303,7 +315,7 @@ def silence_spans(media: DataFrame, silences: DataFrame, length_ms: int = 600_00
 
     # Both tables may come from one: fresh columns keep their keys apart.
     m, s = media.select(F.col("media_id").alias("m_id"), "total_ms"), silences.select(F.col("media_id").alias("s_id"), "start_ms", "end_ms")
-    return m.groupBy("m_id").cogroup(s.groupBy("s_id")).applyInPandas(f, "media_id long, chunk_idx int, start_ms long, end_ms long")
+    return spread(m, "m_id").groupBy("m_id").cogroup(spread(s, "s_id").groupBy("s_id")).applyInPandas(f, "media_id long, chunk_idx int, start_ms long, end_ms long")
 
 
 #: Quotes by kind, and what opening and closing ones become.

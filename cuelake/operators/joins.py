@@ -68,9 +68,9 @@ def substring_hits(texts: DataFrame, forms: DataFrame, keys: list[str]) -> DataF
     alone. Empty forms occur nowhere; null texts and forms don't count.
     """
     f = forms.where(F.length("form") > 0).withColumn("piece", F.substring("form", 1, PIECE))
-    sizes = F.array(*[F.lit(k) for k in range(1, PIECE + 1)])
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))
-    pieces = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.when(F.length("text") >= n, at(n)).otherwise(F.array().cast("array<string>")))))
+    # An empty match looks ahead at each place, in one pass whatever the text's length.
+    at = lambda n: F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    pieces = F.array_distinct(F.concat(*[at(n) for n in range(1, PIECE + 1)]))
     near = texts.select(*keys, F.explode(pieces).alias("piece")).join(f, "piece").select(*keys, "form_id", "form").distinct()
     return near.join(texts, keys).where(F.contains("text", F.col("form"))).select(*keys, "form_id").distinct()
 

@@ -16,7 +16,7 @@ from ..functions.similarity import facts
 from ..functions.text import alignment_text, collapse_transcript, count_words, mainly_cjk, strip
 from ..policy import SpeedPolicy
 from ..storage import keep
-from .edit import _Timing
+from .edit import _Timing, spread
 from .windows import MUSIC, merge_ranges
 
 #: What each grade of evidence allows.
@@ -271,7 +271,7 @@ def accept_repairs(cues: DataFrame, repairs: DataFrame, policy: SpeedPolicy = Sp
         return pd.concat([d, log], ignore_index=True)
 
     schema = "media_id long, cue_idx int, start_ms long, end_ms long, text string, translated_text string, window_no int, status string"
-    out = keep(c.groupBy("media_id").cogroup(r.groupBy("m")).applyInPandas(lambda k, g, x: f(k, g, x).reindex(columns=[p.split()[0] for p in schema.split(", ")]), schema), "repairs")
+    out = keep(spread(c, "media_id").groupBy("media_id").cogroup(spread(r, "m").groupBy("m")).applyInPandas(lambda k, g, x: f(k, g, x).reindex(columns=[p.split()[0] for p in schema.split(", ")]), schema), "repairs")
     return out.where(F.col("status").isNull()).drop("window_no", "status"), out.where(F.col("status").isNotNull()).select("media_id", "window_no", "status")
 
 
@@ -311,7 +311,7 @@ def edit_structure(cues: DataFrame, evidence: DataFrame, policy: SpeedPolicy = S
         d["cue_idx"] = np.arange(len(d))
         return d
 
-    out = keep(c.groupBy("media_id").cogroup(e.groupBy("m")).applyInPandas(f, _EDITED), "structure")
+    out = keep(spread(c, "media_id").groupBy("media_id").cogroup(spread(e, "m").groupBy("m")).applyInPandas(f, _EDITED), "structure")
     edges = out.where(F.col("operation").isNotNull()).select("media_id", "cue_id", F.explode("parents").alias("parent_id"), "operation")
     return out.drop("parents", "operation"), edges
 
@@ -347,7 +347,7 @@ def speech_timing(pieces: DataFrame, speech: DataFrame) -> DataFrame:
             at = end
         return pd.DataFrame(rows, columns=["media_id", "pos", "text", "start_ms", "end_ms"])
 
-    return p.groupBy("media_id").cogroup(r.groupBy("m")).applyInPandas(f, "media_id long, pos int, text string, start_ms long, end_ms long")
+    return spread(p, "media_id").groupBy("media_id").cogroup(spread(r, "m").groupBy("m")).applyInPandas(f, "media_id long, pos int, text string, start_ms long, end_ms long")
 
 
 #: Runs that are compared with a sentence letter by letter, at most.
@@ -435,7 +435,7 @@ def sentences_to_cues(words: DataFrame, sentences: DataFrame, least: float = 0.5
         rows = [(key[0], i, int(g["start_ms"].iloc[a]), int(g["end_ms"].iloc[b - 1]), "".join(texts[a:b]).strip(), m) for i, (a, b, m) in enumerate(runs)]
         return pd.DataFrame(rows, columns=["media_id", "cue_idx", "start_ms", "end_ms", "text", "matched"])
 
-    return w.groupBy("media_id").cogroup(s.groupBy("m")).applyInPandas(f, "media_id long, cue_idx int, start_ms long, end_ms long, text string, matched boolean")
+    return spread(w, "media_id").groupBy("media_id").cogroup(spread(s, "m").groupBy("m")).applyInPandas(f, "media_id long, cue_idx int, start_ms long, end_ms long, text string, matched boolean")
 
 
 def align_lines(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -454,7 +454,7 @@ def align_lines(source: DataFrame, target: DataFrame) -> DataFrame:
             pair[i] = pair[i - 1] if pair[i] is None else pair[i]
         return pd.DataFrame({"media_id": key[0], "pos": a["pos"], "text": x, "paired": pair})
 
-    return source.select("media_id", "pos", "text").groupBy("media_id").cogroup(t.groupBy("m")).applyInPandas(f, "media_id long, pos int, text string, paired string")
+    return spread(source.select("media_id", "pos", "text"), "media_id").groupBy("media_id").cogroup(spread(t, "m").groupBy("m")).applyInPandas(f, "media_id long, pos int, text string, paired string")
 
 
 def transcript_pieces(transcripts: DataFrame, most_words: int = 14, most_cjk: int = 25) -> DataFrame:
