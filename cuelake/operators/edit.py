@@ -28,11 +28,12 @@ LIMIT_CJK, LIMIT_WORDS = 25, 18
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` by ``keys`` over as many tasks as ``spark.sql.shuffle.partitions`` says.
+    """``rows`` by ``keys`` over twice as many tasks as ``spark.sql.shuffle.partitions`` says.
 
-    Spark joins small partitions by their bytes, which say little of how long a Python step takes; these stay as they are.
+    Spark joins small partitions by their bytes, which say little of how long a Python step takes; these stay as they are. Of
+    as many tasks as before by the same keys, Spark would leave the step out.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def per_media(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -470,3 +470,18 @@ def test_sentences_and_lines(spark):
     assert [r["paired"] for r in structure.align_lines(a, b).orderBy("pos").collect()] == ["a", "a", "c", "d"]
     t = spark.createDataFrame([(1, "One two three. Four. " + "w " * 20)], "media_id long, text string")
     assert [len(r["text"].split()) for r in structure.transcript_pieces(t).orderBy("pos").collect()] == [4, 14, 6]
+
+
+def test_python_groups_are_not_joined_into_few_tasks(spark):
+    rows = windows.with_rhythm(spark.range(40).selectExpr("id div 2 media_id", "int(id % 2) cue_idx", "(id % 2) * 1000 start_ms", "(id % 2) * 1000 + 500 end_ms", "'a' text", "'' translated_text"))
+    out = edit.per_media(rows.select("media_id", "cue_idx", "start_ms"), lambda g: g[["media_id", "cue_idx"]], "media_id long, cue_idx int")
+    assert out.rdd.getNumPartitions() == 8
+    assert out.count() == 40
+
+
+def test_pieces_of_a_very_long_text(spark):
+    from cuelake.operators import joins
+
+    texts = spark.createDataFrame([(1, "x" * 300_000 + "\nend 😀 of"), (2, ""), (3, None), (4, "e")], "k int, text string")
+    forms = spark.createDataFrame([(1, "e"), (2, "x\nend"), (3, "😀 o"), (4, "absent")], "form_id int, form string")
+    assert sorted(tuple(r) for r in joins.substring_hits(texts, forms, ["k"]).collect()) == [(1, 1), (1, 2), (1, 3), (4, 1)]
