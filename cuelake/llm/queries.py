@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, lm, mixing, quality, simhash, toxicity, urls
+from . import align, ann, decontaminate, langid, licenses, lm, mixing, negatives, quality, sharding, simhash, toxicity, urls
+
+#: Where the public tokenizers' files lie.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,8 +61,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has a wrong label on purpose."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op13_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"), sharding.tree_of(16), sharding.tree_of(17))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_ann_search, op2_mix_sources, op3_decontaminate, op4_quality, op5_simhash, op6_license_scan, op7_language_id, op8_lm_score, op9_url_filter, op10_toxicity)
+    ops = (op1_ann_search, op2_mix_sources, op3_decontaminate, op4_quality, op5_simhash, op6_license_scan, op7_language_id, op8_lm_score, op9_url_filter, op10_toxicity, op11_hard_negatives, op12_token_alignment, op13_shard)
     return {f.__name__: f for f in ops}
 
 
@@ -139,5 +158,45 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))), 0) = len(embedding)
+), s AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, coalesce(list_dot_product(a.v, b.v), 0)::BIGINT AS score FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""
+
+SHARD_SQL = r"""
+WITH leaf AS (
+  SELECT s, CASE WHEN s < 16 THEN 'g' || (s // 8) ELSE 'own' || s END AS region, CASE WHEN s < 16 THEN s // 4 ELSE s END AS rack FROM range(17) t(s)
+), node AS (
+  SELECT s = 16 AS added, region, region || '/k' || rack AS rack, region || '/k' || rack || '/' || s AS name, s::INT AS shard FROM leaf
+), crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(text, '')) AS text_md5,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc
+), r AS (
+  SELECT rid, key, grown, arg_max(region, ln((('0x' || substr(md5(key || '/' || region), 1, 12))::UBIGINT::DOUBLE + 0.5) / 281474976710656) / n) AS region
+  FROM d, (SELECT region, added, count(*)::DOUBLE AS n FROM node GROUP BY region, added), (VALUES (false), (true)) g(grown) WHERE grown OR NOT added GROUP BY rid, key, grown
+), k AS (
+  SELECT rid, key, grown, arg_max(rack, ln((('0x' || substr(md5(key || '/' || rack), 1, 12))::UBIGINT::DOUBLE + 0.5) / 281474976710656) / n) AS rack
+  FROM r JOIN (SELECT region, rack, count(*)::DOUBLE AS n FROM node GROUP BY region, rack) USING (region) GROUP BY rid, key, grown
+), p AS (
+  SELECT rid, grown, arg_max(shard, ln((('0x' || substr(md5(key || '/' || name), 1, 12))::UBIGINT::DOUBLE + 0.5) / 281474976710656)) AS shard FROM k JOIN node USING (rack) GROUP BY rid, grown
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, a.shard, row_number() OVER (PARTITION BY a.shard ORDER BY md5(key || ' ' || text_md5), doc_id, size, text_crc32) - 1 AS slot, b.shard AS grown_shard
+FROM d JOIN p a ON d.rid = a.rid AND NOT a.grown JOIN p b ON d.rid = b.rid AND b.grown
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": MIX_SQL, "op3_decontaminate": LEAKS_SQL}
+    return {"op2_mix_sources": MIX_SQL, "op3_decontaminate": LEAKS_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op13_shard": SHARD_SQL}
