@@ -72,9 +72,15 @@ def sample_by_hash(df: DataFrame, cols: list[str], limit: int, seed: int) -> Dat
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), *cols).limit(limit)
 
 
+#: Rows of more than this part of a sample's size are looked at last.
+LARGE_PART = 64
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, mod: int, left_out: int, most: dict[int, int], size: Column, most_size: int, seed: int, name: str) -> DataFrame:
     """``(lid, y, text)``: labelled rows to learn from, of each 0/1 label ``y`` the first ``most[y]`` ids by a hash, and of these the first that keep the summed ``size`` (of ``text``) within ``most_size``.
 
+    Rows of more than a LARGE_PART-th of ``most_size`` come after all others there, and those that are larger than all of it
+    after these, so no row shuts out rows that would fit: only a class of nothing but rows over ``most_size`` is left empty.
     Ids whose crc32 as text mod ``mod`` is ``left_out`` and null ids aren't among them. Rows that repeat an id give one text.
     """
     known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod(F.col("lid"), mod) != left_out)).distinct()
@@ -84,7 +90,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         picked = part if picked is None else picked.unionByName(part)
     sample = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(picked), "lid").groupBy("lid", "y").agg(F.min("text").alias("text"))
     sample = materialize(sample.select("lid", "y", F.xxhash64(F.lit(seed), "lid").alias("at"), F.coalesce(size, F.lit(1)).cast("long").alias("size"), "text"), name)
-    upto = F.sum("size").over(Window.partitionBy("y").orderBy("at", "lid"))  # numbers only, of most[0] + most[1] rows
+    tier = F.when(F.col("size") * LARGE_PART <= most_size, 0).when(F.col("size") <= most_size, 1).otherwise(2)
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy(tier, "at", "lid"))  # numbers only, of most[0] + most[1] rows
     kept = sample.select("lid", "y", "at", "size").withColumn("upto", upto).where(F.col("upto") <= most_size).select("lid", "y")
     return sample.join(F.broadcast(kept), ["lid", "y"]).select("lid", "y", "text")
 

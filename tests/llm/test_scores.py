@@ -570,3 +570,21 @@ def test_sources_in_many_ranges(spark, monkeypatch):
         sizes[s] += len(t.split())
     want = plain_targets(dict(sizes))
     assert len(got) == 1500 and all(r["target"] == pytest.approx(want[rows[r["doc_id"]][2]]) for r in got)
+
+
+def first_in_order(spark, seed):
+    """The id of 4,000 that a labelled sample would look at first."""
+    ids = spark.range(10_000, 14_000).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    return ids.orderBy(F.xxhash64(F.lit(seed), "id")).first()[0]
+
+
+@pytest.mark.parametrize(("operator", "bound", "seed", "huge", "label"), [(quality, "SAMPLE_LINES", 5, "x\n" * 50_000, 0), (toxicity, "SAMPLE_BYTES", 11, "the " * 100_000, 1)])
+def test_a_huge_labelled_text_that_comes_first_changes_nothing(spark, labelled, monkeypatch, operator, bound, seed, huge, label):
+    monkeypatch.setattr(operator, bound, {"SAMPLE_LINES": 20_000, "SAMPLE_BYTES": 300_000}[bound])
+    docs, labels = labelled
+    run = quality.quality if operator is quality else toxicity.toxicity
+    before = sorted((str(r["doc_id"]), r["score"]) for r in run(docs, labels).collect())
+    i = first_in_order(spark, seed)
+    more, told = spark.createDataFrame([(i, huge, "c", "en")], SCHEMA), spark.createDataFrame([(i, label, label)], labels.schema)
+    after = sorted((str(r["doc_id"]), r["score"]) for r in run(docs.unionByName(more), labels.unionByName(told)).where(f"doc_id is null or doc_id <> {i}").collect())
+    assert after == before and len({s for _, s in after}) > 2
