@@ -460,6 +460,25 @@ _add(
 WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOURS PRECEDING AND CURRENT ROW)""",
     cues=False,
 )(lambda s, d: streams.rolling_quota(_table(s, d, "events")))
+
+
+@_add(
+    "rolling_quota_stream",
+    """SELECT * FROM (SELECT event_id, user_id, count(*) OVER w AS calls, round(sum(value) OVER w, 6) AS seconds, count(*) OVER w <= 100 AND round(sum(value) OVER w, 6) <= 21600 AS allowed FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOURS PRECEDING AND CURRENT ROW)) JOIN (SELECT event_id FROM events WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) * 1000 - 600000000 FROM events)) USING (event_id)""",
+    cues=False,
+)
+def _quota_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events read as a stream (a pattern, as a stream takes no path of one file); those that the watermark has reached at its end."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    schema = _table(spark, sf_dir, "events").schema
+    done = streams.run_through(own.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"), streams.quota_stream, "quota")
+    return spark.read.schema(done.schema).parquet(*done.inputFiles())
+
+
 _add(
     "sessions",
     """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS cut FROM events), h AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

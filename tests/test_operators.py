@@ -404,10 +404,6 @@ def test_streams_give_what_tables_give(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(map(tuple, spark.table("sess").collect()))
     assert got and set(got) <= set(want)  # open sessions wait for the watermark
-    q = streams.quota_stream(live).writeStream.outputMode("complete").format("memory").queryName("quota").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("quota").agg(F.max("calls")).first()[0] <= 20
-
     log = tmp_path / "log"
     log.mkdir()
     (log / "a.json").write_text("\n".join([json.dumps({"time": "2024-01-01T00:00:00", "role": "r", "stage": "s", "usage": {"input_tokens": 3}}), "not json", json.dumps({"time": "2024-01-01T00:01:00", "role": "r", "stage": "s", "usage": None})]))
@@ -419,6 +415,33 @@ def test_streams_give_what_tables_give(spark, tmp_path):
     assert total["input_tokens"] == 3 and total["output_tokens"] is None
 
 
+def test_quota_of_a_stream_equals_that_of_the_table(spark, tmp_path):
+    """Files arrive one at a time, rows up to eight hours late; calls of 12 hours ago and of the same time are on the edge."""
+    rng, t0 = random.Random(3), datetime(2024, 1, 1)
+    at = sorted(rng.randint(0, 5 * 24 * 60) for _ in range(400))
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), t0 + timedelta(minutes=m), None if i % 37 == 0 else rng.choice([0.1, 900.0])) for i, m in enumerate(at)]
+    rows += [(1000, "c", t0, 1.0), (1001, "c", t0 + timedelta(hours=12), 2.0), (1002, "c", t0 + timedelta(hours=24, microseconds=1), 4.0), (1003, "c", t0 + timedelta(hours=12), 8.0)]
+    rows.sort(key=lambda r: r[2] + timedelta(minutes=rng.randint(0, 470)))
+    schema = "event_id long, user_id string, ts timestamp, value double"
+    for k in range(0, len(rows), 60):
+        spark.createDataFrame(rows[k : k + 60], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k:04d}"))
+    closing = [(9999, "z", t0 + timedelta(days=9), 0.0)]
+    spark.createDataFrame(closing, schema).coalesce(1).write.parquet(str(tmp_path / "in/9999"))
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    live = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = list(map(tuple, streams.run_through(live, lambda e: streams.quota_stream(e, "8 hours"), "quota").collect()))
+    assert sorted(map(str, got)) == sorted(map(str, map(tuple, streams.rolling_quota(spark.createDataFrame(rows, schema)).collect())))
+    plain = []
+    for i, user, ts, _ in rows:
+        seen = [r for r in rows if r[1] == user and ts - timedelta(hours=12) <= r[2] <= ts]
+        seconds = [r[3] for r in seen if r[3] is not None]
+        total = round(sum(seconds), 6) if seconds else None
+        plain.append((i, user, len(seen), total, None if total is None and len(seen) <= 100 else len(seen) <= 100 and (total or 0) <= 21600))
+    assert sorted(map(str, got)) == sorted(map(str, plain))
+
+
 def test_glossaries_and_model_answers(spark):
     g = {"glossary_id": "g", "source_language": "en", "target_language": "de", "fingerprint": "f", "entries": [{"entry_id": "1", "source_term": "cat", "translation": "Katze"}, {"entry_id": "2", "source_term": " ", "translation": "x"}]}
     ok, bad = readers.glossaries(spark.createDataFrame([("p", json.dumps(g)), ("q", "{broken")], "path string, content string"))
