@@ -147,28 +147,53 @@ def _halves(firm: np.ndarray, gap: np.ndarray, words: np.ndarray, cjk_part: Call
     yield from _halves(firm, gap, words, cjk_part, a + cut + 1, b)
 
 
+class Words:
+    """Measured word cues of one media item, in order, and the lines that stretches [a, b) of them make."""
+
+    def __init__(self, g: pd.DataFrame):
+        self.texts, self.start, self.end = g["text"].tolist(), g["start_ms"].to_numpy(), g["end_ms"].to_numpy()
+        self.n_words, self.cjk = g["words"].to_numpy(), g["cjk"].tolist()
+        self.visible, self.letters = (np.concatenate(([0], np.cumsum(g[c].to_numpy()))) for c in ("visible", "letters"))
+        self.gap = self.start[1:] - self.end[:-1]
+        self.firm = np.array([t.strip().lower().strip(".,!?;:\"'()[]{}，。！？；：、") not in WEAK_ENDS for t in self.texts])
+
+    def _cjk_part(self, a: int, b: int) -> bool:
+        return (self.letters[b] - self.letters[a]) * 2 > self.visible[b] - self.visible[a]
+
+    def halved(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """Parts of [a, b) that fit a line."""
+        return _halves(self.firm, self.gap, self.n_words, self._cjk_part, a, b)
+
+    def by_gaps(self, a: int, b: int, max_gap: int, usual: bool = False) -> list[tuple[int, int]]:
+        edges = [*(a + np.array(_cuts(self.start[a:b], self.end[a:b], max_gap, usual))).tolist(), b]
+        return list(zip(edges, edges[1:], strict=False))
+
+    def by_rules(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Groups by gap, clauses of long groups, then halves of what is still too long; in order."""
+        spans: list[tuple[int, int]] = []
+        for c, d in self.by_gaps(a, b, 500, True) if b > a else []:
+            long = self.n_words[c:d].sum() > (LIMIT_CJK if self._cjk_part(c, d) else LIMIT_WORDS)
+            for x, y in _clauses(self.texts, self.cjk, c, d) if long else [(c, d)]:
+                spans += self.halved(x, y)
+        return sorted(spans)
+
+
+def measured_words(words: DataFrame) -> DataFrame:
+    """What ``Words`` needs of each word cue."""
+    w = _measured(words).withColumn("visible", F.length(squeeze("text"))).withColumn("letters", F.regexp_count("text", F.lit(NO_SPACE)))
+    return w.select("media_id", "cue_idx", "start_ms", "end_ms", "text", "words", "cjk", "visible", "letters")
+
+
 def segment(words: DataFrame) -> DataFrame:
     """Word cues to line cues by rules: groups by gap, clauses of long groups, then halves of what is still too long."""
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
-        texts, start, end = g["text"].tolist(), g["start_ms"].to_numpy(), g["end_ms"].to_numpy()
-        n_words, cjk, visible = g["words"].to_numpy(), g["cjk"].tolist(), g["visible"].to_numpy()
-        letters = g["letters"].to_numpy()
-        cjk_part = lambda a, b: letters[a:b].sum() * 2 > visible[a:b].sum()
-        gap = start[1:] - end[:-1]
-        firm = np.array([t.strip().lower().strip(".,!?;:\"'()[]{}，。！？；：、") not in WEAK_ENDS for t in texts])
-        edges = [*_cuts(start, end, 500), len(g)]
-        spans: list[tuple[int, int]] = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            long = n_words[a:b].sum() > (LIMIT_CJK if cjk_part(a, b) else LIMIT_WORDS)
-            for c, d in _clauses(texts, cjk, a, b) if long else [(a, b)]:
-                spans += _halves(firm, gap, n_words, cjk_part, c, d)
-        first, last = np.array(sorted(spans)).T
+        w = Words(g)
+        first, last = np.array(w.by_rules(0, len(g))).T
         idx = g["cue_idx"].to_numpy()
-        return pd.DataFrame({"media_id": g["media_id"].iloc[0], "start_ms": start[first], "end_ms": end[last - 1], "text": ["".join(texts[a:b]).strip() for a, b in zip(first, last, strict=True)], "first_idx": idx[first], "last_idx": idx[last - 1]})
+        return pd.DataFrame({"media_id": g["media_id"].iloc[0], "start_ms": w.start[first], "end_ms": w.end[last - 1], "text": ["".join(w.texts[a:b]).strip() for a, b in zip(first, last, strict=True)], "first_idx": idx[first], "last_idx": idx[last - 1]})
 
-    w = _measured(words).withColumn("visible", F.length(squeeze("text"))).withColumn("letters", F.regexp_count("text", F.lit(NO_SPACE)))
-    lines = per_run(w.select("media_id", "cue_idx", "start_ms", "end_ms", "text", "words", "cjk", "visible", "letters"), _gap() > 500, f, _CUE.replace("cue_idx int, ", ""))
+    lines = per_run(measured_words(words), _gap() > 500, f, _CUE.replace("cue_idx int, ", ""))
     return _numbered(lines, "cue_idx", ["start_ms", "first_idx"]).select("media_id", "cue_idx", "start_ms", "end_ms", "text", "first_idx", "last_idx")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import os
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -16,6 +18,7 @@ from ..functions.similarity import facts
 from ..functions.text import alignment_text, collapse_transcript, count_words, mainly_cjk, strip
 from ..policy import SpeedPolicy
 from ..storage import keep
+from . import edit
 from .edit import _Timing, spread
 from .windows import MUSIC, merge_ranges
 
@@ -350,57 +353,135 @@ def speech_timing(pieces: DataFrame, speech: DataFrame) -> DataFrame:
     return spread(p, "media_id").groupBy("media_id").cogroup(spread(r, "m").groupBy("m")).applyInPandas(f, "media_id long, pos int, text string, start_ms long, end_ms long")
 
 
-#: Runs that are compared with a sentence letter by letter, at most.
-COMPARED = 12
-
-
 class _Runs:
-    """Runs of cleaned words, to be matched with sentences by the likeness of their letters."""
+    """Runs of cleaned words, to be matched with sentences by the likeness of their letters. Counts of each letter up to each word serve as its postings."""
 
     def __init__(self, texts: list[str]):
-        self.words = [_cleaned(t) for t in texts]
-        self.upto = np.concatenate(([0], np.cumsum([len(w) for w in self.words])))
+        words = [_cleaned(t) for t in texts]
+        self.n, self.text = len(words), "".join(words)
+        self.upto = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        self.solid = np.array([i for i, c in enumerate(self.text) if not c.isspace()], np.int64)
         self.letters: dict[str, np.ndarray] = {}
 
+    def _lengths(self, a: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Lengths of runs without the spaces at their ends."""
+        first, last = np.searchsorted(self.solid, self.upto[a]), np.searchsorted(self.solid, self.upto[a + k]) - 1
+        at = np.append(self.solid, 0)
+        return np.where(last >= first, at[last] + 1 - at[np.minimum(first, len(self.solid))], 0)
+
     def _counts(self, letter: str) -> np.ndarray:
+        """How often the letter stands before each word."""
         if letter not in self.letters:
-            self.letters[letter] = np.concatenate(([0], np.cumsum([w.count(letter) for w in self.words])))
+            hits = np.array([c == letter for c in self.text], np.int64)
+            self.letters[letter] = np.concatenate(([0], np.cumsum(hits)))[self.upto]
         return self.letters[letter]
 
+    def run(self, a: int, k: int) -> str:
+        return self.text[self.upto[a] : self.upto[a + k]].strip()
+
+    def _in_order(self, masks: dict[str, int], size: int, a: int, long: int) -> list[int]:
+        """For 0, 1, ... ``long`` words from ``a`` on: letters of the sentence that stand there in the same order, at most. One bit of a number is a letter of the sentence."""
+        whole = left = (1 << size) - 1
+        out = [0]
+        for k in range(a, a + long):
+            for c in self.text[self.upto[k] : self.upto[k + 1]]:
+                m = masks.get(c)
+                if m:
+                    met = left & m
+                    left = ((left + met) | (left - met)) & whole
+            out.append(size - left.bit_count())
+        return out
+
+    def _reach(self, want: str, lo: int, hi: int) -> np.ndarray:
+        """For each letter of text[lo:hi], how long a stretch around it stands in ``want`` too, at most."""
+        code = np.frombuffer(self.text[lo:hi].encode("utf-32-le", "surrogatepass"), np.uint32)
+        goal = np.frombuffer(want.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = np.zeros(len(code), np.int64)
+        for letters, towards in ((code, goal), (code[::-1], goal[::-1])):
+            row, top = np.zeros(len(code) + 1, np.int32), np.zeros(len(code), np.int32)
+            for letter in towards:
+                # How long a common stretch ends here, one letter further on both sides.
+                row[1:] = (row[:-1] + 1) * (letters == letter)
+                np.maximum(top, row[1:], out=top)
+            out += top if letters is code else top[::-1]
+        return np.maximum(out - 1, 0)
+
+    def _long_bound(self, want: str, a: np.ndarray, k: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Letters of ``want`` that runs of 200 letters and more can share with it, at most.
+
+        In these, the measure begins a common stretch only at letters that aren't over a hundredth of the run, and at both
+        starts.
+        """
+        first, last = int(a.min()), int((a + k).max())
+        lo = int(self.upto[first])
+        reach = self._reach(want, lo, int(self.upto[last]))
+        upto = self.upto[first : last + 1] - lo
+        code = np.array(list(self.text[lo : lo + len(reach)]))
+        slack = self.upto[a + k] - self.upto[a] - length
+        total = np.zeros(len(a))
+        for letter in set(want):
+            sums = np.concatenate(([0], np.cumsum(np.where(code == letter, reach, 0))))[upto]
+            n = self._counts(letter)[a + k] - self._counts(letter)[a] - (slack if letter.isspace() else 0)
+            total += np.where(n <= length // 100 + 1, sums[a + k - first] - sums[a - first], 0)
+        starts = {x: len(os.path.commonprefix([want, self.text[self.upto[x] : self.upto[x] + len(want) + 99].lstrip()])) for x in np.unique(a).tolist()}
+        return total + np.array([starts[x] for x in a.tolist()])
+
     def best(self, sentence: str, size: int, short: int, long: int, at: int, far: int, least: float) -> tuple[float, int, int]:
         """``(likeness, first, words)`` of the run of ``short`` to ``long`` words, from ``at`` to ``far`` words on, that is most alike.
 
         Of equals the one of words nearest to ``size`` wins, then the first. (0, 0, 0) under ``least``.
 
-        Letters that a run and the sentence share bound their likeness: of all runs the COMPARED with the highest bounds are
-        compared in full.
+        Best first: letters that a run and the sentence share bound its likeness from above, letters in the same order more
+        closely. Runs are taken by falling bound, and the search ends when no bound is over the best likeness found.
         """
-        want, n = _cleaned(sentence).strip(), len(self.words)
+        want = _cleaned(sentence).strip()
         order = sorted(range(short, long + 1), key=lambda k: (abs(k - size), k))
         found: tuple[float, int, int] = (0.0, 0, 0)
         if not order or not want:
             return found
-        k = np.repeat(order, [max(0, min(far + 1, n - x + 1 - at)) for x in order])
-        a = np.concatenate([np.arange(at, at + max(0, min(far + 1, n - x + 1 - at))) for x in order])
+        starts = [max(0, min(far + 1, self.n - x + 1 - at)) for x in order]
+        k = np.repeat(order, starts)
         if not len(k):
             return found
+        a = np.concatenate([np.arange(at, at + m) for m in starts])
+        for i in range(starts[0]):
+            if order[0] == size and self.run(at + i, size) == want:
+                return 1.0, at + i, size
         shared = np.zeros(len(k))
         for letter in set(want):
             c = self._counts(letter)
             shared += np.minimum(want.count(letter), c[a + k] - c[a])
-        # Spaces at the ends of a run don't count: its length is bounded from below.
-        length = np.maximum(1, self.upto[a + k] - self.upto[a] - 2)
+        length = self._lengths(a, k)
         bound = np.minimum(1.0, 2 * np.minimum(shared, len(want)) / (len(want) + length))
+        wide = np.flatnonzero((length >= 200) & (bound >= least))
+        if len(wide):
+            bound[wide] = np.minimum(bound[wide], 2 * self._long_bound(want, a[wide], k[wide], length[wide]) / (len(want) + length[wide]))
+        masks: dict[str, int] = {}
+        for j, letter in enumerate(want):
+            masks[letter] = masks.get(letter, 0) | 1 << j
+        closer: dict[int, list[int]] = {}
         best, pick = 0.0, -1
-        for i in np.argsort(-bound, kind="stable")[:COMPARED]:
+        again: list[tuple[float, int]] = []
+        rest = iter(np.argsort(-bound, kind="stable").tolist())
+        i = next(rest, None)
+        while i is not None or again:
+            # The run with the highest bound, be it the loose or the close one.
+            if again and (i is None or -again[0][0] >= bound[i]):
+                top, j = heapq.heappop(again)
+                if -top < max(best, least) - 1e-12:
+                    break
+                if -top > best or j < pick:
+                    q = 1.0 if self.run(a[j], k[j]) == want else SequenceMatcher(None, want, self.run(a[j], k[j])).ratio()
+                    if q > best or (q == best and j < pick):
+                        best, pick = q, j
+                continue
             if bound[i] < max(best, least) - 1e-12:
                 break
-            run = "".join(self.words[a[i] : a[i] + k[i]]).strip()
-            q = 1.0 if run == want else SequenceMatcher(None, want, run).ratio()
-            if q > best or (q == best and i < pick):
-                best, pick = q, int(i)
-            if q == 1.0 and k[i] == size:
-                break
+            first = int(a[i])
+            if first not in closer:
+                closer[first] = self._in_order(masks, len(want), first, min(long, self.n - first))
+            heapq.heappush(again, (-min(float(bound[i]), 2 * closer[first][k[i]] / (len(want) + float(length[i]))), i))
+            i = next(rest, None)
         return (best, int(a[pick]), int(k[pick])) if best >= least else found
 
 
@@ -408,33 +489,48 @@ def _cleaned(t: str) -> str:
     return "".join(c for c in t.lower() if c.isalnum() or c.isspace())
 
 
-def sentences_to_cues(words: DataFrame, sentences: DataFrame, least: float = 0.5, reach: int = 30) -> DataFrame:
+def matched_runs(texts: list[str], sentences: list[tuple[str, int]], least: float, reach: int, wide: int, misses: int) -> list[tuple[int, int, bool]]:
+    """Runs (first, end, matched) that cover all words, in order; see ``sentences_to_cues``."""
+    index, n = _Runs(texts), len(texts)
+    at, done, missed, far, runs = 0, 0, 0, reach, []
+    for sentence, size in sentences:
+        if at >= n:
+            break
+        alike, first, taken = index.best(sentence, size, max(1, size // 2), min(size * 2, n - at), at, far, least)
+        if alike < least:
+            missed += 1
+            if missed > misses:
+                break
+            far, at = wide, min(at + 1, n)
+            continue
+        a, b = max(first, done), first + taken
+        runs += [(done, a, False)] * (a > done) + [(a, b, True)]
+        at, done, missed, far = b, b, 0, reach
+    return runs + [(done, n, False)] * (n > done)
+
+
+def sentences_to_cues(words: DataFrame, sentences: DataFrame, least: float = 0.5, reach: int = 30, wide: int = 100, misses: int = 5, max_gap_ms: int = 1500) -> DataFrame:
     """Word cues grouped by proposed ``sentences(media_id, pos, text)``: ``(media_id, cue_idx, start_ms, end_ms, text, matched)``.
 
-    Each sentence takes the run of half to twice its words, at most ``reach`` words on, that is most alike. Words that no
-    sentence takes stay together as unmatched runs.
+    Each sentence takes the run of half to twice its words, at most ``reach`` words on (``wide`` after a miss), that is most
+    alike; after more than ``misses`` misses in a row the rest of the words are left. A run that a sentence takes is cut where
+    words are more than ``max_gap_ms`` apart, and what is too long for a line is halved. Words that no sentence takes are cut
+    by rules, as ``segment`` cuts them. Null sentences match nothing; media items without sentences are cut by rules alone.
     """
-    w = words.select("media_id", "cue_idx", "start_ms", "end_ms", "text")
-    s = sentences.select(F.col("media_id").alias("m"), "pos", F.col("text").alias("sentence"), count_words("text").alias("n"))
+    clean = F.regexp_replace(F.lower("text"), r"(?U)[^\p{L}\p{N}\s]", "")
+    s = sentences.select(F.col("media_id").alias("m"), "pos", F.coalesce("text", F.lit("")).alias("sentence"), F.coalesce(count_words(clean), F.lit(0)).alias("n"))
 
     def f(key: tuple, g: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
-        g, st = g.sort_values(["start_ms", "cue_idx"]), st.sort_values("pos")
-        texts, n, at, done, runs, far = g["text"].tolist(), len(g), 0, 0, [], reach
-        index = _Runs(texts)
-        for sentence, size in zip(st["sentence"], st["n"], strict=True):
-            alike, first, taken = index.best(sentence, size, max(1, size // 2), min(size * 2, n - at), at, far, least)
-            if alike < least:
-                far, at = 100, min(at + 1, n)
-                continue
-            a, b = max(first, done), first + taken
-            if b > done:
-                runs += [(done, a, False)] * (a > done) + [(a, b, True)]
-                done = b
-            at, far = max(done, b), reach
-        runs += [(done, n, False)] * (n > done)
-        rows = [(key[0], i, int(g["start_ms"].iloc[a]), int(g["end_ms"].iloc[b - 1]), "".join(texts[a:b]).strip(), m) for i, (a, b, m) in enumerate(runs)]
+        g, st = g.sort_values(["start_ms", "cue_idx"], kind="stable").reset_index(drop=True), st.sort_values(["pos", "sentence"])
+        rows: list[tuple] = []
+        if len(g):
+            w = edit.Words(g)
+            for a, b, matched in matched_runs(w.texts, list(zip(st["sentence"], st["n"].astype(int), strict=True)), least, reach, wide, misses):
+                parts = [x for c, d in w.by_gaps(a, b, max_gap_ms) for x in w.halved(c, d)] if matched else w.by_rules(a, b)
+                rows += [(int(g["media_id"].iloc[0]), len(rows) + j, int(w.start[x]), int(w.end[y - 1]), "".join(w.texts[x:y]).strip(), matched) for j, (x, y) in enumerate(parts)]
         return pd.DataFrame(rows, columns=["media_id", "cue_idx", "start_ms", "end_ms", "text", "matched"])
 
+    w = edit.measured_words(words)
     return spread(w, "media_id").groupBy("media_id").cogroup(spread(s, "m").groupBy("m")).applyInPandas(f, "media_id long, cue_idx int, start_ms long, end_ms long, text string, matched boolean")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cues import CUES_SQL, read_cue_view
@@ -550,7 +550,15 @@ SELECT media_id, chunk_idx::INT AS chunk_idx, (k - 1)::INT AS part, (k - 1) * (t
 # What depends on the step before has no SQL; the tests hold these against plain versions.
 _add("adaptive_groups")(edit.adaptive_groups)
 _add("merge_short")(edit.merge_short)
-_add("segment_words")(lambda c: edit.segment(filters.preprocess_words(windows.split_words(c).withColumn("cue_idx", F.col("cue_idx") * 10_000 + F.col("pos")).drop("pos"))))
+
+
+def _word_cues(c: DataFrame) -> DataFrame:
+    """Words of cues as cues of their own, numbered through each media item."""
+    through = F.row_number().over(Window.partitionBy("media_id").orderBy("cue_idx", "pos")) - 1
+    return filters.preprocess_words(windows.split_words(c).withColumn("cue_idx", through).drop("pos"))
+
+
+_add("segment_words")(lambda c: edit.segment(_word_cues(c)))
 _add("alignment_windows")(edit.alignment_windows)
 _add("analysis_windows")(edit.analysis_windows)
 _add("translation_batches")(edit.translation_batches)
@@ -571,7 +579,7 @@ def _word_times(c: DataFrame) -> DataFrame:
     w = windows.split_words(c)
     p = edit.alignment_windows(c).select("media_id", "window_no", "first_idx", "last_idx", "clip_start_ms")
     j = w.join(structure.cues_of_windows(p, c).select("media_id", "cue_idx", "window_no", "clip_start_ms"), ["media_id", "cue_idx"])
-    return j.select("media_id", "window_no", (F.col("cue_idx") * 10_000 + F.col("pos")).alias("pos"), (F.col("start_ms") - F.col("clip_start_ms")).alias("start_ms"), (F.col("end_ms") - F.col("clip_start_ms")).alias("end_ms"), "text")
+    return j.select("media_id", "window_no", (F.row_number().over(Window.partitionBy("media_id").orderBy("cue_idx", "pos")) - 1).alias("pos"), (F.col("start_ms") - F.col("clip_start_ms")).alias("start_ms"), (F.col("end_ms") - F.col("clip_start_ms")).alias("end_ms"), "text")
 
 
 def _graded(c: DataFrame) -> DataFrame:
@@ -583,11 +591,7 @@ _add("edit_structure")(lambda c: structure.edit_structure(c, _graded(c))[0])
 _add("speech_timing")(lambda c: structure.speech_timing(c.select("media_id", F.col("cue_idx").alias("pos"), "text"), c.select("media_id", "start_ms", "end_ms")))
 _add("transcript_pieces", cues=False)(lambda s, d: structure.transcript_pieces(_table(s, d, "documents").select(F.col("doc_id").alias("media_id"), "text")))
 _add("aligned_lines")(lambda c: structure.align_lines(*[c.where(F.length(F.trim(x)) > 0).select("media_id", F.col("cue_idx").alias("pos"), F.col(x).alias("text")) for x in ("text", "translated_text")]))
-_add("matched_sentences")(
-    lambda c: structure.sentences_to_cues(
-        filters.preprocess_words(windows.split_words(c).withColumn("cue_idx", F.col("cue_idx") * 10_000 + F.col("pos")).drop("pos")), c.select("media_id", F.col("cue_idx").alias("pos"), "text")
-    )
-)
+_add("matched_sentences")(lambda c: structure.sentences_to_cues(_word_cues(c), c.select("media_id", F.col("cue_idx").alias("pos"), "text")))
 
 
 def queries() -> dict[str, Query]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuelake.cues import CUES
 from cuelake.functions import text
-from cuelake.operators import filters, joins, metrics, recognition, structure, validate, windows
+from cuelake.operators import edit, filters, joins, metrics, recognition, structure, validate, windows
 from cuelake.plans import pipelines
 from cuelake.policy import PostprocessConfig
 from cuelake.sources import writers
@@ -139,43 +139,80 @@ def test_rewrites_enter_the_speed_pass_if_they_help(spark):
     assert short in {r["text"] for r in done.cues.collect()}
 
 
-def test_sentences_take_the_runs_that_a_full_search_takes(spark):
-    rng = random.Random(4)
-    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)]
-    spoken = [rng.choice(vocabulary) for _ in range(120)]
-    words = spark.createDataFrame([(1, i, i * 100, i * 100 + 90, w + " ") for i, w in enumerate(spoken)], "media_id long, cue_idx int, start_ms long, end_ms long, text string")
-    sentences, at = [], 0
-    while at < 110:
-        n = rng.randint(4, 9)
-        s = spoken[at : at + n]
-        if rng.random() < 0.5:
-            s[rng.randrange(len(s))] = rng.choice(vocabulary)
-        sentences.append(" ".join(s))
-        at += n
-    got = structure.sentences_to_cues(words, spark.createDataFrame([(1, i, s) for i, s in enumerate(sentences)], "media_id long, pos int, text string"))
-    got = [(r["text"], r["matched"]) for r in got.orderBy("cue_idx").collect()]
+def full_search(texts, sentences, least=0.5, reach=30, wide=100, misses=5):
+    """Runs by comparing every sentence with every run of words."""
     clean = lambda t: "".join(c for c in t.lower() if c.isalnum() or c.isspace()).strip()
-    at = done = 0
-    far, runs = 30, []
-    for s in sentences:
-        size, best = len(s.split()), (0.0, 0, 0)
-        for k in sorted(range(max(1, size // 2), min(2 * size, 120 - at) + 1), key=lambda k: (abs(k - size), k)):
-            for a in range(at, min(at + far + 1, 120 - k + 1)):
-                q = SequenceMatcher(None, clean(s), clean(" ".join(spoken[a : a + k]))).ratio()
+    n, at, done, far, missed, runs, taken = len(texts), 0, 0, reach, 0, [], []
+    for s, size in sentences:
+        if at >= n:
+            break
+        best = (0.0, 0, 0)
+        for k in sorted(range(max(1, size // 2), min(2 * size, n - at) + 1), key=lambda k: (abs(k - size), k)):
+            for a in range(at, min(at + far + 1, n - k + 1)):
+                q = SequenceMatcher(None, clean(s), clean("".join(texts[a : a + k]))).ratio()
                 if q > best[0]:
                     best = (q, a, k)
             if best[0] == 1.0:
                 break
-        if best[0] < 0.5:
-            far, at = 100, min(at + 1, 120)
+        taken.append(best)
+        if best[0] < least:
+            missed += 1
+            if missed > misses:
+                break
+            far, at = wide, min(at + 1, n)
             continue
         a, b = max(best[1], done), best[1] + best[2]
-        if b > done:
-            runs += [(done, a, False)] * (a > done) + [(a, b, True)]
-            done = b
-        at, far = max(done, b), 30
-    runs += [(done, 120, False)] * (done < 120)
-    assert got == [(" ".join(spoken[a:b]), m) for a, b, m in runs]
+        runs += [(done, a, False)] * (a > done) + [(a, b, True)]
+        at, done, far, missed = b, b, reach, 0
+    return runs + [(done, n, False)] * (done < n), taken
+
+
+@pytest.mark.parametrize("lost", ["none", "third", "swapped", "foreign", "long"])
+def test_sentences_take_the_runs_that_a_full_search_takes(lost):
+    rng = random.Random(sum(map(ord, lost)))
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    texts = [rng.choice(vocabulary) + rng.choice([" ", " ", "  ", ", "]) for _ in range(160)]
+    sentences, at = [], 0
+    while at < 150:
+        n = rng.randint(4, 9) if lost != "long" else rng.randint(30, 50)
+        words = [t.strip(" ,") for t in texts[at : at + n]]
+        if lost == "third":
+            words = [w for i, w in enumerate(words) if i % 3 != 1]
+        elif lost == "swapped":
+            rng.shuffle(words)
+        elif lost == "foreign" and rng.random() < 0.4:
+            words = ["".join(rng.choice("qrstuvwxyzab") for _ in range(5)) for _ in words]
+        elif lost == "long":
+            words[3] = "something else"
+        sentences.append((" ".join(words), len(words)))
+        at += n
+    runs, _ = full_search(texts, sentences)
+    assert structure.matched_runs(texts, sentences, 0.5, 30, 100, 5) == runs and (lost in ("swapped", "foreign") or any(m for *_, m in runs))
+
+
+def test_after_too_many_misses_the_rest_is_left():
+    texts = [f"word{i} " for i in range(40)]
+    sentences = [("qqq zzz", 2)] * 6 + [("word20 word21", 2)]
+    assert structure.matched_runs(texts, sentences, 0.5, 30, 100, 5) == [(0, 40, False)] == full_search(texts, sentences)[0]
+    assert structure.matched_runs(texts, sentences[1:], 0.5, 30, 100, 5) == full_search(texts, sentences[1:])[0] == [(0, 20, False), (20, 22, True), (22, 40, False)]
+    assert structure.matched_runs(texts, [("", 0), (" ", 1)], 0.5, 30, 100, 5) == [(0, 40, False)] and structure.matched_runs([], [("a", 1)], 0.5, 30, 100, 5) == []
+
+
+def test_taken_runs_are_cut_at_gaps_and_halved_and_the_rest_by_rules(spark):
+    said = [f"w{i} " for i in range(50)]
+    start = [i * 100 + (2000 if i >= 3 else 0) + (700 if i >= 45 else 0) for i in range(50)]
+    words = spark.createDataFrame([(m, i, start[i], start[i] + 90, t) for m in (1, 2) for i, t in enumerate(said)], "media_id long, cue_idx int, start_ms long, end_ms long, text string")
+    sentences = [(1, 0, " ".join(t.strip() for t in said[1:42])), (1, 1, None), (3, 0, "no such media")]
+    got = structure.sentences_to_cues(words, spark.createDataFrame(sentences, "media_id long, pos int, text string")).collect()
+    assert {r["media_id"] for r in got} == {1, 2}
+    one = sorted((r for r in got if r["media_id"] == 1), key=lambda r: r["cue_idx"])
+    lines = [r["text"].split() for r in one]
+    assert [w for t in lines for w in t] == [t.strip() for t in said]
+    assert [len(t) for t in lines][:2] == [1, 2] and not one[0]["matched"] and one[1]["matched"]  # w0; w1 w2 up to the gap
+    assert max(map(len, lines)) <= 18 and sum(len(t) for t, r in zip(lines, one) if r["matched"]) == 41
+    assert [t for t, r in zip(lines, one) if not r["matched"]][1:] == [["w42", "w43", "w44"], ["w45", "w46", "w47", "w48", "w49"]]  # a gap over 500 ms
+    plain = edit.segment(words.where("media_id = 2")).orderBy("cue_idx").collect()
+    assert [(r["start_ms"], r["end_ms"], r["text"]) for r in sorted((r for r in got if r["media_id"] == 2), key=lambda r: r["cue_idx"])] == [(r["start_ms"], r["end_ms"], r["text"]) for r in plain]
 
 
 def test_issues_keep_their_order(spark):
