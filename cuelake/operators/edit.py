@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from ..cues import in_order, lag
 from ..functions.text import NO_SPACE, count_words, estimate_tokens, mainly_cjk, reading_load, squeeze, strip
 from ..policy import SpeedPolicy
 from ..storage import keep
-from .metrics import local_targets
 from .windows import with_protection, with_rhythm
 
 #: Words that leave a line hanging, and words that open or close a clause.
@@ -382,14 +382,16 @@ def normalize_quotes(cues: DataFrame) -> DataFrame:
 class _Timing:
     """Times of one media item under change, and its metrics."""
 
-    def __init__(self, g: pd.DataFrame, policy: SpeedPolicy):
-        self.p, self.n = policy, len(g)
-        self.start, self.end = g["start_ms"].to_numpy(np.int64).copy(), g["end_ms"].to_numpy(np.int64).copy()
-        self.hard, self.comfort = g["hard_s"].to_numpy(float), g["comfort_s"].to_numpy(float)
-        self.rhythm, self.fixed = g["rhythm_id"].to_numpy(), g["protected"].to_numpy(bool)
-        self.ids, self.target = g["cue_idx"].to_numpy(), g["target_load"].to_numpy(float)
-        self.budget = g["boundary_budget_ms"].astype(float).fillna(policy.budget.low).to_numpy(np.int64)
-        self.said = g["speech_start_ms"].to_numpy(float), g["speech_end_ms"].to_numpy(float)
+    def __init__(self, g: pd.DataFrame | dict[str, np.ndarray], policy: SpeedPolicy):
+        of = lambda name, kind: np.array(g[name], kind)  # noqa: E731  a copy: times change
+        self.p, self.n = policy, len(g["cue_idx"])
+        self.start, self.end = of("start_ms", np.int64), of("end_ms", np.int64)
+        self.hard, self.comfort = of("hard_s", float), of("comfort_s", float)
+        self.rhythm, self.fixed = of("rhythm_id", np.int64), of("protected", bool)
+        self.ids, self.target = of("cue_idx", np.int64), of("target_load", float)
+        budget = of("boundary_budget_ms", float)
+        self.budget = np.where(np.isnan(budget), policy.budget.low, budget).astype(np.int64)
+        self.said = of("speech_start_ms", float), of("speech_end_ms", float)
         self.least = round(policy.display.possible * 1000)
 
     @staticmethod
@@ -523,33 +525,99 @@ class _Timing:
         return log
 
 
+def _targets(g: dict[str, np.ndarray], policy: SpeedPolicy) -> np.ndarray:
+    """``metrics.local_targets`` of one media item's ordered cues: the median load of near neighbours in the rhythm, else of the rhythm, else of the media item, else 1."""
+    n, ids, rhythm = len(g["cue_idx"]), g["cue_idx"], g["rhythm_id"]
+    weight = g["end_ms"] - g["start_ms"]
+    seconds = np.where(weight > 0, weight, 1) / 1000
+    load = g["comfort_s"] / seconds
+    counts = ~g["shielded"] & (weight > 0) & (load > 0) & (g["hard_s"] / seconds <= 1)
+
+    def medians(loads: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Of each row of three or more counted loads the weighted one in the middle, else NaN."""
+        order = np.argsort(loads, axis=1, kind="stable")
+        upto = np.take_along_axis(weights, order, axis=1).cumsum(axis=1)
+        at = (upto >= 0.5 * upto[:, -1:]).argmax(axis=1)
+        middle = np.take_along_axis(loads, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0]
+        return np.where((weights > 0).sum(axis=1) >= 3, middle, np.nan)
+
+    whole = np.where(counts, load, np.inf), np.where(counts, weight, 0)
+    k = policy.rhythm.neighbours
+    around = np.arange(n)[:, None] + np.arange(-k, k + 1)
+    inside = (around >= 0) & (around < n)
+    at = np.clip(around, 0, n - 1)
+    near = inside & counts[at] & (rhythm[at] == rhythm[:, None]) & (ids[at] != ids[:, None])
+    out = medians(np.where(near, load[at], np.inf), np.where(near, weight[at], 0))
+    if np.isnan(out).any():
+        kinds, of = np.unique(rhythm, return_inverse=True)
+        first = np.searchsorted(rhythm, kinds)  # rhythms are numbered in order
+        each = [medians(*(v[None, x:y] for v in whole))[0] for x, y in zip(first, [*first[1:], n], strict=True)]
+        out = np.where(np.isnan(out), np.array(each)[of], out)
+        out = np.where(np.isnan(out), medians(*(v[None, :] for v in whole))[0], out)
+    return np.maximum(policy.jump.felt, np.where(np.isnan(out), 1.0, out))
+
+
+def per_segment(rows: DataFrame, f: Callable[[dict[str, np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
+    """``f`` over the columns, as arrays, of each media item's rows: a fold over segments of sorted batches.
+
+    ``rows`` must hold each media item in one partition, sorted by it. A task cuts its batches where the media item changes
+    and carries the last one over, so many small items cost one pass, not a group each. Nulls are NaN in columns of numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+
+        def folded(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            cols = {n: t.column(n).to_numpy() for n in t.column_names}
+            media = cols["media_id"]
+            first = np.flatnonzero(np.r_[True, media[1:] != media[:-1]]).tolist()
+            found = [f({n: c[a:b] for n, c in cols.items()}) for a, b in zip(first, [*first[1:], len(media)], strict=True)]
+            whole = [np.concatenate(c) for c in zip(*found, strict=True)]
+            for at in range(0, len(whole[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000], kind, from_pandas=True) for c, kind in zip(whole, kinds, strict=True)], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            media = b.column(b.schema.get_field_index("media_id"))
+            cut = b.num_rows
+            while cut and media[cut - 1] == media[b.num_rows - 1]:
+                cut -= 1
+            if cut or (left and left[-1].column(b.schema.get_field_index("media_id"))[-1] != media[0]):
+                yield from folded(pa.Table.from_batches([*left, b.slice(0, cut)]))
+                left = []
+            left.append(b.slice(cut))
+        if left:
+            yield from folded(pa.Table.from_batches(left))
+
+    names, kinds = zip(*((n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[k]) for n, k in (x.split() for x in schema.split(","))), strict=True)
+    return rows.mapInArrow(run, schema)
+
+
 def optimize_timing(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Cues with better times and the change log ``(media_id, cue_idx, boundary, before_ms, after_ms, reason)``; texts stay.
 
-    Loads and targets are computed by expressions and windows; one pass per media item moves boundaries. Optional columns
-    ``protected``, ``boundary_budget_ms``, ``speech_start_ms`` and ``speech_end_ms`` limit it.
+    Texts are measured once by expressions; one pass over each media item finds its targets and moves boundaries. Optional
+    columns ``protected``, ``boundary_budget_ms``, ``speech_start_ms`` and ``speech_end_ms`` limit it.
     """
     c = cues
-    for name, kind in (("boundary_budget_ms", "long"), ("speech_start_ms", "double"), ("speech_end_ms", "double")):
+    for name, kind in (("boundary_budget_ms", "double"), ("speech_start_ms", "double"), ("speech_end_ms", "double")):
         c = c.withColumn(name, F.col(name).cast(kind) if name in cues.columns else F.lit(None).cast(kind))
-    c = with_protection(with_rhythm(c, policy.rhythm.pause_ms), policy, text)
-    own = F.col("protected_by").isNotNull()
-    c = c.withColumn("load__", reading_load(text, F.lit(None).cast("long"), policy))
-    c = c.withColumn("protected", own | F.col("protected") if "protected" in cues.columns else own)
-    c = c.withColumn("hard_s", F.col("load__.hard_s")).withColumn("comfort_s", F.col("load__.comfort_s"))
-    c = c.join(local_targets(cues, policy, text), ["media_id", "cue_idx"])
-    cols = ["media_id", "cue_idx", "start_ms", "end_ms", "hard_s", "comfort_s", "rhythm_id", "protected", "target_load", "boundary_budget_ms", "speech_start_ms", "speech_end_ms"]
-
-    def f(g: pd.DataFrame) -> pd.DataFrame:
-        t = _Timing(g, policy)
+    c = spread(c.withColumn("load__", reading_load(text, F.lit(None).cast("long"), policy)), "media_id")
+    c = with_protection(with_rhythm(c, policy.rhythm.pause_ms), policy, text, units=F.col("load__.units"))
+    c = c.withColumn("shielded", F.col("protected_by").isNotNull())
+    c = c.withColumn("protected", F.col("shielded") | F.coalesce(F.col("protected"), F.lit(False)) if "protected" in cues.columns else F.col("shielded"))
+    c = c.select("media_id", "cue_idx", "start_ms", "end_ms", F.col("load__.hard_s").alias("hard_s"), F.col("load__.comfort_s").alias("comfort_s"), "rhythm_id", "protected", "shielded", "boundary_budget_ms", "speech_start_ms", "speech_end_ms")
+
+    def f(g: dict[str, np.ndarray]) -> list[np.ndarray]:
+        t = _Timing(g | {"target_load": _targets(g, policy)}, policy)
         log = t.optimize() + (t.balance() if policy.balance else [])
-        times = pd.DataFrame({"cue_idx": t.ids, "boundary": None, "before_ms": t.start, "after_ms": t.end, "reason": None})
-        rows = pd.concat([times, pd.DataFrame(log, columns=["cue_idx", "boundary", "before_ms", "after_ms", "reason"])] if log else [times], ignore_index=True)
-        rows.insert(0, "media_id", g["media_id"].iloc[0])
-        return rows
+        idx, boundary, before, after, reason = zip(*log, strict=True) if log else ((),) * 5
+        n, texts = len(t.ids), lambda x: np.concatenate([np.full(t.n, None, object), np.array(x, object)])
+        return [np.full(n + len(log), g["media_id"][0]), np.concatenate([t.ids, np.array(idx, np.int64)]).astype(np.int32), texts(boundary), np.concatenate([t.start, np.array(before, np.int64)]), np.concatenate([t.end, np.array(after, np.int64)]), texts(reason)]
 
     # Both results come from one run.
-    tagged = keep(per_media(c.select(*cols), f, "media_id long, cue_idx int, boundary string, before_ms long, after_ms long, reason string"), "timing")
+    tagged = keep(per_segment(c.sortWithinPartitions("media_id", "start_ms", "cue_idx"), f, "media_id long, cue_idx int, boundary string, before_ms long, after_ms long, reason string"), "timing")
     times = tagged.where(F.col("boundary").isNull()).select("media_id", "cue_idx", F.col("before_ms").alias("s__"), F.col("after_ms").alias("e__"))
     out = cues.join(times, ["media_id", "cue_idx"]).withColumn("start_ms", F.col("s__")).withColumn("end_ms", F.col("e__")).drop("s__", "e__")
     return out, tagged.where(F.col("boundary").isNotNull())

@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import LONG_TEXT, Spots, ratio
 from ..functions.similarity import facts
 from ..functions.text import alignment_text, collapse_transcript, count_words, mainly_cjk, strip
 from ..policy import SpeedPolicy
@@ -453,9 +454,10 @@ class _Runs:
             shared += np.minimum(want.count(letter), c[a + k] - c[a])
         length = self._lengths(a, k)
         bound = np.minimum(1.0, 2 * np.minimum(shared, len(want)) / (len(want) + length))
-        wide = np.flatnonzero((length >= 200) & (bound >= least))
+        wide = np.flatnonzero((length >= LONG_TEXT) & (bound >= least))
         if len(wide):
             bound[wide] = np.minimum(bound[wide], 2 * self._long_bound(want, a[wide], k[wide], length[wide]) / (len(want) + length[wide]))
+        spots = Spots(want)
         masks: dict[str, int] = {}
         for j, letter in enumerate(want):
             masks[letter] = masks.get(letter, 0) | 1 << j
@@ -471,7 +473,7 @@ class _Runs:
                 if -top < max(best, least) - 1e-12:
                     break
                 if -top > best or j < pick:
-                    q = 1.0 if self.run(a[j], k[j]) == want else SequenceMatcher(None, want, self.run(a[j], k[j])).ratio()
+                    q = ratio(spots, self.run(a[j], k[j]))
                     if q > best or (q == best and j < pick):
                         best, pick = q, j
                 continue

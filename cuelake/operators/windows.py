@@ -73,12 +73,12 @@ def compensation(gap: Column, cfg: PostprocessConfig = PostprocessConfig()) -> C
     return F.when(gap <= cfg.max_gap_ms, F.lit(0).cast("long")).when(gap >= cfg.max_compensation_gap_ms, F.lit(cfg.max_compensation_ms).cast("long")).otherwise(sloped)
 
 
-def with_protection(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text", explicit: Column | None = None) -> DataFrame:
-    """``protected_by``: why a cue may not be changed, the first that holds, else null."""
+def with_protection(cues: DataFrame, policy: SpeedPolicy = SpeedPolicy(), text: str = "text", explicit: Column | None = None, units: Column | None = None) -> DataFrame:
+    """``protected_by``: why a cue may not be changed, the first that holds, else null. ``units``: the text's visible units, where they are measured already."""
     shown = F.col("end_ms") - F.col("start_ms")
     apart = lambda gap: F.coalesce(gap >= policy.rhythm.stop_ms, F.lit(True))
     alone = apart(F.col("start_ms") - lag("end_ms")) & apart(lead("start_ms") - F.col("end_ms"))
-    c = cues.withColumn("units__", visible_units(text, policy)).withColumn("alone__", alone)
+    c = cues.withColumn("units__", visible_units(text, policy) if units is None else units).withColumn("alone__", alone)
     why = (
         F.when(F.coalesce(explicit, F.lit(False)) if explicit is not None else F.lit(False), "explicit")
         .when(F.coalesce(F.col(text).rlike(MUSIC), F.lit(False)), "music_or_lyric_marker")

@@ -591,7 +591,13 @@ _add("edit_structure")(lambda c: structure.edit_structure(c, _graded(c))[0])
 _add("speech_timing")(lambda c: structure.speech_timing(c.select("media_id", F.col("cue_idx").alias("pos"), "text"), c.select("media_id", "start_ms", "end_ms")))
 _add("transcript_pieces", cues=False)(lambda s, d: structure.transcript_pieces(_table(s, d, "documents").select(F.col("doc_id").alias("media_id"), "text")))
 _add("aligned_lines")(lambda c: structure.align_lines(*[c.where(F.length(F.trim(x)) > 0).select("media_id", F.col("cue_idx").alias("pos"), F.col(x).alias("text")) for x in ("text", "translated_text")]))
-_add("matched_sentences")(lambda c: structure.sentences_to_cues(_word_cues(c), c.select("media_id", F.col("cue_idx").alias("pos"), "text")))
+
+
+@_add("matched_sentences", cues=False)
+def _matched_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of a document's cues, and the document's line-size pieces as the proposed sentences."""
+    pieces = structure.transcript_pieces(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), "text"))
+    return structure.sentences_to_cues(_word_cues(read_cue_view(spark, sf_dir)), pieces)
 
 
 def queries() -> dict[str, Query]:

@@ -254,3 +254,56 @@ def test_sides_and_short_lines(spark):
     u = spark.createDataFrame([(1, 0, "long one"), (1, 1, "other")], "media_id long, idx int, text string")
     out, n = joins.attach_short_lines(u, spark.createDataFrame([(1, 0, " one "), (1, 5, "gone"), (1, 1, " ")], "media_id long, idx int, text string"))
     assert sorted((r["idx"], r["rewritten_text"]) for r in out.collect()) == [(0, "one"), (1, None)] and tuple(n.first()) == (1, 3, 1)
+
+
+def test_targets_of_a_segment_equal_those_of_the_tables(spark, tiny):
+    """Timing finds its targets by itself; the operator over tables must give the same."""
+    import numpy as np
+
+    from cuelake.cues import read_cue_view
+    from cuelake.functions.text import reading_load
+    from cuelake.policy import SpeedPolicy
+
+    policy = SpeedPolicy()
+    c = read_cue_view(spark, tiny).unionByName(cues(spark, [(0, 0, "no time", ""), (0, 900, "a b c", ""), (900, 1500, "twin twin", ""), (1500, 2100, "twin twin", ""), (2100, 2700, "twin twin", ""), (9000, 9100, "far too much for so short a time", "")]).withColumn("media_id", F.lit(-1).cast("long")))
+    want = {(r["media_id"], r["cue_idx"]): r["target_load"] for r in metrics.local_targets(c).collect()}
+    m = windows.with_protection(windows.with_rhythm(c, policy.rhythm.pause_ms), policy).withColumn("l", reading_load("text", F.lit(None).cast("long"), policy))
+    rows = m.select("media_id", "cue_idx", "start_ms", "end_ms", "rhythm_id", F.col("protected_by").isNotNull().alias("shielded"), "l.hard_s", "l.comfort_s").orderBy("media_id", "start_ms", "cue_idx").toPandas()
+    got = {}
+    for media, g in rows.groupby("media_id"):
+        for i, t in zip(g["cue_idx"], edit._targets({n: v.to_numpy() for n, v in g.items()}, policy), strict=True):
+            got[(media, i)] = t
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=0, atol=0)
+
+
+def test_segments_are_cut_where_the_item_changes(spark):
+    rows = spark.range(1000).selectExpr("id * id div 5000 media_id", "int(id) cue_idx").repartition(3, "media_id").sortWithinPartitions("media_id", "cue_idx")
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    f = lambda g: [g["media_id"][:1], g["cue_idx"][:1], [str(len(g["cue_idx"]))]]
+    want = sorted((r["media_id"], r["a"], str(r["n"])) for r in rows.groupBy("media_id").agg(F.min("cue_idx").alias("a"), F.count("*").alias("n")).collect())
+    try:
+        for size in ("7", "100", "100000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(tuple, edit.per_segment(rows, f, "media_id long, cue_idx int, n string").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
+    assert edit.per_segment(rows.limit(0), f, "media_id long, cue_idx int, n string").collect() == []
+
+
+def test_likeness_equals_plain_blocks():
+    from cuelake.functions.matching import Spots, bound, matching_letters, ratio
+
+    rng = random.Random(11)
+    for _ in range(1500):
+        letters = "abcdefghijklmnopqrstuvwxyz é"[: rng.choice([2, 5, 28])]
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 30, 150, 260])))
+        b = list(a)
+        for _ in range(rng.randint(0, 10)):
+            if b:
+                p = rng.randrange(len(b))
+                q = min(len(b), p + rng.randint(0, 20))
+                b[p:q] = rng.choice([[], b[p:q] * 2, [rng.choice(letters)], b[p:q][::-1]])
+        b = "".join(b) if rng.random() < 0.9 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 300)))
+        assert ratio(a, b) == SequenceMatcher(None, a, b).ratio() <= bound(a, b) + 1e-12
+        plain = SequenceMatcher(None, a, b, autojunk=False)
+        assert ratio(a, b, frequent=False) == plain.ratio() and matching_letters(Spots(a), b, False) == sum(m.size for m in plain.get_matching_blocks())
