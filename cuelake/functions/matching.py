@@ -1,7 +1,11 @@
-"""Likeness of two texts by common stretches: the longest first, then left and right of it, until nothing is common."""
+"""Likeness of two texts by common stretches: the longest first, then left and right of it, until nothing is common. Pairs of lines by what stands once in both."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 
 #: In texts from this length on, letters that are over a hundredth of the second text begin no stretch; they only lengthen it. Fixed values.
@@ -45,8 +49,8 @@ def _ending(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def matching_letters(a: Spots, b: str, frequent: bool = True) -> int:
-    """Letters in common stretches of both texts.
+def stretches(a: Spots, b: str, frequent: bool = True) -> Iterator[tuple[int, int, int]]:
+    """Common stretches ``(place in a, place in b, length)`` of both texts, in no order.
 
     Of stretches of equal length the one that begins first in ``a`` is taken, then the one first in ``b``. ``frequent``: long
     texts begin stretches at rarer letters only. Seeds are looked up once; each part of the texts works on those within it.
@@ -56,7 +60,6 @@ def matching_letters(a: Spots, b: str, frequent: bool = True) -> int:
     i, j = np.array(ai, np.int64), np.array(bj, np.int64)
     ends = _ending(i, j) if len(i) else np.zeros(0, np.int64)
     todo: list[tuple] = [(0, len(text), 0, len(b), list(zip(ai, bj, ends.tolist(), strict=True)) if len(ai) <= FEW else (i, j, ends))]
-    total = 0
     while todo:
         alo, ahi, blo, bhi, seeds = todo.pop()
         x, y, size = alo, blo, 0
@@ -78,7 +81,7 @@ def matching_letters(a: Spots, b: str, frequent: bool = True) -> int:
             size += 1
         if not size:
             continue
-        total += size
+        yield x, y, size
         for p, q, r, s in ((alo, x, blo, y), (x + size, ahi, y + size, bhi)):
             if p < q and r < s:
                 if isinstance(seeds, tuple):
@@ -87,7 +90,79 @@ def matching_letters(a: Spots, b: str, frequent: bool = True) -> int:
                     todo.append((p, q, r, s, part if len(part[0]) > FEW else list(zip(*(v.tolist() for v in part), strict=True))))
                 else:
                     todo.append((p, q, r, s, [e for e in seeds if p <= e[0] < q and r <= e[1] < s]))
-    return total
+
+
+def matching_letters(a: Spots, b: str, frequent: bool = True) -> int:
+    """Letters in common stretches of both texts."""
+    return sum(size for *_, size in stretches(a, b, frequent))
+
+
+def _rising(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of ``places``, ordered by the first number, in which the second rises too."""
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(places):
+        pile = bisect_left(ends, j)
+        before.append(at[pile - 1] if pile else -1)
+        if pile == len(ends):
+            ends.append(j)
+            at.append(k)
+        else:
+            ends[pile], at[pile] = j, k
+    k, out = at[-1] if at else -1, []
+    while k >= 0:
+        out.append(places[k])
+        k = before[k]
+    return out[::-1]
+
+
+def same_lines(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of equal lines of ``x`` and ``y``, rising in both.
+
+    Lines that stand once in each hold the lists together: of them the longest rising row, and between two of them the same
+    again. Where no line stands once in both, the longest common stretches are taken.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        mine, theirs = Counter(x[a:b]), Counter(y[c:d])
+        there = {t: j for j, t in enumerate(y[c:d], c) if theirs[t] == 1}
+        anchors = _rising([(i, there[t]) for i, t in enumerate(x[a:b], a) if mine[t] == 1 and t in there])
+        if anchors:
+            out += anchors
+            edges = [(a - 1, c - 1), *anchors, (b, d)]
+            todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False) if i + 1 < k and j + 1 < m]
+        elif mine.keys() & theirs.keys():
+            # One letter for each line.
+            letter = {t: chr(0x10000 + k) for k, t in enumerate(dict.fromkeys([*x[a:b], *y[c:d]]))}
+            left, right = ("".join(map(letter.__getitem__, part)) for part in (x[a:b], y[c:d]))
+            out += [(a + i + k, c + j + k) for i, j, size in stretches(Spots(left), right, frequent=False) for k in range(size)]
+    return sorted(out)
+
+
+def paired_lines(x: list[str], y: list[str]) -> list[str | None]:
+    """For each line of ``x`` its equal in ``y``, or what stands at its place between equal lines; lines without either take the pair of the line before."""
+    out: list[str | None] = [None] * len(x)
+    i = j = 0
+    for k, m in [*same_lines(x, y), (len(x), len(y))]:
+        for n in range(min(k - i, m - j)):
+            out[i + n] = y[j + n]
+        if k < len(x):
+            out[k] = y[m]
+        i, j = k + 1, m + 1
+    for n in range(1, len(out)):
+        out[n] = out[n - 1] if out[n] is None else out[n]
+    return out
 
 
 def ratio(a: Spots | str, b: str, frequent: bool = True) -> float:

@@ -6,7 +6,6 @@ import hashlib
 import heapq
 import os
 import unicodedata
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.matching import LONG_TEXT, Spots, ratio
+from ..functions.matching import LONG_TEXT, Spots, paired_lines, ratio
 from ..functions.similarity import facts
 from ..functions.text import alignment_text, collapse_transcript, count_words, mainly_cjk, strip
 from ..policy import SpeedPolicy
@@ -537,20 +536,13 @@ def sentences_to_cues(words: DataFrame, sentences: DataFrame, least: float = 0.5
 
 
 def align_lines(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Lines of ``source(media_id, pos, text)`` with the line of ``target`` that a diff pairs with each; gaps take the one before."""
+    """Lines of ``source(media_id, pos, text)`` with the line of ``target`` that belongs to each; see ``paired_lines``."""
     t = target.select(F.col("media_id").alias("m"), "pos", "text")
 
     def f(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("pos"), b.sort_values("pos")
         x, y = a["text"].tolist(), b["text"].tolist()
-        pair: list[str | None] = [None] * len(x)
-        for op, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op in ("equal", "replace"):
-                for k in range(min(i2 - i1, j2 - j1)):
-                    pair[i1 + k] = y[j1 + k]
-        for i in range(1, len(pair)):
-            pair[i] = pair[i - 1] if pair[i] is None else pair[i]
-        return pd.DataFrame({"media_id": key[0], "pos": a["pos"], "text": x, "paired": pair})
+        return pd.DataFrame({"media_id": a["media_id"], "pos": a["pos"], "text": x, "paired": paired_lines(x, y)})
 
     return spread(source.select("media_id", "pos", "text"), "media_id").groupBy("media_id").cogroup(spread(t, "m").groupBy("m")).applyInPandas(f, "media_id long, pos int, text string, paired string")
 

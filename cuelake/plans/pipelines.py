@@ -58,14 +58,14 @@ def repairs_of(cues: DataFrame, rewrites: DataFrame, policy: SpeedPolicy) -> Dat
     c = windows.with_protection(windows.with_rhythm(cues, policy.rhythm.pause_ms), policy).withColumn("protected", F.col("protected_by").isNotNull())
     load = reading_load("text", F.col("end_ms") - F.col("start_ms"), policy)["hard_load"]
     w = windows.repair_windows(c.withColumn("unresolved", F.coalesce(load > 1, F.lit(False))))
-    rows = w.join(cues.select("media_id", "cue_idx", "text"), "media_id").where(F.col("cue_idx").between(F.col("first_idx"), F.col("last_idx")))
+    rows = structure.cues_of_windows(w, cues).join(cues.select("media_id", "cue_idx", "text"), ["media_id", "cue_idx"])
     name = F.concat_ws("/", F.col("media_id").cast("string"), F.col("window_no").cast("string"))
     idx = F.format_string("%010d", F.col("cue_idx"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", F.col(c).alias("v")))), lambda x: x["v"])
     asked = rows.withColumn("key", idx).groupBy("media_id", "window_no").agg(in_order("key").alias("cue_ids"), F.array_join(in_order("text"), "\n").alias("before")).withColumn("window_id", name)
     taken = accept_rewrites(asked, rewrites.select(name.alias("window_id"), "attempt", idx.alias("cue_id"), "text"))
     taken = taken.where(F.col("verdict") == "accepted").join(asked.select("window_id", "media_id", "window_no", "cue_ids"), "window_id")
-    return taken.select("media_id", "window_no", F.transform("cue_ids", lambda x: x.cast("int")).alias("cue_ids"), F.split("after", "\n").alias("texts")).where(F.size("cue_ids") == F.size("texts"))
+    return taken.select("media_id", "window_no", F.transform("cue_ids", lambda x: x.cast("int")).alias("cue_ids"), "texts")
 
 
 def _whole(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def postprocess(cues: DataFrame, cfg: PostprocessConfig = PostprocessConfig(), e
 
 
 def accept_rewrites(windows_: DataFrame, candidates: DataFrame, most_graphemes: int = 84, attempts: int = 3) -> DataFrame:
-    """The first acceptable rewrite of each window, or none: ``(window_id, attempt, after, verdict, reasons)``.
+    """The first acceptable rewrite of each window, or none: ``(window_id, attempt, after, texts, verdict, reasons)``; ``texts`` are those of the cues in order.
 
     ``windows_``: ``window_id, cue_ids, before``; ``candidates``: ``window_id, attempt, cue_id, text``. A candidate must name each
     cue once, leave none empty, change something, fit the limit and keep the meaning; those in review are kept as such.
@@ -109,8 +109,8 @@ def accept_rewrites(windows_: DataFrame, candidates: DataFrame, most_graphemes:
     j = windows_.join(per, "window_id").withColumn("after", F.array_join("texts", "\n"))
     fits = ~F.exists("texts", lambda t: (F.length(squeeze(t)) == 0) | (F.size(F.regexp_extract_all(t, F.lit(r"\X"), F.lit(0))) > most_graphemes))
     j = j.where((F.col("ids") == F.array_sort("cue_ids")) & fits & (F.col("after") != F.col("before")))
-    j = j.withColumn("m", meaning_kept("before", "after")).select("window_id", "attempt", "after", "m.verdict", "m.reasons").where(F.col("verdict").isin("accepted", "review"))
-    first = F.min_by(F.struct("attempt", "after", "verdict", "reasons"), F.struct(F.col("verdict") != "accepted", F.col("attempt")))
+    j = j.withColumn("m", meaning_kept("before", "after")).select("window_id", "attempt", "after", "texts", "m.verdict", "m.reasons").where(F.col("verdict").isin("accepted", "review"))
+    first = F.min_by(F.struct("attempt", "after", "texts", "verdict", "reasons"), F.struct(F.col("verdict") != "accepted", F.col("attempt")))
     return j.groupBy("window_id").agg(first.alias("r")).select("window_id", "r.*")
 
 

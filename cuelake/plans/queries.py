@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.similarity import has_repetition, meaning_kept
 from ..operators import edit, filters, joins, metrics, recognition, stitch, structure, validate, windows
 from ..policy import PostprocessConfig, SpeedPolicy, speed_policy
-from ..sources import writers
+from ..sources import readers, writers
 from ..streaming import streams
 from . import pipelines
 
@@ -261,21 +261,34 @@ z AS (SELECT *, sum(took) OVER (PARTITION BY media_id, cue_idx ORDER BY pos ROWS
 SELECT media_id, cue_idx, pos::INT AS pos, least(s + upto - took, e) AS start_ms, least(e, s + upto) AS end_ms, word AS text FROM z""",
 )(windows.split_words)
 _add("batches", f"SELECT media_id, cue_idx, floor((row_number() OVER ({_ORDER}) - 1) / 10)::INT AS batch_no FROM cues")(lambda c: windows.with_batches(c).select("media_id", "cue_idx", "batch_no"))
-_add(
-    "repair_windows",
-    f"""{_UNITS}{_PROTECTED}, a AS (SELECT media_id, cue_idx, start_ms, rhythm_id, protected_by IS NOT NULL AS p, coalesce(hard_load > 1, false) AS unres FROM pr),
+_REPAIR_SQL = f"""{_UNITS}{_PROTECTED}, a AS (SELECT media_id, cue_idx, start_ms, rhythm_id, protected_by IS NOT NULL AS p, coalesce(hard_load > 1, false) AS unres FROM pr),
 b AS (SELECT *, CASE WHEN p OR lag(p) OVER ({_ORDER}) OR rhythm_id <> lag(rhythm_id) OVER ({_ORDER}) THEN 1 ELSE 0 END AS cut FROM a),
 d AS (SELECT *, sum(cut) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING) AS run FROM b), e AS (SELECT * FROM d WHERE NOT p),
 f AS (SELECT *, floor((row_number() OVER (PARTITION BY media_id, run ORDER BY start_ms, cue_idx) - 1) / 5) AS part FROM e),
 g AS (SELECT media_id, run, part, min(cue_idx) AS first_idx, max(cue_idx) AS last_idx, count(*) AS n_cues, bool_or(unres) AS open FROM f GROUP BY media_id, run, part)
-SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY run, part)::INT AS window_no, first_idx, last_idx, n_cues FROM g WHERE open""",
-)(
-    lambda c: windows.repair_windows(
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY run, part)::INT AS window_no, first_idx, last_idx, n_cues FROM g WHERE open"""
+
+
+def _repair_windows(c: DataFrame) -> DataFrame:
+    return windows.repair_windows(
         windows.with_protection(windows.with_rhythm(c))
         .withColumn("protected", F.col("protected_by").isNotNull())
         .withColumn("unresolved", F.coalesce(T.reading_load("text", F.col("end_ms") - F.col("start_ms"), SpeedPolicy())["hard_load"] > 1, F.lit(False)))
     )
-)
+
+
+_add("repair_windows", _REPAIR_SQL)(_repair_windows)
+
+
+@_add("archived_windows", _REPAIR_SQL)
+def _archived(c: DataFrame) -> DataFrame:
+    """Windows written as archives with fingerprints of the cues, and read back."""
+    prints = writers.subtitle_fingerprints(c).withColumn("media_fingerprint", F.concat(F.lit("media "), F.col("media_id").cast("string")))
+    w = _repair_windows(c)
+    files = writers.timing_archive(w, prints).select(F.col("media_id").cast("string").alias("path"), "content")
+    return readers.timing_archive(files, prints, ", ".join(f"{n} {k}" for n, k in w.dtypes if n != "media_id"))[0].select(w.columns)
+
+
 _add(
     "partition_points",
     f""", w AS (SELECT media_id, row_number() OVER ({_ORDER}) - 1 AS row, lead(start_ms) OVER ({_ORDER}) - end_ms AS gap, {_WORDS('text')} AS words FROM cues),

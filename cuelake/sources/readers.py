@@ -5,10 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..cues import GLOSSARY, REQUEST_LOG, not_blank
 from ..functions.text import clock_ms, guess_language, pick_track, speaker_of, strip
 from ..operators.joins import pair_bilingual
+from .writers import window_fingerprint
 
 _TIME = r"(\d{1,3}:\d{1,2}:\d{1,2}[.,]\d{1,3})\s*-->\s*(\d{1,3}:\d{1,2}:\d{1,2}[.,]\d{1,3})"
 _VTT_TIME = r"((?:\d{1,3}:)?\d{1,2}:\d{1,2}[.,]\d{1,3})\s*-->\s*((?:\d{1,3}:)?\d{1,2}:\d{1,2}[.,]\d{1,3})"
@@ -221,7 +223,28 @@ def model_responses(rows: DataFrame, wanted: DataFrame, schema: str, text: str =
     return x.where(F.col("reason").isNull()).drop("reason"), x.where(F.col("reason").isNotNull()).select("batch_id", "id", "reason").unionByName(broken)
 
 
-def timing_archive(files: DataFrame, expected: DataFrame, version: int = 1) -> DataFrame:
-    """Evidence bundles of ``(path, content)`` whose version and fingerprints are those of ``expected(media_id, fingerprint)``."""
-    a = files.select("path", F.from_json("content", "struct<schema_version:int,media_id:bigint,fingerprint:string,bundle:string>").alias("a")).select("path", "a.*")
-    return a.where(F.col("schema_version") == version).join(expected, ["media_id", "fingerprint"]).select("media_id", "fingerprint", "bundle")
+def timing_archive(files: DataFrame, expected: DataFrame, window: str, version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Windows of archives ``(path, content)`` and what is wrong with the rest, ``(path, media_id, window_no, reason)``.
+
+    ``window`` is the schema of a window, ``window_no int`` among its fields; ``expected(media_id, subtitle_fingerprint,
+    media_fingerprint)`` what the archives must have been taken from (a null fingerprint expects nothing). Reasons of a whole
+    archive, the first that holds: ``not_json``, ``unsupported_version``, ``unknown_media``, ``subtitle_fingerprint``,
+    ``media_fingerprint``, ``no_windows``; of a window: ``window_fingerprint``, where its fields aren't those that were written.
+    """
+    head = "schema_version:int,media_id:bigint,subtitle_fingerprint:string,media_fingerprint:string"
+    fields = [f.name for f in T.StructType.fromDDL(window)]
+    ddl = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(window))
+    a = files.select("path", F.from_json("content", f"struct<{head},windows:array<struct<{ddl},window_fingerprint:string>>>", {"mode": "PERMISSIVE"}).alias("a")).select("path", "a.*")
+    e = expected.select("media_id", F.col("subtitle_fingerprint").alias("s__"), F.col("media_fingerprint").alias("m__"), F.lit(True).alias("known__"))
+    differs = lambda got, want: F.col(want).isNotNull() & ~F.col(got).eqNullSafe(F.col(want))
+    none = F.coalesce(*[F.col(c).cast("string") for c in ("schema_version", "media_id", "subtitle_fingerprint", "media_fingerprint")], F.col("windows").cast("string")).isNull()
+    why = (
+        F.when(none, "not_json").when(~F.col("schema_version").eqNullSafe(F.lit(version)), "unsupported_version").when(F.col("known__").isNull(), "unknown_media")
+        .when(differs("subtitle_fingerprint", "s__"), "subtitle_fingerprint").when(differs("media_fingerprint", "m__"), "media_fingerprint").when(F.col("windows").isNull(), "no_windows")
+    )
+    a = a.join(e, "media_id", "left").withColumn("reason", why)
+    w = a.where(F.col("reason").isNull()).select("path", "media_id", F.explode("windows").alias("w")).select("path", "media_id", "w.*")
+    same = window_fingerprint(fields).eqNullSafe(F.col("window_fingerprint"))
+    bad = a.where(F.col("reason").isNotNull()).select("path", "media_id", F.lit(None).cast("int").alias("window_no"), "reason")
+    changed = w.where(~same).select("path", "media_id", "window_no", F.lit("window_fingerprint").alias("reason"))
+    return w.where(same).select("media_id", *fields), bad.unionByName(changed)

@@ -122,11 +122,30 @@ def dubbing_report(segments: DataFrame, warnings: DataFrame) -> DataFrame:
     return s.join(w, "media_id", "left").select("media_id", F.concat(F.lit('{"segments":['), F.array_join("rows", ","), F.lit('],"warnings":'), F.to_json(F.coalesce("w", F.array().cast("array<string>"))), F.lit("}")).alias("content"))
 
 
-def timing_archive(evidence: DataFrame, version: int = 1) -> DataFrame:
-    """``(media_id, schema_version, content)``: windows of evidence as canonical JSON, fields by name and windows by number; ``read_timing_archive`` of it gives them back."""
+def subtitle_fingerprints(cues: DataFrame) -> DataFrame:
+    """``(media_id, subtitle_fingerprint)``: sha256 of all cues of a media item in order, times and both sides."""
+    one = F.struct("start_ms", "end_ms", "text", "translated_text")
+    in_turn = F.array_sort(F.collect_list(F.struct("start_ms", "cue_idx", F.sha2(F.to_json(one, {"ignoreNullFields": "false"}), 256).alias("h"))))
+    return cues.groupBy("media_id").agg(F.sha2(F.array_join(F.transform(in_turn, lambda x: x["h"]), ""), 256).alias("subtitle_fingerprint"))
+
+
+def window_fingerprint(fields: list[str]) -> Column:
+    """sha256 of a window's canonical JSON: fields by name, nulls left out."""
+    return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
+
+
+def timing_archive(evidence: DataFrame, fingerprints: DataFrame, version: int = 1) -> DataFrame:
+    """``(media_id, schema_version, content)``: windows of evidence as canonical JSON, fields by name and windows by number; ``readers.timing_archive`` gives them back.
+
+    ``fingerprints(media_id, subtitle_fingerprint, media_fingerprint)`` says what the evidence was taken from; media items
+    without a row there aren't written. Each window carries a fingerprint of its own fields.
+    """
     fields = sorted(c for c in evidence.columns if c != "media_id")
-    g = evidence.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("window_no", F.to_json(F.struct(*fields)).alias("j")))).alias("e"))
-    return g.select("media_id", F.lit(version).alias("schema_version"), F.concat(F.lit(f'{{"schema_version":{version},"windows":['), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit("]}")).alias("content"))
+    window = F.struct(*fields, window_fingerprint(fields).alias("window_fingerprint"))
+    g = evidence.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("window_no", F.to_json(window).alias("j")))).alias("e")).join(fingerprints, "media_id")
+    head = F.to_json(F.struct("media_fingerprint", "media_id", F.lit(version).alias("schema_version"), "subtitle_fingerprint"), {"ignoreNullFields": "false"})
+    head = F.regexp_replace(head, r"\}$", "")
+    return g.select("media_id", F.lit(version).alias("schema_version"), F.concat(head, F.lit(',"windows":['), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit("]}")).alias("content"))
 
 
 def quality_report(before: DataFrame, after: DataFrame, changes: DataFrame, issues: DataFrame) -> DataFrame:

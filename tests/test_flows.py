@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -13,8 +14,8 @@ from cuelake.cues import CUES
 from cuelake.functions import text
 from cuelake.operators import edit, filters, joins, metrics, recognition, structure, validate, windows
 from cuelake.plans import pipelines
-from cuelake.policy import PostprocessConfig
-from cuelake.sources import writers
+from cuelake.policy import PostprocessConfig, SpeedPolicy
+from cuelake.sources import readers, writers
 
 
 def cues(spark, rows, media=1):
@@ -107,9 +108,12 @@ def test_reports(spark):
     r = json.loads(writers.dubbing_report(seg, spark.createDataFrame([(1, "w")], "media_id long, warning string")).first()["content"])
     assert r["warnings"] == ["w"] and [s["index"] for s in r["segments"]] == [0, 1] and r["segments"][1]["speed_factor"] == 1.1112 and r["segments"][1]["warning"] is None
     e = spark.createDataFrame([(1, 1, "LOW", 0.5), (1, 0, "HIGH", 1.0)], "media_id long, window_no int, grade string, coverage double")
-    a = writers.timing_archive(e).first()
-    assert json.loads(a["content"]) == {"schema_version": 1, "windows": [{"coverage": 1.0, "grade": "HIGH", "window_no": 0}, {"coverage": 0.5, "grade": "LOW", "window_no": 1}]}
-    assert a["content"] == writers.timing_archive(e.orderBy("grade")).first()["content"]
+    prints = spark.createDataFrame([(1, "s", None), (2, "t", "m")], "media_id long, subtitle_fingerprint string, media_fingerprint string")
+    a = writers.timing_archive(e, prints).first()
+    told = json.loads(a["content"])
+    assert [told[k] for k in ("schema_version", "media_id", "subtitle_fingerprint", "media_fingerprint")] == [1, 1, "s", None] and list(told) == sorted(told)
+    assert [{k: v for k, v in w.items() if k != "window_fingerprint"} for w in told["windows"]] == [{"coverage": 1.0, "grade": "HIGH", "window_no": 0}, {"coverage": 0.5, "grade": "LOW", "window_no": 1}]
+    assert a["content"] == writers.timing_archive(e.orderBy("grade"), prints).first()["content"]
     c = cues(spark, [(0, 300, "much too long a text for that"), (2000, 9000, "short one")])
     done = pipelines.postprocess(c, PostprocessConfig(fix_gaps=True, speed_optimize=True, tail_compensation=True))
     q = {r["measure"]: (r["before"], r["after"]) for r in writers.quality_report(done.metrics_before, done.metrics_after, done.changes, done.issues).collect()}
@@ -265,7 +269,7 @@ def test_targets_of_a_segment_equal_those_of_the_tables(spark, tiny):
     from cuelake.policy import SpeedPolicy
 
     policy = SpeedPolicy()
-    c = read_cue_view(spark, tiny).unionByName(cues(spark, [(0, 0, "no time", ""), (0, 900, "a b c", ""), (900, 1500, "twin twin", ""), (1500, 2100, "twin twin", ""), (2100, 2700, "twin twin", ""), (9000, 9100, "far too much for so short a time", "")]).withColumn("media_id", F.lit(-1).cast("long")))
+    c = read_cue_view(spark, tiny).unionByName(cues(spark, [(0, 0, "no time"), (0, 900, "a b c"), (900, 1500, "twin twin"), (1500, 2100, "twin twin"), (2100, 2700, "twin twin"), (9000, 9100, "far too much for so short a time")]).withColumn("media_id", F.lit(-1).cast("long")))
     want = {(r["media_id"], r["cue_idx"]): r["target_load"] for r in metrics.local_targets(c).collect()}
     m = windows.with_protection(windows.with_rhythm(c, policy.rhythm.pause_ms), policy).withColumn("l", reading_load("text", F.lit(None).cast("long"), policy))
     rows = m.select("media_id", "cue_idx", "start_ms", "end_ms", "rhythm_id", F.col("protected_by").isNotNull().alias("shielded"), "l.hard_s", "l.comfort_s").orderBy("media_id", "start_ms", "cue_idx").toPandas()
@@ -307,3 +311,61 @@ def test_likeness_equals_plain_blocks():
         assert ratio(a, b) == SequenceMatcher(None, a, b).ratio() <= bound(a, b) + 1e-12
         plain = SequenceMatcher(None, a, b, autojunk=False)
         assert ratio(a, b, frequent=False) == plain.ratio() and matching_letters(Spots(a), b, False) == sum(m.size for m in plain.get_matching_blocks())
+
+
+def test_archives_give_back_what_was_written_and_name_what_was_changed(spark):
+    schema = "media_id long, window_no int, grade string, coverage double, monotonic boolean, anchors array<struct<cue_idx:int,text:string,start_ms:bigint>>"
+    window = schema.split(", ", 1)[1]
+    rows = [(1, 0, "HIGH", 0.1 + 0.2, True, [(3, 'quote " and \\ and \n', 2**40)]), (1, 1, None, None, None, None), (1, 2, "LOW", 1e-7, False, []), (2, 0, "é😀", 1.0, True, [(1, None, 5)])]
+    e = spark.createDataFrame(rows, schema)
+    c = spark.createDataFrame([(m, i, i * 10, i * 10 + 5, f"t{i}", None) for m in (1, 2) for i in range(3)], CUES)
+    prints = writers.subtitle_fingerprints(c).withColumn("media_fingerprint", F.lit("sound"))
+    assert prints.count() == 2 and prints.select("subtitle_fingerprint").distinct().count() == 1  # alike but for the item
+    files = writers.timing_archive(e, prints).select(F.concat(F.lit("p"), F.col("media_id").cast("string")).alias("path"), "content")
+    good, bad = readers.timing_archive(files, prints, window)
+    assert sorted(map(str, good.collect())) == sorted(map(str, e.collect())) and bad.count() == 0
+    swap = lambda a, b: files.withColumn("content", F.replace("content", F.lit(a), F.lit(b)))
+
+    def reasons(files, want=prints):
+        good, bad = readers.timing_archive(files, want, window)
+        return sorted((r["path"], r["window_no"], r["reason"]) for r in bad.collect()), good.count()
+
+    assert reasons(swap('"grade":"HIGH"', '"grade":"LOWW"')) == ([("p1", 0, "window_fingerprint")], 3)
+    assert reasons(swap('"media_fingerprint":"sound"', '"media_fingerprint":"other"')) == ([("p1", None, "media_fingerprint"), ("p2", None, "media_fingerprint")], 0)
+    assert reasons(swap('"schema_version":1', '"schema_version":2')) == ([("p1", None, "unsupported_version"), ("p2", None, "unsupported_version")], 0)
+    assert reasons(swap('"windows":[', '"wind":[')) == ([("p1", None, "no_windows"), ("p2", None, "no_windows")], 0)
+    assert reasons(swap("{", "<")) == ([("p1", None, "not_json"), ("p2", None, "not_json")], 0)
+    changed = writers.subtitle_fingerprints(c.withColumn("text", F.when(F.col("media_id") == 2, "new").otherwise(F.col("text")))).withColumn("media_fingerprint", F.lit(None).cast("string"))
+    assert reasons(files, changed) == ([("p2", None, "subtitle_fingerprint")], 3)
+    assert reasons(files, prints.where("media_id = 1")) == ([("p2", None, "unknown_media")], 3)
+
+
+def test_a_rewrite_may_hold_a_line_break(spark):
+    rows = [(0, 300, "A very long line that nobody could read in so short a time"), (300, 1300, "next"), (1300, 2300, "and on")]
+    c = cues(spark, rows)
+    candidates = spark.createDataFrame([(1, 1, 1, i, t) for i, t in enumerate(["A very long line\nthat nobody could read in time", "next", "and on"])], "media_id long, window_no int, attempt int, cue_idx int, text string")
+    got = pipelines.repairs_of(c, candidates, SpeedPolicy()).collect()
+    assert [(r["cue_ids"], r["texts"]) for r in got] == [([0, 1, 2], ["A very long line\nthat nobody could read in time", "next", "and on"])]
+
+
+def test_lines_are_paired_by_what_stands_once(spark):
+    from cuelake.functions.matching import paired_lines, same_lines
+
+    assert same_lines(list("abcd"), list("acd")) == [(0, 0), (2, 1), (3, 2)] and paired_lines(list("abcd"), list("acd")) == ["a", "a", "c", "d"]
+    assert paired_lines(["a", "x", "y", "b"], ["a", "1", "2", "3", "b"]) == ["a", "1", "2", "b"] and paired_lines(["x"], []) == [None] and paired_lines([], ["x"]) == []
+    assert same_lines(["r", "r", "s", "r"], ["s", "r", "r"]) == [(2, 0), (3, 2)]  # ends first
+    rng = random.Random(2)
+    for _ in range(300):
+        x = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))]
+        y = [t for t in x if rng.random() < 0.8]
+        for _ in range(rng.randint(0, 4)):
+            y.insert(rng.randint(0, len(y)), rng.choice("abcxyz"))
+        pairs = same_lines(x, y)
+        assert all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+        blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+        assert len(pairs) >= 0.6 * sum(b.size for b in blocks)
+    t0 = time.time()
+    x = [f"line {i}" if i % 3 else "repeated" for i in range(100_000)]
+    y = [t for i, t in enumerate(x) if i % 17]
+    pairs = same_lines(x, y)
+    assert len(pairs) >= len(y) - 6000 and time.time() - t0 < 20
