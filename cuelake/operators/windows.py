@@ -179,11 +179,29 @@ def chunk_spans(media: DataFrame, length_ms: int = 600_000, overlap_ms: int = 10
     return s.select("media_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), (F.col("chunk_idx") * step).alias("start_ms"), F.least("total_ms", F.col("chunk_idx") * step + length_ms).alias("end_ms"))
 
 
+#: Milliseconds of a cell of the time axis, by which ranges find each other.
+CELL_MS = 60_000
+
+
+def ranges_that_meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left(media_id, start_ms, end_ms, ..)`` with each range ``a`` to ``b`` of ``right(media_id, start_ms, end_ms)`` that overlaps theirs.
+
+    Both sides are laid out over cells of the time axis and join by media item and cell; a pair counts in the first cell that
+    both reach. So a long media item is many small keys, and ranges meet only those of their minutes.
+    """
+    cell = lambda at: F.floor(at / CELL_MS)
+    cells = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo)), cell(F.greatest(F.col(hi) - 1, F.col(lo)))))
+    r = right.select(F.col("media_id").alias("m__"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b")).withColumn("c__", cells("a", "b"))
+    x = left.withColumn("cell__", cells("start_ms", "end_ms"))
+    j = x.join(r, (F.col("media_id") == F.col("m__")) & (F.col("cell__") == F.col("c__")))
+    j = j.where((F.col("a") < F.col("end_ms")) & (F.col("b") > F.col("start_ms")) & (F.col("cell__") == F.greatest(cell(F.col("start_ms")), cell(F.col("a")))))
+    return j.drop("m__", "c__", "cell__")
+
+
 def silence_boundary(searches: DataFrame, silences: DataFrame, min_silence_ms: int = 300) -> DataFrame:
     """Best cut for ``searches(media_id, search_id, start_ms, end_ms, target_ms)``: the middle of the overlap with a long enough silence, nearest the target, longest among equals."""
-    s = silences.select(F.col("media_id").alias("m"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
     lo, hi = F.greatest("start_ms", "a"), F.least("end_ms", "b")
-    j = searches.join(s, (F.col("media_id") == F.col("m")) & (F.col("a") < F.col("end_ms")) & (F.col("b") > F.col("start_ms")))
+    j = ranges_that_meet(searches, silences)
     j = j.withColumn("boundary_ms", F.floor((lo + hi) / 2).cast("long")).withColumn("len", hi - lo).where(F.col("len") >= min_silence_ms)
     best = F.min_by("boundary_ms", F.struct(F.abs(F.col("boundary_ms") - F.col("target_ms")), -F.col("len"), "boundary_ms"))
     return j.groupBy("media_id", "search_id").agg(best.alias("boundary_ms"))
@@ -191,10 +209,10 @@ def silence_boundary(searches: DataFrame, silences: DataFrame, min_silence_ms: i
 
 def quiet_spans(spans: DataFrame, speech: DataFrame) -> DataFrame:
     """``spans`` with ``speech_ms`` inside and whether it is too little: under 250 ms, and under 0.5% of the span if that is more."""
-    r = merge_ranges(speech).select(F.col("media_id").alias("m"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-    j = spans.join(r, (F.col("media_id") == F.col("m")) & (F.col("a") < F.col("end_ms")) & (F.col("b") > F.col("start_ms")), "left")
-    inside = F.coalesce(F.sum(F.least("end_ms", "b") - F.greatest("start_ms", "a")), F.lit(0).cast("long"))
-    out = j.groupBy("media_id", "chunk_idx", "start_ms", "end_ms").agg(inside.alias("speech_ms"))
+    span = ["media_id", "chunk_idx", "start_ms", "end_ms"]
+    each = spans.select(*span).distinct()
+    inside = ranges_that_meet(each, merge_ranges(speech)).groupBy(*span).agg(F.sum(F.least("end_ms", "b") - F.greatest("start_ms", "a")).alias("inside__"))
+    out = each.join(inside, span, "left").select(*span, F.coalesce("inside__", F.lit(0).cast("long")).alias("speech_ms"))
     return out.withColumn("quiet", F.col("speech_ms") < F.greatest(F.lit(250.0), (F.col("end_ms") - F.col("start_ms")) * 0.005))
 
 
@@ -224,7 +242,8 @@ def partition_points(cues: DataFrame, words_per_part: int = 500, reach: int = 30
     parts = F.ceil(F.col("words") / words_per_part)
     points = totals.where(parts > 1).select("media_id", "n", parts.alias("parts"), F.explode(F.sequence(F.lit(1).cast("long"), parts - 1)).alias("part_no"))
     points = points.withColumn("nominal", F.floor(F.col("part_no") * F.col("n") / F.col("parts")))
-    j = points.join(c, "media_id").where((F.col("row") >= F.col("nominal") - reach) & (F.col("row") < F.col("nominal") + reach) & F.col("gap").isNotNull())
+    points = points.withColumn("row", F.explode(F.sequence(F.col("nominal") - reach, F.col("nominal") + reach - 1)))
+    j = points.join(c.select("media_id", F.col("row").cast("long").alias("row"), "gap"), ["media_id", "row"]).where(F.col("gap").isNotNull())
     return j.groupBy("media_id", "part_no").agg(F.max_by("row", F.struct("gap", -F.col("row"))).alias("cut_after"))
 
 
@@ -238,5 +257,7 @@ def safe_boundaries(cues: DataFrame, most_ms: int = 250) -> DataFrame:
 def infer_offsets(chunks: DataFrame, overlap_ms: int = 10_000) -> DataFrame:
     """Offsets of ``chunks(media_id, chunk_idx, length_ms)``: each starts where the one before ends, less the overlap."""
     w = Window.partitionBy("media_id").orderBy("chunk_idx")
-    one = F.collect_list(F.struct("chunk_idx", "length_ms")).over(w.rowsBetween(*_HEAD))
-    return chunks.withColumn("offset_ms", F.aggregate(one, F.lit(0).cast("long"), lambda at, c: F.greatest(F.lit(0).cast("long"), at + c["length_ms"] - overlap_ms)))
+    # Offsets are sums of steps that never fall under 0: the sum so far, less the least sum up to here where that is negative.
+    upto = F.coalesce(F.sum(F.col("length_ms") - overlap_ms).over(w.rowsBetween(*_HEAD)), F.lit(0).cast("long"))
+    c = chunks.withColumn("sum__", upto)
+    return c.withColumn("offset_ms", F.col("sum__") - F.least(F.lit(0).cast("long"), F.min("sum__").over(w.rowsBetween(*_UPTO)))).drop("sum__")

@@ -369,3 +369,24 @@ def test_lines_are_paired_by_what_stands_once(spark):
     y = [t for i, t in enumerate(x) if i % 17]
     pairs = same_lines(x, y)
     assert len(pairs) >= len(y) - 6000 and time.time() - t0 < 20
+
+
+def test_ranges_meet_as_in_all_pairs(spark):
+    rng = random.Random(9)
+    draw = lambda n, most: [(rng.randint(1, 2), k, a, a + rng.randint(0, most)) for k, a in ((k, rng.randint(-100_000, 500_000)) for k in range(n))]
+    left, right = draw(80, 200_000) + [(3, 80, 0, 1), (1, 81, None, 5)], draw(80, 90_000) + [(1, 80, 60_000, 60_000), (2, 81, None, None)]
+    schema = "media_id long, search_id int, start_ms long, end_ms long"
+    got = windows.ranges_that_meet(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
+    want = [(*x, a, b) for x in left for m, _, a, b in right if m == x[0] and None not in (*x, a, b) and a < x[3] and b > x[2]]
+    assert len(want) > 500 and sorted(map(tuple, got.select("media_id", "search_id", "start_ms", "end_ms", "a", "b").collect())) == sorted(want)
+
+
+def test_offsets_never_fall_under_zero(spark):
+    rng = random.Random(10)
+    lengths = [rng.choice([2000, 9000, 30_000, 60_000]) for _ in range(40)]
+    want, at = [], 0
+    for n in lengths:
+        want.append(at)
+        at = max(0, at + n - 10_000)
+    c = spark.createDataFrame([(1, i, n) for i, n in enumerate(lengths)], "media_id long, chunk_idx int, length_ms long")
+    assert [r["offset_ms"] for r in windows.infer_offsets(c).orderBy("chunk_idx").collect()] == want
