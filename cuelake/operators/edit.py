@@ -300,17 +300,21 @@ def translation_batches(cues: DataFrame, size: int = 10, budget: int = 2000, fix
     return per_media(_json_costs(cues), f, _PLAN)
 
 
-def pack_summaries(summaries: DataFrame, budget: int = 2000) -> DataFrame:
-    """``(media_id, pos, pack)``: summaries in order, packed up to a token budget; pairs at least."""
+def pack_summaries(summaries: DataFrame, room: int = 2000) -> DataFrame:
+    """``(media_id, pos, pack)``: summaries in order, packed while their tokens fit ``room``; pairs where no two would be packed, so that packing again comes to an end.
+
+    A summary over ``room`` makes a pack of its own.
+    """
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
-        pack, used, count, out = 0, 0, 0, []
+        pack, used, out = 0, 0, []
         for t in g["tokens"]:
-            if count >= 2 and used + t > budget:
-                pack, used, count = pack + 1, 0, 0
-            used, count = used + t, count + 1
+            if used and used + t > room:
+                pack, used = pack + 1, 0
+            used += t
             out.append(pack)
-        return pd.DataFrame({"media_id": g["media_id"], "pos": g["cue_idx"], "pack": out})
+        alone = len(out) == pack + 1
+        return pd.DataFrame({"media_id": g["media_id"], "pos": g["cue_idx"], "pack": np.arange(len(out)) // 2 if alone else out})
 
     s = summaries.select("media_id", F.col("pos").cast("int").alias("cue_idx"), F.col("pos").cast("long").alias("start_ms"), estimate_tokens("text").alias("tokens"))
     return per_media(s, f, "media_id long, pos int, pack int")
@@ -344,39 +348,73 @@ def silence_spans(media: DataFrame, silences: DataFrame, length_ms: int = 600_00
     return spread(m, "m_id").groupBy("m_id").cogroup(spread(s, "s_id").groupBy("s_id")).applyInPandas(f, "media_id long, chunk_idx int, start_ms long, end_ms long")
 
 
-#: Quotes by kind, and what opening and closing ones become.
-_QUOTES = {"“": ("d", True), "”": ("d", False), "「": ("d", True), "」": ("d", False), "‘": ("s", True), "’": ("s", False), "『": ("s", True), "』": ("s", False), '"': ("d", None), "'": ("s", None)}
-_FORMS = {"d": ("「", "」"), "s": ("『", "』")}
+#: Opening, closing and straight quotes of each kind, and what opening and closing ones become.
+_QUOTES = (("“「", "”」", '"', "「」"), ("‘『", "’』", "'", "『』"))
+#: A straight single quote that is no apostrophe within an ASCII word.
+_SINGLE = r"(?<![A-Za-z])'|'(?![A-Za-z])"
 
 
-def normalize_quotes(cues: DataFrame) -> DataFrame:
-    """Quotes of both sides as corner brackets; straight ones open and close in turn, across cues. Apostrophes within ASCII words stay."""
-
-    def side(texts: list[str]) -> list[str]:
-        opens = {"d": True, "s": True}
-        out = []
-        for t in texts:
-            line = []
-            for i, c in enumerate(t or ""):
-                kind, opening = _QUOTES.get(c, (None, None))
-                if kind is None:
-                    line.append(c)
-                    continue
-                around = t[i - 1 : i] + t[i + 1 : i + 2]
-                if c == "'" and i > 0 and len(around) == 2 and around.isascii() and around.isalpha():
-                    line.append(c)
-                    continue
-                opening = opens[kind] if opening is None else opening
-                line.append(_FORMS[kind][0 if opening else 1])
-                opens[kind] = not opening
-            out.append("".join(line))
-        return out
+def _marks(text: Column, opening: str, closing: str, straight: str) -> Column:
+    """The quotes of one kind in a text, in order, apostrophes left out; single straight ones as the double one, so that patterns are alike."""
+    plain = text if straight == '"' else F.regexp_replace(F.regexp_replace(text, '"', ""), _SINGLE, '"')
+    return F.regexp_replace(plain, f'[^{opening}{closing}"]', "")
 
-    def f(g: pd.DataFrame) -> pd.DataFrame:
-        return g.assign(text=side(g["text"].tolist()), translated_text=side(g["translated_text"].tolist()))
 
-    c = cues.select("media_id", "cue_idx", "start_ms", "end_ms", "text", "translated_text")
-    return per_media(c, f, "media_id long, cue_idx int, start_ms long, end_ms long, text string, translated_text string")
+def _open_before(marks: Column, opening: str) -> tuple[Column, Column, Column, Column]:
+    """Columns to add in turn (``given__``, ``total__``, ``reset__``) and the state that they give: whether a straight quote would open at a cue's start.
+
+    A cue with a directional quote leaves a state whatever came before; others turn it over once for each straight quote. So
+    the state is the last one set, turned over by the parity of the straight quotes since: a running sum.
+    """
+    last, since = F.regexp_extract(marks, r'([^"]?)("*)$', 1), F.length(F.regexp_extract(marks, r'([^"]?)("*)$', 2))
+    earlier = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    total = F.coalesce(F.sum(since).over(earlier), F.lit(0))
+    through = F.sum(since).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    # What was set last, and the count of straight quotes before those that follow it in its own cue.
+    given = F.when(last != "", F.struct((~F.lit(opening).contains(last)).alias("opens"), (through - since).alias("upto")))
+    reset = F.last("given__", ignorenulls=True).over(earlier)
+    opens = F.coalesce(F.col("reset__.opens"), F.lit(True))
+    return given, total, reset, opens == ((F.col("total__") - F.coalesce(F.col("reset__.upto"), F.lit(0))) % 2 == 0)
+
+
+def _turned(text: Column, opens: Column, opening: str, closing: str, straight: str, forms: str) -> Column:
+    """A text with its quotes of one kind as ``forms``, from the state at its start.
+
+    Between directional quotes straight ones open and close in turn. So the text is cut before each directional quote, and in
+    a piece pairs are replaced, after a first one that closes where the piece opens with an opening quote.
+    """
+    up, down = forms
+    t = F.translate(text, opening + closing, up * len(opening) + down * len(closing))
+    # All directional single quotes are corner brackets now, so a curly one is free to stand for the straight ones.
+    mark = '"' if straight == '"' else "‘"
+    t = t if straight == '"' else F.regexp_replace(t, _SINGLE, mark)
+    pieces = F.regexp_extract_all(F.concat(F.when(opens, down).otherwise(up), t), F.lit(f"[{up}{down}][^{up}{down}]*"), F.lit(0))
+
+    def in_turn(piece: Column) -> Column:
+        first = F.when(piece.startswith(up), F.regexp_replace(piece, f"^([^{mark}]*){mark}", f"$1{down}")).otherwise(piece)
+        pairs = F.regexp_replace(first, f"{mark}([^{mark}]*){mark}", f"{up}$1{down}")
+        return F.replace(pairs, F.lit(mark), F.lit(up))
+
+    whole = F.substring(F.array_join(F.transform(pieces, in_turn), ""), 2, 2**31 - 1)
+    return F.when(text.rlike(f"[{opening}{closing}{straight}]"), whole).otherwise(text)
+
+
+def normalize_quotes(cues: DataFrame) -> DataFrame:
+    """Quotes of both sides as corner brackets; straight ones open and close in turn, across cues. Apostrophes within ASCII words stay; null counts as empty.
+
+    Each side and kind of quote has its own state, which windows carry through a media item in the order of its cues.
+    """
+    c = cues.select("media_id", "cue_idx", "start_ms", "end_ms", *[F.coalesce(s, F.lit("")).alias(s) for s in ("text", "translated_text")])
+    kept = c.columns
+    for side in ("text", "translated_text"):
+        for k, (opening, closing, straight, forms) in enumerate(_QUOTES):
+            c = c.withColumn(f"marks{k}__", _marks(F.col(side), opening, closing, straight))
+        for k, (opening, closing, straight, forms) in enumerate(_QUOTES):
+            given, total, reset, opens = _open_before(F.col(f"marks{k}__"), opening)
+            c = c.withColumn("given__", given).withColumn("total__", total).withColumn("reset__", reset).withColumn(f"opens{k}__", opens)
+        for k, quote in enumerate(_QUOTES):
+            c = c.withColumn(side, _turned(F.col(side), F.col(f"opens{k}__"), *quote))
+    return c.select(*kept)
 
 
 class _Timing:
