@@ -45,11 +45,20 @@ def evidence_of_cues(cues: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def anchor_owner(anchors: DataFrame, cue_spans: DataFrame) -> DataFrame:
-    """Anchors ``(window_id, anchor_no, from_char, to_char)`` with the cue of ``cue_spans(window_id, cue_id, ord, a, b)`` that holds their middle, else the last one."""
-    middle = (F.col("from_char") + F.col("to_char")) / 2
+    """Anchors ``(window_id, anchor_no, from_char, to_char)`` with the cue of ``cue_spans(window_id, cue_id, ord, a, b)`` that holds their middle, else the window's last one.
+
+    The spans of a window don't overlap, as they are stretches of one text; empty ones hold nothing. Spans and anchors of a
+    window are put in one order, in which an anchor looks back to the span that began last: a shuffle, and no pairs. Anchors
+    of windows without cues have none.
+    """
+    none = F.lit(None)
+    s = cue_spans.where(F.col("b") > F.col("a")).select("window_id", F.col("a").cast("double").alias("at__"), F.lit(0).alias("kind__"), F.struct("cue_id", "b").alias("span__"), none.cast("long").alias("anchor_no"))
+    a = anchors.select("window_id", ((F.col("from_char") + F.col("to_char")) / 2).alias("at__"), F.lit(1).alias("kind__"), none.cast(s.schema["span__"].dataType).alias("span__"), F.col("anchor_no").cast("long").alias("anchor_no"))
+    w = Window.partitionBy("window_id").orderBy("at__", "kind__")
+    held = s.unionByName(a.distinct()).withColumn("span__", F.last("span__", ignorenulls=True).over(w)).where(F.col("kind__") == 1)
+    held = held.select("window_id", "anchor_no", F.when(F.col("at__") < F.col("span__.b"), F.col("span__.cue_id")).alias("held_by")).groupBy("window_id", "anchor_no").agg(F.min("held_by").alias("held_by"))
     last = cue_spans.groupBy("window_id").agg(F.max_by("cue_id", "ord").alias("last_id"))
-    inside = anchors.join(cue_spans, "window_id").where((middle >= F.col("a")) & (middle < F.col("b"))).groupBy("window_id", "anchor_no").agg(F.min_by("cue_id", "ord").alias("held_by"))
-    return anchors.join(inside, ["window_id", "anchor_no"], "left").join(last, "window_id", "left").withColumn("cue_id", F.coalesce("held_by", "last_id")).drop("held_by", "last_id")
+    return anchors.join(held, ["window_id", "anchor_no"], "left").join(last, "window_id", "left").withColumn("cue_id", F.coalesce("held_by", "last_id")).drop("held_by", "last_id")
 
 
 def glossary_forms(glossary: DataFrame) -> DataFrame:
@@ -218,11 +227,30 @@ def reuse_evidence(work: DataFrame, sidecar: DataFrame, cache: DataFrame) -> tup
     return found.where(F.col("bundle").isNotNull()), found.where(F.col("bundle").isNull()).drop("bundle", "origin")
 
 
+#: How providers check voices, and the form of a voice name that stands for itself.
+VOICE_RULES = {"gemini": "listed", "siliconflow": "qualified", "edge": "neural"}
+_NEURAL = r"^[^-]*-[^-]*-.*Neural$"
+
+
 def resolve_voices(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``wanted(provider, voice)`` with the voice that ``aliases(provider, alias, voice_id)`` gives it, and whether it is known."""
-    a = aliases.select("provider", F.lower("alias").alias("k"), "voice_id")
-    w = wanted.withColumn("k", F.lower(F.trim("voice")))
-    return w.join(a, ["provider", "k"], "left").withColumn("known", F.col("voice_id").isNotNull()).withColumn("voice_id", F.coalesce("voice_id", "voice")).drop("k")
+    """``wanted(provider, model, voice)`` with the ``voice_id`` to ask for and a ``problem``, null where the provider will take it.
+
+    ``aliases(provider, alias, voice_id)`` count in any case; of one that is repeated the smallest id holds. ``listed``
+    providers know only the voices there; ``qualified`` ones take ``model:voice``, which a bare name becomes; ``neural`` ones
+    also take full names such as ``de-DE-AbcNeural``; others take anything. Blank and null voices stay as they are and are no problem.
+    """
+    a = aliases.groupBy("provider", F.lower("alias").alias("k__")).agg(F.min("voice_id").alias("known__"))
+    v = F.coalesce("voice", F.lit(""))
+    j = wanted.withColumn("k__", F.lower("voice")).join(a, ["provider", "k__"], "left")
+    rule = F.create_map(*[F.lit(x) for pair in VOICE_RULES.items() for x in pair])
+    j = j.withColumn("rule__", F.try_element_at(rule, F.col("provider")))
+    bare = (F.col("rule__") == "qualified") & ~v.contains(":") & ~v.contains("/") & (v != "")
+    j = j.withColumn("voice_id", F.coalesce(F.when(v != "", F.col("known__")), F.when(bare, F.concat_ws(":", F.coalesce("model", F.lit("")), "voice")), F.col("voice")))
+    problem = (
+        F.when(v == "", F.lit(None)).when(F.col("known__").isNotNull(), F.lit(None)).when(F.col("rule__") == "listed", "unknown_voice")
+        .when((F.col("rule__") == "qualified") & ~F.col("voice_id").contains(":"), "no_voice_id").when((F.col("rule__") == "neural") & ~F.col("voice_id").rlike(_NEURAL), "no_voice_id")
+    )
+    return j.withColumn("problem", problem.cast("string")).drop("k__", "known__", "rule__")
 
 
 def attach_short_lines(utterances: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame]:

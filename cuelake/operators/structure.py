@@ -59,6 +59,26 @@ def word_evidence(plans: DataFrame, cues: DataFrame, words: DataFrame) -> DataFr
     return p.join(w, ["media_id", "window_no"], "left").mapInPandas(f, _EVIDENCE)
 
 
+def with_fallback(evidence: DataFrame, plans: DataFrame, cues: DataFrame) -> DataFrame:
+    """A row for every window of ``plans``: graded evidence where words were found, else LOW evidence whose anchors are the cues themselves.
+
+    ``evidence`` as ``word_evidence`` gives it, or part of it. Adds ``provenance`` (alignment, subtitle_input) and
+    ``failure`` (no_words, unaligned; null where words were found). Fallback anchors let no structure change, as LOW evidence
+    never does, but say where a cue's speech lies at most; their coverage is 1. A window without cues has no anchors.
+    """
+    e = evidence.select("media_id", "window_no", F.struct(*[c for c in evidence.columns if c not in ("media_id", "window_no")]).alias("e"))
+    c = cues_of_windows(plans, cues).select("media_id", "window_no", "cue_idx").join(cues.select("media_id", "cue_idx", "start_ms", "end_ms", "text"), ["media_id", "cue_idx"])
+    own = c.groupBy("media_id", "window_no").agg(F.array_sort(F.collect_list(F.struct("start_ms", "cue_idx", "end_ms", "text"))).alias("own"))
+    j = plans.select("media_id", "window_no").join(e, ["media_id", "window_no"], "left").join(own, ["media_id", "window_no"], "left")
+    found = F.coalesce(F.size("e.anchors") > 0, F.lit(False))
+    anchors = F.transform(F.coalesce("own", F.array().cast("array<struct<start_ms:bigint,cue_idx:int,end_ms:bigint,text:string>>")), lambda x: F.struct(x["cue_idx"].alias("cue_idx"), x["text"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms")))
+    pick = lambda name, other: F.when(found, F.col(f"e.{name}")).otherwise(other).alias(name)
+    return j.select(
+        "media_id", "window_no", pick("grade", F.lit("LOW")), pick("coverage", F.lit(1.0)), pick("monotonic", F.lit(True)), pick("out_of_bounds", F.lit(0.0)), pick("span_ratio", F.lit(1.0)), pick("anchors", anchors),
+        F.when(found, "alignment").otherwise("subtitle_input").alias("provenance"), F.when(found, F.lit(None)).when(F.col("e").isNull(), "no_words").otherwise("unaligned").alias("failure"),
+    )
+
+
 def _evidence(r) -> tuple:
     ends = np.cumsum([len(c["plain"]) for c in r.cues])
     whole = "".join(c["plain"] for c in r.cues)

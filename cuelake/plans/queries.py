@@ -613,6 +613,9 @@ def _matched_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.sentences_to_cues(_word_cues(read_cue_view(spark, sf_dir)), pieces)
 
 
+from . import stored_queries  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

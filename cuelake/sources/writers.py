@@ -77,6 +77,18 @@ def save(cues: DataFrame, folder: str, form: str, layout: str = "original_on_top
     content.repartition("media_id").write.partitionBy("media_id").mode("overwrite").option("lineSep", "\n").text(folder)
 
 
+#: What earlier stages put before a file's name.
+STAGE_PREFIX = "^(?:【转录字幕】|【初版字幕】|【后处理字幕】|【字幕】|【样式字幕】)+"
+
+
+def stage_path(path: Column | str, stage: str) -> Column:
+    """Where a stage writes what it made of a file: beside it, as SRT, under the stage's name in place of those of earlier stages."""
+    p = F.col(path) if isinstance(path, str) else path
+    name = F.regexp_replace(F.substring_index(p, "/", -1), r"(?<=.)\.[^./]*$", "")
+    folder = F.regexp_replace(p, r"[^/]*$", "")
+    return F.concat(folder, F.lit(f"【{stage}】"), F.regexp_replace(name, STAGE_PREFIX, ""), F.lit(".srt"))
+
+
 def checkpoint_stage(cues: DataFrame, folder: str, stage: str) -> DataFrame:
     """Write the cues of a stage under its name, replacing an earlier run, and read them back; Spark's commit makes it whole or absent."""
     path = f"{folder}/stage={stage}"
