@@ -27,7 +27,7 @@ def _add(name: str, sql: str | None = None, cues: bool = True) -> Callable[[Call
     def register(f: Callable) -> Callable:
         _queries[name] = (lambda spark, sf_dir: f(read_cue_view(spark, sf_dir))) if cues else f
         if sql is not None:
-            _sql[name] = f"{CUES_SQL}{sql}" if cues else sql
+            _sql[name] = f"{CUES_SQL}{sql}".replace("WITH raw", "WITH RECURSIVE raw", 1) if cues else sql
         return f
 
     return register

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import meaning_kept
 from ..functions.text import graphemes, strip
+from ..operators.edit import spread
+from ..storage import keep
 
 #: Fixed value: a first answer and two more after feedback.
 ATTEMPTS = 3
@@ -53,9 +55,11 @@ def judge(targets: DataFrame, answers: DataFrame, decisions: DataFrame | None =
         )
     )
     j = j.withColumn("why", F.when(F.col("before").isNull() | F.col("after").isNull(), F.slice(why, 1, 1)).otherwise(why))
-    j = j.withColumn("m", meaning_kept("before", "after"))
-    formed = F.size("why") == 0
-    rank = F.when(~formed, 4).when(F.col("m.verdict") == "rolled_back", 3).when(F.col("m.verdict") == "unresolved", 2).when(F.col("m.verdict") == "review", 1).otherwise(0)
+    # Only answers of the right form are read for their meaning, which is the dear part.
+    formed = F.max(F.size("why")).over(Window.partitionBy("window_id", "attempt")) == 0
+    j = spread(j.withColumn("formed", formed), "window_id", "attempt", "cue_id")
+    j = j.withColumn("m", meaning_kept(F.when(F.col("formed"), F.col("before")), F.when(F.col("formed"), F.col("after"))))
+    rank = F.when(~F.col("formed"), 4).when(F.col("m.verdict") == "rolled_back", 3).when(F.col("m.verdict") == "unresolved", 2).when(F.col("m.verdict") == "review", 1).otherwise(0)
     told = lambda reasons: F.transform(reasons, lambda r: F.concat_ws(": ", F.col("cue_id").cast("string"), r))
     g = j.groupBy("window_id", "attempt").agg(F.max(rank).alias("rank"), F.array_sort(F.flatten(F.collect_list(told(F.col("why"))))).alias("form"), F.array_sort(F.flatten(F.collect_list(told(F.col("m.reasons"))))).alias("meaning"))
     verdict = F.when(F.col("rank").isin(2, 4), "unresolved").when(F.col("rank") == 3, "rolled_back").when(F.col("rank") == 1, "review").otherwise("accepted")
@@ -74,9 +78,9 @@ def settle(targets: DataFrame, answers: DataFrame, decisions: DataFrame | None =
     Attempts count in their order up to the first that is accepted or waits for a review; later ones are not looked at.
     ``accepted(window_id, attempt, cue_id, text)``; ``reviews(window_id, attempt, feedback)``; ``requests(window_id, attempt,
     feedback)``: the next attempt and all feedback so far, oldest first, of windows with attempts left, those without any answer
-    included; ``given_up(window_id, attempts, verdict, feedback)``: those without. ``history`` is what ``judge`` gives.
+    included; ``given_up(window_id, attempts, verdict, feedback)``: those without. ``history`` is what ``judge`` gives, written once for all four.
     """
-    judged = judge(targets, answers.where(F.col("attempt").between(1, attempts)), decisions)
+    judged = keep(judge(targets, answers.where(F.col("attempt").between(1, attempts)), decisions), "rewrites-judged")
     w = Window.partitionBy("window_id").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
     ended = F.col("verdict").isin("accepted", "review")
     used = judged.withColumn("over", F.coalesce(F.bool_or(ended).over(w), F.lit(False))).where(~F.col("over")).drop("over")

@@ -50,9 +50,9 @@ def _batched(c: DataFrame) -> DataFrame:
 
 
 def _translation_answers(c: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Answers for batches of ten cues, in upper case: of seven one is broken, one lacks its last cue, one gives one twice, one a blank text, one an id as text."""
+    """Answers for batches of ten cues, with a mark at their ends: of seven one is broken, one lacks its last cue, one gives one twice, one a blank text, one an id as text."""
     b = _batched(c)
-    item = F.to_json(F.struct(F.col("cue_idx").alias("id"), F.upper("text").alias("text")))
+    item = F.to_json(F.struct(F.col("cue_idx").alias("id"), F.concat("text", F.lit(" !")).alias("text")))
     g = b.groupBy("batch_id", "odd").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "cue_idx", item.alias("j")))), lambda x: x["j"]).alias("items"), F.max(F.struct("start_ms", "cue_idx")).alias("end"))
     last = F.size("items")
     items = (
@@ -65,7 +65,7 @@ def _translation_answers(c: DataFrame) -> tuple[DataFrame, DataFrame]:
     return answers.translations(g.select("batch_id", text.alias("response")), b.select("batch_id", F.col("cue_idx").alias("id")))
 
 
-_add("answered_cues", f"{_BATCHED} SELECT batch_id, cue_idx::BIGINT AS id, trim(upper(text), chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM bk WHERE odd IN (0, 6)")(lambda c: _translation_answers(c)[0])
+_add("answered_cues", f"{_BATCHED} SELECT batch_id, cue_idx::BIGINT AS id, ltrim(text || ' !', chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM bk WHERE odd IN (0, 6)")(lambda c: _translation_answers(c)[0])
 _add("rejected_answers", f"{_BATCHED} SELECT DISTINCT batch_id, CASE odd WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'missing_id' WHEN 3 THEN 'repeated_id' WHEN 4 THEN 'blank_text' ELSE 'bad_item' END AS reason FROM bk WHERE odd BETWEEN 1 AND 5")(
     lambda c: _translation_answers(c)[1]
 )
@@ -77,7 +77,7 @@ def _rewrite_rounds(c: DataFrame) -> rewrites.Round:
     first = F.col("cue_idx") == F.min("cue_idx").over(windows.Window.partitionBy("window_id"))
     a = b.withColumn("first", first).withColumn("attempt", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
     odd, good = F.col("odd"), F.col("odd") < F.col("attempt") + 1
-    text = F.when(~good & (odd == 6), F.col("text")).otherwise(F.concat(T.strip("text"), F.lit(" ok")))
+    text = F.when(~good & ~odd.isin(4, 5), F.col("text")).otherwise(F.concat(T.strip("text"), F.lit(" ok")))
     given = a.where(good | (odd != 4) | ~F.col("first")).select("window_id", "attempt", "cue_id", text.alias("text"))
     extra = a.where(~good & (odd == 5) & F.col("first")).select("window_id", "attempt", F.lit("x").alias("cue_id"), F.lit("y").alias("text"))
     return rewrites.settle(b.select("window_id", "cue_id", F.col("text").alias("before"), F.lit(None).cast("int").alias("most_graphemes")), given.unionByName(extra))
@@ -187,14 +187,14 @@ SELECT media_id, array_to_string(list_filter([CASE WHEN coalesce(n, 0) = 0 THEN
 # Stores: caches by content, evidence kept in two places, glossaries.
 _add(
     "cached_texts",
-    """, w AS (SELECT media_id, cue_idx, sha256(text) AS key FROM cues), c AS (SELECT DISTINCT sha256(text) AS key, length(text) AS n, upper(text) AS value FROM cues WHERE length(text) % 3 <> 0)
-SELECT media_id, cue_idx, value FROM w LEFT JOIN c ON w.key = c.key AND n % 3 = 1""",
+    """, w AS (SELECT media_id, cue_idx, sha256(text) AS key FROM cues), live AS (SELECT DISTINCT sha256(text) AS key, text || '!' AS value FROM cues WHERE length(text) % 3 = 1)
+SELECT media_id, cue_idx, value FROM w LEFT JOIN live USING (key)""",
 )(lambda c: _cached(c))
 
 
 def _cached(c: DataFrame) -> DataFrame:
     """A third of all texts isn't cached, a third has run out; of two live values the one that lives longer holds; blank ones are none."""
-    k = c.select(F.sha2("text", 256).alias("key"), F.length("text").alias("n"), F.upper("text").alias("value")).distinct()
+    k = c.select(F.sha2("text", 256).alias("key"), F.length("text").alias("n"), F.concat("text", F.lit("!")).alias("value")).distinct()
     ends = k.where("n % 3 <> 0").withColumn("expires_at", F.when(F.col("n") % 3 == 1, 200).otherwise(50))
     cache = ends.unionByName(ends.withColumn("value", F.lit("old")).withColumn("expires_at", F.col("expires_at") - 20)).unionByName(k.where("n % 3 = 0").withColumn("value", F.lit(" ")).withColumn("expires_at", F.lit(900)))
     hit, miss = joins.cache_lookup(c.select("media_id", "cue_idx", F.sha2("text", 256).alias("key")), cache.select("key", "value", "expires_at"), F.lit(100))
@@ -263,7 +263,7 @@ def _decided(k: DataFrame, c: DataFrame) -> DataFrame:
 
 _add(
     "merged_terms",
-    f"""{_TERMS}, e AS (SELECT media_id, w[1] AS term, lpad(media_id::VARCHAR, 12, '0') || lpad(cue_idx::VARCHAR, 9, '0') AS id, cue_idx, w[2] AS alias FROM tc), al AS (SELECT term, alias, min(id) AS at FROM e GROUP BY ALL), la AS (SELECT term, string_agg(alias, ',' ORDER BY at) AS aliases FROM al GROUP BY term)
+    f"""{_TERMS}, e AS (SELECT media_id, w[1] AS term, lpad(media_id::VARCHAR, 12, '0') || lpad(cue_idx::VARCHAR, 9, '0') AS id, cue_idx, w[2] AS alias FROM tc), al AS (SELECT term, alias, min(id) AS since FROM e GROUP BY ALL), la AS (SELECT term, string_agg(alias, ',' ORDER BY since) AS aliases FROM al GROUP BY term)
 SELECT min(id) AS candidate_id, term, aliases, count(DISTINCT cue_idx) AS n FROM e JOIN la USING (term) GROUP BY term, aliases""",
 )(lambda c: _merged_terms(_candidates(c)))
 
@@ -280,7 +280,7 @@ def _merged_terms(k: DataFrame) -> DataFrame:
 _add(
     "inferred_offsets",
     """, l AS (SELECT media_id, cue_idx // 8 AS k, max(end_ms) - min(start_ms) AS len FROM cues GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY k) AS r FROM l),
-o AS (SELECT media_id, r, k, len, 0::BIGINT AS at FROM n WHERE r = 1 UNION ALL SELECT n.media_id, n.r, n.k, n.len, greatest(0, o.at + o.len - 10000) FROM o JOIN n ON n.media_id = o.media_id AND n.r = o.r + 1) SELECT media_id, k AS chunk_idx, at AS offset_ms FROM o""",
+o AS (SELECT media_id, r, k, len, 0::BIGINT AS off FROM n WHERE r = 1 UNION ALL SELECT n.media_id, n.r, n.k, n.len, greatest(0, o.off + o.len - 10000) FROM o JOIN n ON n.media_id = o.media_id AND n.r = o.r + 1) SELECT media_id, k AS chunk_idx, off AS offset_ms FROM o""",
 )(lambda c: windows.infer_offsets(c.groupBy("media_id", F.floor(F.col("cue_idx") / 8).alias("chunk_idx")).agg((F.max("end_ms") - F.min("start_ms")).alias("length_ms"))).select("media_id", "chunk_idx", "offset_ms"))
 _add(
     "packed_summaries",
