@@ -139,7 +139,7 @@ SELECT media_id, cue_idx, CASE WHEN wn % 2 = 0 AND k <= 2 THEN 'HIGH' ELSE grade
   CASE WHEN wn % 2 = 0 AND k <= 2 THEN 1000 ELSE CASE grade WHEN 'HIGH' THEN 1000 WHEN 'MEDIUM' THEN 500 ELSE 250 END END AS boundary_budget_ms FROM r""",
 )(lambda c: joins.evidence_of_cues(c.withColumn("cue_id", F.col("cue_idx")), _fives(c)).select("media_id", "cue_idx", "grade", "speech_start_ms", "speech_end_ms", "boundary_budget_ms"))
 _add("eligible_windows", f"{_FIVES} SELECT media_id, wn AS window_id, grade FROM f GROUP BY ALL HAVING grade <> 'LOW' AND count_if(cue_idx % 17 = 4) = 0")(
-    lambda c: filters.eligible_windows(_fives(c).where("pos < 1000000").withColumnRenamed("pos", "window_id"), c.where("cue_idx % 17 <> 4").select("media_id", F.col("cue_idx").alias("cue_id"))).select("media_id", "window_id", "grade")
+    lambda c: filters.eligible_windows(_fives(c).where("pos < 1000000").withColumn("window_id", F.col("pos").cast("int")), c.where("cue_idx % 17 <> 4").select("media_id", F.col("cue_idx").alias("cue_id"))).select("media_id", "window_id", "grade")
 )
 _add(
     "fallback_evidence",
@@ -149,10 +149,10 @@ _add(
 
 def _fallback(c: DataFrame) -> DataFrame:
     """No window has words; half of them went through the grading nevertheless."""
-    plans = c.groupBy("media_id", F.floor(F.col("cue_idx") / 5).alias("window_no")).agg(
+    plans = c.groupBy("media_id", F.floor(F.col("cue_idx") / 5).cast("int").alias("window_no")).agg(
         F.min("cue_idx").alias("first_idx"), F.max("cue_idx").alias("last_idx"), F.min("start_ms").alias("cue_start_ms"), F.max("end_ms").alias("cue_end_ms"), F.min("start_ms").alias("clip_start_ms"), F.max("end_ms").alias("clip_end_ms"),
     )
-    words = c.select("media_id", F.floor(F.col("cue_idx") / 5).alias("window_no"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("start_ms"), F.lit(1).cast("long").alias("end_ms"), "text").limit(0)
+    words = c.select("media_id", F.floor(F.col("cue_idx") / 5).cast("int").alias("window_no"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("start_ms"), F.lit(1).cast("long").alias("end_ms"), "text").limit(0)
     e = structure.with_fallback(structure.word_evidence(plans.where("window_no % 2 = 0"), c, words), plans, c)
     shown = F.transform("anchors", lambda a: F.concat(a["cue_idx"].cast("string"), F.lit(":"), a["start_ms"].cast("string"), F.lit("-"), a["end_ms"].cast("string")))
     return e.select("media_id", "window_no", "grade", "coverage", "provenance", "failure", F.array_join(shown, " ").alias("anchors"))
@@ -281,7 +281,7 @@ _add(
     "inferred_offsets",
     """, l AS (SELECT media_id, cue_idx // 8 AS k, max(end_ms) - min(start_ms) AS len FROM cues GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY k) AS r FROM l),
 o AS (SELECT media_id, r, k, len, 0::BIGINT AS off FROM n WHERE r = 1 UNION ALL SELECT n.media_id, n.r, n.k, n.len, greatest(0, o.off + o.len - 10000) FROM o JOIN n ON n.media_id = o.media_id AND n.r = o.r + 1) SELECT media_id, k AS chunk_idx, off AS offset_ms FROM o""",
-)(lambda c: windows.infer_offsets(c.groupBy("media_id", F.floor(F.col("cue_idx") / 8).alias("chunk_idx")).agg((F.max("end_ms") - F.min("start_ms")).alias("length_ms"))).select("media_id", "chunk_idx", "offset_ms"))
+)(lambda c: windows.infer_offsets(c.groupBy("media_id", F.floor(F.col("cue_idx") / 8).cast("int").alias("chunk_idx")).agg((F.max("end_ms") - F.min("start_ms")).alias("length_ms"))).select("media_id", "chunk_idx", "offset_ms"))
 _add(
     "packed_summaries",
     """, l AS (SELECT media_id, cue_idx, row_number() OVER (PARTITION BY media_id ORDER BY cue_idx) AS r, count(*) OVER (PARTITION BY media_id) AS c, greatest(1, ceil(len(regexp_extract_all(text, '[\\x00-\\x7F]')) / 3) + length(text) - len(regexp_extract_all(text, '[\\x00-\\x7F]'))) AS t FROM cues),
